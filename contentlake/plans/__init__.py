@@ -1,6 +1,6 @@
 """All registered queries: QUERIES and ORACLE."""
 
-from contentlake.plans import catalog
+from contentlake.plans import catalog, filtering, ingest, text
 from contentlake.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "catalog"]
+__all__ = ["ORACLE", "QUERIES", "catalog", "filtering", "ingest", "text"]
