@@ -6,10 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from contentlake.functions.text import format_uptime
-from contentlake.operators.ordering import PIECE, cut_by_range, last_known, run_length
+from contentlake.operators.ordering import PIECE, PIECE_ROWS, cut_by_range, last_known, run_length
 from contentlake.operators.peers import classify_failure
 from contentlake.settings import DEFAULTS
 
@@ -74,14 +74,15 @@ def interval_rate(counters: DataFrame, key: str, at: str = "at", n: str = "n") -
     return spans.withColumn("rate", rate)
 
 
-def ema(series: DataFrame, key: str, order: list[str], x: str, alpha: float = DEFAULTS.ema_alpha) -> DataFrame:
+def ema(series: DataFrame, key: str, order: list[str], x: str, alpha: float = DEFAULTS.ema_alpha,
+        piece_rows: int = PIECE_ROWS) -> DataFrame:
     """``series`` with ``ema``: the first value seeds, then alpha x + (1 - alpha) previous.
 
     A piece of a key's series maps the average before it to ``decay * before + gain``, so long
-    series are cut into pieces, smoothed piece by piece in Arrow batches, and joined by the value
-    each piece starts from. ``order`` must break all ties.
+    series are cut into pieces of bounded length, smoothed piece by piece in Arrow batches, and
+    joined by the value each piece starts from. ``order`` must break all ties.
     """
-    rows = cut_by_range(series.withColumn("_x", F.col(x).cast("double")), [key], order)
+    rows = cut_by_range(series.withColumn("_x", F.col(x).cast("double")), [key], order, piece_rows)
     first = rows.groupBy(key).agg(F.min(PIECE).alias("_first"))
     marked = rows.join(first, key).withColumn("_seeds", F.col(PIECE) == F.col("_first")).drop("_first")
     schema = StructType(
@@ -105,7 +106,7 @@ def ema(series: DataFrame, key: str, order: list[str], x: str, alpha: float = DE
     ends = smoothed.groupBy(key, PIECE).agg(F.max_by(F.struct("_local", "_decay"), at).alias("_end"))
     spanning = ends.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key)
     carry_schema = StructType(
-        [series.schema[key], StructField(PIECE, IntegerType()), StructField("_carry", DoubleType())]
+        [series.schema[key], StructField(PIECE, LongType()), StructField("_carry", DoubleType())]
     )
 
     def chain(pieces: pd.DataFrame) -> pd.DataFrame:
@@ -116,14 +117,14 @@ def ema(series: DataFrame, key: str, order: list[str], x: str, alpha: float = DE
             carry = local + decay * carry
         return pieces.assign(_carry=carried)[[key, PIECE, "_carry"]]
 
-    # one row per piece a key spans: bounded by the number of pieces
+    # one row per piece of the keys that span several
     carried = (
         ends.join(spanning, key, "left_semi")
         .select(key, PIECE, "_end._local", "_end._decay")
         .groupBy(key)
         .applyInPandas(chain, carry_schema)
     )
-    out = smoothed.join(F.broadcast(carried), [key, PIECE], "left")
+    out = smoothed.join(carried, [key, PIECE], "left")
     value = F.col("_local") + F.col("_decay") * F.coalesce("_carry", F.lit(0.0))
     return out.select(*series.columns, value.alias("ema"))
 
@@ -161,16 +162,17 @@ def low_rate(
 # --- switches and runs ------------------------------------------------------------------------
 
 
-def hysteresis(df: DataFrame, key: str, order: list[str], value: str, high: float, low: float) -> DataFrame:
+def hysteresis(df: DataFrame, key: str, order: list[str], value: str, high: float, low: float,
+               piece_rows: int = PIECE_ROWS) -> DataFrame:
     """``on``: set when value >= high, cleared when value < low, else kept; starts off."""
     decision = F.when(F.col(value) >= high, 1).when(F.col(value) < low, 0)
-    known = last_known(df, [key], order, decision, "on")
+    known = last_known(df, [key], order, decision, "on", piece_rows)
     return known.withColumn("on", F.coalesce("on", F.lit(0)))
 
 
-def low_streak(df: DataFrame, key: str, order: list[str], low: Column) -> DataFrame:
+def low_streak(df: DataFrame, key: str, order: list[str], low: Column, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """``streak``: consecutive low rows of the key up to each row, 0 on a good one."""
-    return run_length(df, [key], order, low, "streak")
+    return run_length(df, [key], order, low, "streak", piece_rows)
 
 
 # --- partitions -------------------------------------------------------------------------------

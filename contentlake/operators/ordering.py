@@ -1,12 +1,13 @@
 """Row numbers and running values over long ordered series, without one task per key.
 
 A window partitioned by key sends a hot key to a single task. Here the rows are range-partitioned
-by (key, order) instead, so a hot key is cut into many contiguous pieces; each piece is
-summarised, the short list of pieces is scanned, and the carry is joined back. The pieces are
-pinned by a reliable checkpoint because both passes must see the same cut.
+and sorted by (key, order), then cut into contiguous pieces of at most ``PIECE_ROWS`` rows, so a hot
+key becomes many pieces. Each piece is summarised, the short list of summaries is scanned, and
+the value carried into a piece is joined back. The pieces are pinned by a reliable checkpoint
+because both passes must see the same cut.
 
-At most one key crosses the border between two pieces, so fewer rows than pieces carry a value:
-the broadcast carry table is bounded by the shuffle partition count, whatever the data size.
+The rows are shuffled once more by (key, piece); the carry join and the local windows share that
+shuffle, and AQE broadcasts the carry side when its measured size is small.
 """
 
 from __future__ import annotations
@@ -19,13 +20,19 @@ from pyspark.sql import functions as F
 from contentlake.session import pinned
 
 PIECE = "_piece"
+PIECE_ROWS = 1 << 20
 
 
-def cut_by_range(df: DataFrame, keys: Sequence[str], order: Sequence[str], pieces: int | None = None) -> DataFrame:
-    """Rows in pinned contiguous pieces of (keys, order); ``order`` must break all ties."""
+def cut_by_range(df: DataFrame, keys: Sequence[str], order: Sequence[str], piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Rows in pinned contiguous pieces of (keys, order); ``order`` must break all ties, keys not be NULL.
+
+    ``monotonically_increasing_id`` is the partition number and the row's place in the sorted
+    partition, so dividing it numbers the pieces in global order.
+    """
     columns = [F.col(c) for c in (*keys, *order)]
-    spread = df.repartitionByRange(pieces, *columns) if pieces else df.repartitionByRange(*columns)
-    return pinned(spread.withColumn(PIECE, F.spark_partition_id()))
+    sorted_rows = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    place = F.monotonically_increasing_id()
+    return pinned(sorted_rows.withColumn(PIECE, F.floor(place / piece_rows)))
 
 
 def _carried(summary: DataFrame, keys: Sequence[str], carry: Column, name: str) -> DataFrame:
@@ -40,24 +47,26 @@ def _carried(summary: DataFrame, keys: Sequence[str], carry: Column, name: str)
     return carried.select(*keys, PIECE, carry.over(earlier).alias(name)).filter(F.col(name).isNotNull())
 
 
-def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
+def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str,
+               piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Running last non-null ``value`` per key, the current row included."""
-    rows = cut_by_range(df.withColumn(name, value), keys, order)
+    rows = cut_by_range(df.withColumn(name, value), keys, order, piece_rows)
     summary = rows.groupBy(*keys, PIECE).agg(
         F.max(F.when(F.col(name).isNotNull(), F.struct(*order, name)))[name].alias(name)
     )
     carried = _carried(summary, keys, F.last(name, ignorenulls=True), "_carry")
     local = Window.partitionBy(*keys, PIECE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        rows.join(F.broadcast(carried), [*keys, PIECE], "left")
+        rows.join(carried, [*keys, PIECE], "left")
         .withColumn(name, F.coalesce(F.last(name, ignorenulls=True).over(local), "_carry"))
         .drop(PIECE, "_carry")
     )
 
 
-def run_length(df: DataFrame, keys: Sequence[str], order: Sequence[str], hit: Column, name: str) -> DataFrame:
+def run_length(df: DataFrame, keys: Sequence[str], order: Sequence[str], hit: Column, name: str,
+               piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Per key the number of consecutive rows with ``hit`` up to and including each row."""
-    rows = cut_by_range(df.withColumn("_hit", F.coalesce(hit, F.lit(False))), keys, order)
+    rows = cut_by_range(df.withColumn("_hit", F.coalesce(hit, F.lit(False))), keys, order, piece_rows)
     local = Window.partitionBy(*keys, PIECE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     # resets so far inside the piece; hits after the last reset form the run
     resets = F.sum(F.when(F.col("_hit"), 0).otherwise(1)).over(local)
@@ -82,7 +91,7 @@ def run_length(df: DataFrame, keys: Sequence[str], order: Sequence[str], hit: Co
     summary = summary.withColumn("_running", F.sum("_tail").over(since))
     carried = _carried(summary, keys, F.last("_running"), "_carry")
     return (
-        rows.join(F.broadcast(carried), [*keys, PIECE], "left")
+        rows.join(carried, [*keys, PIECE], "left")
         .withColumn(
             name,
             F.col("_run")
@@ -92,16 +101,16 @@ def run_length(df: DataFrame, keys: Sequence[str], order: Sequence[str], hit: Co
     )
 
 
-def number_rows(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+def number_rows(df: DataFrame, order: Sequence[str], name: str, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Consecutive 1-based numbers in global order."""
-    rows = cut_by_range(df, [], order)
+    rows = cut_by_range(df, [], order, piece_rows)
     sizes = rows.groupBy(PIECE).agg(F.count(F.lit(1)).alias("_rows"))
-    # one row per piece, so this window is bounded by the partition count
+    # one row per piece: a millionth of the rows, and a running sum over them
     before = Window.orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(PIECE, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
     local = Window.partitionBy(PIECE).orderBy(*order)
     return (
-        rows.join(F.broadcast(offsets), PIECE)
+        rows.join(offsets, PIECE)
         .withColumn(name, (F.row_number().over(local) + F.col("_before")).cast("bigint"))
         .drop(PIECE, "_before")
     )
