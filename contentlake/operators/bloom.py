@@ -1,9 +1,9 @@
 """Membership filter as a table of 4 KiB bitmap blocks.
 
-All bits of a key lie in one block, so building groups once by block (with a map-side partial
-bitmap) and probing is a single equi-join by block plus bit tests, without exploding the probe
-side. Size grows with the capacity, so nothing is broadcast by force: Catalyst picks the join from
-the size statistics.
+All bits of a key lie in one block. Building moves one 64-bit hash per distinct key to its block
+(repeats fall out before the shuffle) and sets the bits there; partial bitmaps never travel.
+Probing is a single equi-join by block plus bit tests. Size grows with the capacity, so nothing
+is broadcast by force: Catalyst picks the join from the size statistics.
 """
 
 from __future__ import annotations
@@ -35,11 +35,11 @@ class BloomShape:
     def blocks(self) -> int:
         return math.ceil(self.bits / BLOCK_BITS)
 
-    def block(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(self.blocks))
+    def block(self, digest: Column) -> Column:
+        return F.pmod(F.xxhash64(digest, F.lit(-1)), F.lit(self.blocks))
 
-    def bit(self, key: Column, i: int) -> Column:
-        return F.pmod(F.xxhash64(key, F.lit(i)), F.lit(BLOCK_BITS))
+    def bit(self, digest: Column, i: int) -> Column:
+        return F.pmod(F.xxhash64(digest, F.lit(i)), F.lit(BLOCK_BITS))
 
 
 @dataclass(frozen=True)
@@ -52,10 +52,13 @@ class BloomTable:
     @classmethod
     def build(cls, df: DataFrame, key: str, capacity: int, error_rate: float = 0.001) -> BloomTable:
         shape = BloomShape(capacity, error_rate)
-        bits = F.array(*[shape.bit(F.col(key), i) for i in range(shape.hashes)])
-        marks = df.filter(F.col(key).isNotNull()).select(
-            shape.block(F.col(key)).alias("block"), F.explode(bits).alias("bit")
-        )
+        digest = F.xxhash64(key).alias("digest")
+        digests = df.filter(F.col(key).isNotNull()).select(digest, shape.block(digest).alias("block"))
+        # a block holds about 32768 / 14 keys at the design load, so these sets are small
+        by_block = digests.groupBy("block").agg(F.collect_set("digest").alias("digests"))
+        exploded = by_block.select("block", F.explode("digests").alias("digest"))
+        bits = F.array(*[shape.bit(F.col("digest"), i) for i in range(shape.hashes)])
+        marks = exploded.select("block", F.explode(bits).alias("bit"))
         return cls(shape, marks.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap")))
 
     def union(self, other: BloomTable) -> BloomTable:
@@ -69,10 +72,12 @@ class BloomTable:
 
     def probe(self, df: DataFrame, key: str) -> DataFrame:
         """``df`` with ``maybe_seen``: false is certain, true may be wrong at about the error rate."""
-        joined = df.withColumn("block", self.shape.block(F.col(key))).join(self.blocks, "block", "left")
+        hashed = df.withColumn("_digest", F.xxhash64(key))
+        placed = hashed.withColumn("block", self.shape.block(F.col("_digest")))
+        joined = placed.join(self.blocks, "block", "left")
 
         def is_set(i: int) -> Column:
-            bit = self.shape.bit(F.col(key), i)
+            bit = self.shape.bit(F.col("_digest"), i)
             byte = F.substring("bitmap", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))
             value = F.conv(F.hex(byte), 16, 10).cast("bigint")
             return F.getbit(value, bit.bitwiseAND(F.lit(7)).cast("int")) == 1
@@ -80,7 +85,7 @@ class BloomTable:
         every = F.col("bitmap").isNotNull()
         for i in range(self.shape.hashes):
             every = every & is_set(i)
-        return joined.withColumn("maybe_seen", F.coalesce(every, F.lit(False))).drop("block", "bitmap")
+        return joined.withColumn("maybe_seen", F.coalesce(every, F.lit(False))).drop("_digest", "block", "bitmap")
 
     def stats(self) -> DataFrame:
         bits = self.shape.blocks * BLOCK_BITS

@@ -10,13 +10,14 @@ import re
 from collections.abc import Callable
 from unicodedata import normalize
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from contentlake.functions.ids import is_id
 from contentlake.functions.paths import VIDEO_EXTENSIONS, path_filename
 from contentlake.functions.stems import stem, stem_tokens
 from contentlake.functions.text import ascii_lower, format_size, magnet_link, percent_encode
+from contentlake.operators.frames import side_by_side
 from contentlake.settings import DEFAULTS
 
 # Accented Latin letters and their bare forms, folded for token search.
@@ -126,22 +127,34 @@ def _needed_words(query: str) -> list[str] | None:
     return _plain_tokens(query.replace(" AND ", " "))
 
 
-def search_names(items: DataFrame, query: str, stemming: bool = True) -> DataFrame:
-    """Items whose name matches. No shuffle: a filter over the scan.
+def _may_match(query: str) -> Column | None:
+    """A cheap native test every matching name passes, or None.
 
-    With stemming, the Python stage only sees names that contain the first letters of every word:
-    a stem of three or more letters keeps the first two of its word, a shorter one the first.
+    With implied AND, a name must contain the first letters of every word: a stem of three or more
+    letters keeps the first two of its word, a shorter one the first.
     """
-    if not stemming:
-        return items.filter(name_matches(tokens(F.col("name")), query, False))
-    needed = _needed_words(query)
-    rows = items
     folded = F.translate(F.lower(F.col("name")), DIACRITICS, BARE)
-    for word in needed or ():
+    test = None
+    for word in _needed_words(query) or ():
         kept = stem(word)
-        rows = rows.filter(F.contains(folded, F.lit(kept[:2] if len(kept) > 2 else kept[:1])))
+        has = F.contains(folded, F.lit(kept[:2] if len(kept) > 2 else kept[:1]))
+        test = has if test is None else test & has
+    return test
+
+
+def _filter_names(items: DataFrame, query: str, stemming: bool, also: Column) -> DataFrame:
+    """Rows whose name matches, or for which ``also`` holds; Python only sees names that may match."""
+    if not stemming:
+        return items.filter(also | name_matches(tokens(F.col("name")), query, False))
+    test = _may_match(query)
+    rows = items if test is None else items.filter(also | test)
     words = rows.withColumn("_words", stemmed_tokens(F.col("name")))
-    return words.filter(name_matches(F.col("_words"), query, True)).drop("_words")
+    return words.filter(also | name_matches(F.col("_words"), query, True)).drop("_words")
+
+
+def search_names(items: DataFrame, query: str, stemming: bool = True) -> DataFrame:
+    """Items whose name matches: a filter over the scan, no shuffle."""
+    return _filter_names(items, query, stemming, F.lit(False))
 
 
 def search_files(files: DataFrame, query: str) -> DataFrame:
@@ -149,12 +162,11 @@ def search_files(files: DataFrame, query: str) -> DataFrame:
 
 
 def search(items: DataFrame, files: DataFrame, query: str, stemming: bool = True) -> DataFrame:
-    """Items hit by name or by one of their file names."""
-    by_name = search_names(items.select("item_id", "name"), query, stemming).select("item_id")
-    by_file = search_files(files, query).select("item_id")
+    """Items hit by name or by one of their file names: one scan of each table, one join."""
     # distinct pre-aggregates per task, so an item with very many hits moves once per task
-    hits = by_name.union(by_file).distinct()
-    return items.join(hits, "item_id", "left_semi")
+    hits = search_files(files, query).select("item_id").distinct().withColumn("_hit", F.lit(True))
+    flagged = items.join(hits, "item_id", "left")
+    return _filter_names(flagged, query, stemming, F.col("_hit").isNotNull()).drop("_hit")
 
 
 def search_count(items: DataFrame, files: DataFrame, query: str, stemming: bool = True) -> DataFrame:
@@ -235,15 +247,32 @@ def attach_files(items: DataFrame, files: DataFrame, n: int = DEFAULTS.files_per
     return items.join(first_files(files, n), "item_id", "left")
 
 
-def result_page(found: DataFrame, files: DataFrame, page: int = 1, size: int = DEFAULTS.page_size) -> DataFrame:
-    """A ranked page with file counts and first files.
+def fetch_page(found: DataFrame, page: int = 1, size: int = DEFAULTS.page_size) -> tuple[DataFrame, int]:
+    """(the page, the total number of rows) from one run over ``found``.
 
-    The order needs no file data, so the page is cut first; files are then read against at most
-    ``size`` ids, which is the proven bound of the broadcast.
+    The page has at most ``size`` rows and is brought to the driver, so that what follows reads
+    its ids as literals; the total is observed while the rows pass.
     """
-    top = page_of(found, page, size)
-    own = files.join(F.broadcast(top.select("item_id")), "item_id", "left_semi")
-    return attach_files(with_file_count(top, own), own)
+    watch = Observation()
+    counted = found.observe(watch, F.count(F.lit(1)).alias("total"))
+    rows = page_of(counted, page, size).toArrow()
+    return found.sparkSession.createDataFrame(rows, found.schema), watch.get["total"]
+
+
+def with_file_details(page: DataFrame, files: DataFrame) -> DataFrame:
+    """A fetched page with file counts and first files.
+
+    The (at most page size) ids become an IN filter that reaches the scan of the file table.
+    """
+    ids = [row["item_id"] for row in page.select("item_id").collect()]
+    own = files.filter(F.col("item_id").isin(ids))
+    return attach_files(with_file_count(page, own), own)
+
+
+def result_page(found: DataFrame, files: DataFrame, page: int = 1, size: int = DEFAULTS.page_size) -> DataFrame:
+    """A ranked page with file counts and first files. The order needs no file data, so the page is
+    cut first and files are read for its ids only."""
+    return with_file_details(fetch_page(found, page, size)[0], files)
 
 
 def latest(items: DataFrame, n: int) -> DataFrame:
@@ -277,7 +306,7 @@ def lookup_many(items: DataFrame, keys: DataFrame, key: str = "query") -> DataFr
 def catalog_bounds(items: DataFrame, files: DataFrame) -> DataFrame:
     item_side = items.agg(F.max("item_id").alias("max_id"), F.count(F.lit(1)).alias("items"))
     file_side = files.agg(F.count(F.lit(1)).alias("files"))
-    return item_side.join(file_side)  # one row each
+    return side_by_side(item_side, file_side)
 
 
 def peer_class(peers: Column) -> Column:
@@ -326,7 +355,7 @@ def with_links(items: DataFrame, title: Column, search_url: str) -> DataFrame:
 
 
 def result_json(page: DataFrame) -> DataFrame:
-    """(item_id, json) per result row."""
+    """One JSON object per result row, with the columns that rank it."""
     files = F.transform(
         F.col("files"),
         lambda f: F.struct(
@@ -343,25 +372,24 @@ def result_json(page: DataFrame) -> DataFrame:
         "num_files",
         files.alias("files"),
     )
-    return page.select("item_id", F.to_json(row).alias("json"))
+    return page.select("item_id", "total_peers", "added_ts", F.to_json(row).alias("json"))
 
 
 def search_report(found: DataFrame, files: DataFrame, page: int, size: int, now: int) -> DataFrame:
     """The whole answer of a search page as one JSON document (at most ``size`` results)."""
-    info = page_info(found, page, size)
-    results = result_json(result_page(found, files, page, size).withColumn("added", F.unix_seconds("added_ts")))
-    ranked_ids = page_of(found, page, size).select("item_id", *["total_peers", "added_ts"])
-    rows = results.join(ranked_ids, "item_id").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    (-F.col("total_peers")).alias("a"), (-F.unix_micros("added_ts")).alias("b"), "item_id", "json"
-                )
-            )
-        ).alias("rows")
-    )
-    head = F.to_json(
-        F.struct("count", "total_count", "page", F.lit(size).alias("limit"), "has_more", F.lit(now).alias("timestamp"))
+    page = max(page, 1)
+    top, total = fetch_page(found, page, size)
+    results = result_json(with_file_details(top, files).withColumn("added", F.unix_timestamp("added_ts")))
+    place = F.struct((-F.col("total_peers")).alias("a"), (-F.unix_timestamp("added_ts")).alias("b"), "item_id", "json")
+    rows = results.agg(F.array_sort(F.collect_list(place)).alias("rows"))
+    head = F.struct(
+        F.size("rows").alias("count"),
+        F.lit(total).alias("total_count"),
+        F.lit(page).alias("page"),
+        F.lit(size).alias("limit"),
+        ((page - 1) * size + F.size("rows") < total).alias("has_more"),
+        F.lit(now).alias("timestamp"),
     )
-    body = F.concat(F.lit('"results":['), F.array_join(F.transform("rows", lambda r: r["json"]), ","), F.lit("]}"))
-    return info.join(rows).select(F.concat(F.regexp_replace(head, r"\}$", ","), body).alias("json"))
+    body = F.array_join(F.transform("rows", lambda r: r["json"]), ",")
+    opened = F.regexp_replace(F.to_json(head), r"\}$", ',"results":[')
+    return rows.select(F.concat(opened, body, F.lit("]}")).alias("json"))

@@ -4,7 +4,8 @@ Ids are cut into key-space cells: prefixes of whole bytes, each deepened while i
 a fair share of the ids, so a crowded prefix is split however far down its ids differ. The
 directory of cells is bounded by the cell target, not by the data. Each target is sent to the
 nearest cells that together hold k ids (nearly always one); a cell answers its targets from its
-sorted ids by walking down the bits, about log(ids) steps per target. Crowded targets are salted.
+sorted ids by walking down the bits, about log(ids) steps per target. A cell asked by more targets
+than it has ids answers in several tasks, so copied ids never outnumber the targets.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from contentlake.functions.ids import xor_distance
+from contentlake.session import pinned
 
 ID_BITS = 160
-CELLS = 1024
+CELLS = 1 << 16
 MIN_CELL = 4096
-MAX_TARGETS = 200_000
+MIN_TARGETS = 4096
 
 
 def cell_directory(ids: DataFrame, id_col: str, cells: int = CELLS, smallest: int = MIN_CELL) -> dict[str, int]:
@@ -85,9 +87,23 @@ def _nearest(ids: list[int], target: int, k: int) -> list[int]:
     return out[:k]
 
 
+def _place(ids: DataFrame, directory: dict[str, int]) -> DataFrame:
+    """``ids`` with the cell each lies in; the looked-up prefixes are bounded by the directory."""
+    depths = sorted({len(prefix) for prefix in directory})
+    cell = F.substring("node_id", 1, depths[-1])
+    known = F.lit(None).cast("string")
+    for digits in depths[:-1]:
+        rows = [(prefix, prefix) for prefix in directory if len(prefix) == digits]
+        found = f"_c{digits}"
+        prefixes = ids.sparkSession.createDataFrame(rows, f"_p string, {found} string")
+        ids = ids.withColumn("_p", F.substring("node_id", 1, digits)).join(F.broadcast(prefixes), "_p", "left").drop("_p")
+        known = F.coalesce(known, F.col(found))
+    return ids.select("node_id", F.coalesce(known, cell).alias("cell"))
+
+
 def closest(
     nodes: DataFrame, targets: DataFrame, k: int = 8, node_id: str = "node_id", target: str = "target",
-    cells: int = CELLS, smallest: int = MIN_CELL, max_targets: int = MAX_TARGETS,
+    cells: int = CELLS, smallest: int = MIN_CELL,
 ) -> DataFrame:
     """(target, rank, node_id, distance): the k nearest nodes per distinct target. Dropped nodes are
     to be filtered out beforehand."""
@@ -97,7 +113,6 @@ def closest(
     if not directory:
         return wanted.limit(0).select("target", F.lit(0).alias("rank"), F.lit("").alias("node_id"), F.lit("").alias("distance"))
     tree = _tree(directory)
-    depths = sorted({len(prefix) for prefix in directory})
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -111,21 +126,16 @@ def closest(
                         break
             yield pd.DataFrame(rows, columns=["target", "cell"])
 
-    routed = wanted.mapInPandas(route, _fields(target=StringType(), cell=StringType()))
-    # cells asked by very many targets answer in several tasks
-    asked = routed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / max_targets).cast("int").alias("salts"))
-    salted = routed.join(asked, "cell").withColumn("salt", F.pmod(F.xxhash64("target"), F.col("salts")).cast("int"))
-    cell = F.lit(None).cast("string")
-    for digits in depths:
-        prefix = F.substring("node_id", 1, digits)
-        known = [p for p in directory if len(p) == digits]
-        if len(depths) == 1:
-            cell = prefix
-        elif digits == depths[-1]:
-            cell = F.coalesce(cell, prefix)
-        else:
-            cell = F.coalesce(cell, F.when(prefix.isin(known), prefix))
-    placed = ids.withColumn("cell", cell).join(asked, "cell")
+    # read twice, computed once: counted per cell, then answered
+    routed = pinned(wanted.mapInPandas(route, _fields(target=StringType(), cell=StringType())))
+    asked = [
+        (row["cell"], -(-row["count"] // max(directory[row["cell"]], MIN_TARGETS)))
+        for row in routed.groupBy("cell").count().collect()
+    ]
+    # one row per asked cell, bounded by the directory
+    salts = F.broadcast(ids.sparkSession.createDataFrame(asked, "cell string, salts int"))
+    salted = routed.join(salts, "cell").withColumn("salt", F.pmod(F.xxhash64("target"), F.col("salts")).cast("int"))
+    placed = _place(ids, directory).join(salts, "cell")
     copies = placed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
 
     def answer(asked_here: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:

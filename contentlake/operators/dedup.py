@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from contentlake.functions.net import is_routable
 from contentlake.operators.bloom import BloomTable
+from contentlake.operators.frames import side_by_side
 
 
 def _first_rows(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -104,10 +105,8 @@ def batch_outcomes(batch: DataFrame, key: str = "info_hash") -> DataFrame:
     )
 
 
-def observe_batch(batch: DataFrame, name: str = "batch", key: str = "info_hash"):
+def observe_batch(batch: DataFrame, name: str = "batch", key: str = "info_hash") -> tuple[DataFrame, Observation]:
     """(frame, Observation): the outcome counts of a batch as a by-product of writing it."""
-    from pyspark.sql import Observation
-
     watch = Observation(name)
     ok = F.regexp_like(F.col(key), F.lit(r"^[0-9a-f]{40}\z")) & F.col("name").isNotNull()
     counted = batch.observe(
@@ -119,7 +118,7 @@ def observe_batch(batch: DataFrame, name: str = "batch", key: str = "info_hash")
 def catalog_totals(items: DataFrame, files: DataFrame) -> DataFrame:
     item_side = items.agg(F.count(F.lit(1)).alias("items"))
     file_side = files.agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("total_bytes"))
-    return item_side.join(file_side)  # one row each
+    return side_by_side(item_side, file_side)
 
 
 def two_strike(attempts: DataFrame, key: str = "info_hash", ts: str = "ts", tie: str = "event_id") -> DataFrame:

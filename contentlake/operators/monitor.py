@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from contentlake.functions.text import format_uptime
+from contentlake.operators.frames import side_by_side
 from contentlake.operators.ordering import PIECE, PIECE_ROWS, cut_by_range, last_known, run_length
 from contentlake.operators.peers import classify_failure
 from contentlake.settings import DEFAULTS
@@ -208,7 +209,7 @@ def choose_partition(
         F.struct((-F.col("avg_rate")).alias("r"), F.col("partition_index").alias("p")).alias("c")
     ).orderBy("c").limit(2)
     top = best.agg(F.array_sort(F.collect_list("c")).alias("_best"))  # one row of at most two
-    rows = workers.join(F.broadcast(streaks), "partition_index", "left").join(F.broadcast(top))
+    rows = workers.join(F.broadcast(streaks), "partition_index", "left").withColumn("_best", top.scalar())
     was_low = F.col("rate") < min_rate
     streak = F.when(was_low, F.coalesce("streak", F.lit(0)) + 1).otherwise(0)
     away = F.col("partition_index") != F.col("home")
@@ -309,16 +310,13 @@ def group_report(attempts: DataFrame, queues: DataFrame, key: str, capacity: int
 
 def stats_report(sections: dict[str, DataFrame], version: str, now: int, started: int) -> DataFrame:
     """One JSON document from one-row frames, one object per section."""
-    out = None
-    for name, frame in sections.items():
-        section = frame.select(F.struct(*frame.columns).alias(name))
-        out = section if out is None else out.join(section)  # one row each
+    parts = [frame.select(F.struct(*frame.columns).alias(name)) for name, frame in sections.items()]
     head = [
         F.lit(version).alias("version"),
         F.lit(now).alias("timestamp"),
         format_uptime(F.lit(now - started)).alias("uptime"),
     ]
-    return out.select(F.to_json(F.struct(*head, *sections)).alias("json"))
+    return side_by_side(*parts).select(F.to_json(F.struct(*head, *sections)).alias("json"))
 
 
 def health(nodes: Column, seconds_since_action: Column) -> Column:

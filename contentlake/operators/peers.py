@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contentlake.functions.net import is_public_peer, is_routable
+from contentlake.operators.frames import side_by_side
 from contentlake.settings import DEFAULTS
 
 
@@ -49,7 +50,7 @@ def store_stats(peers: DataFrame, lookups: DataFrame, key: str = "key") -> DataF
     per_key = peers.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     held = per_key.agg(F.count(F.lit(1)).alias("total_keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_peers"))
     asked = lookups.agg(F.count(F.when(F.col("hit"), 1)).alias("hits"), F.count(F.when(~F.col("hit"), 1)).alias("misses"))
-    both = held.join(asked)  # one row each
+    both = side_by_side(held, asked)
     keys, tried = F.col("total_keys"), F.col("hits") + F.col("misses")
     return both.withColumn(
         "avg_peers", F.when(keys > 0, F.round(F.col("total_peers") / keys, 6)).otherwise(0.0)

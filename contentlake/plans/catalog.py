@@ -105,7 +105,7 @@ def page_info(lake: Lake):
 
 
 @query("q7_first_files", over("item_files") + """
-SELECT item_id, to_json(list({'file_index': file_index, 'path': path, 'size_bytes': size_bytes} ORDER BY file_index)) AS files
+SELECT item_id, CAST(to_json(list({'file_index': file_index, 'path': path, 'size_bytes': size_bytes} ORDER BY file_index)) AS VARCHAR) AS files
 FROM item_files WHERE file_index < 10 GROUP BY item_id
 """)
 def first_files(lake: Lake):
@@ -120,8 +120,8 @@ page AS (SELECT * FROM hit {RANK} LIMIT 50)
 
 @query("q7_search_page", SEARCH_PAGE + """
 SELECT p.item_id, p.info_hash, p.name, p.total_peers, count(f.item_id) AS num_files,
-       to_json(list({'file_index': f.file_index, 'path': f.path, 'size_bytes': f.size_bytes} ORDER BY f.file_index)
-               FILTER (f.file_index < 10)) AS files
+       CAST(to_json(list({'file_index': f.file_index, 'path': f.path, 'size_bytes': f.size_bytes} ORDER BY f.file_index)
+               FILTER (f.file_index < 10)) AS VARCHAR) AS files
 FROM page p LEFT JOIN item_files f USING (item_id) GROUP BY ALL
 """)
 def search_page(lake: Lake):

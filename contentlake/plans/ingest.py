@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from contentlake.operators import dedup, normalise
+from contentlake.operators import catalog, dedup, normalise
 from contentlake.operators.bloom import BloomTable
-from contentlake.plans.catalog import SIZED
+from contentlake.operators.frames import side_by_side
+from contentlake.plans.catalog import SIZED, hits
 from contentlake.plans.registry import over, query, scratch
 from contentlake.plans.text import ADDRESSES
 from contentlake.sources import compact, lists, records, sinks, snapshot
@@ -208,7 +209,7 @@ def catalog_batches(lake: Lake):
 
 
 @query("s12_json_rows", over("items", "item_files", sized=SIZED) + """
-SELECT item_id, to_json({'info_hash': info_hash, 'name': name, 'total_peers': total_peers, 'size_bytes': size_bytes}) AS json FROM sized WHERE size_bytes IS NOT NULL
+SELECT item_id, CAST(to_json({'info_hash': info_hash, 'name': name, 'total_peers': total_peers, 'size_bytes': size_bytes}) AS VARCHAR) AS json FROM sized WHERE size_bytes IS NOT NULL
 """)
 def json_rows(lake: Lake):
     sizes = lake.item_files.groupBy("item_id").agg(F.sum("size_bytes").alias("size_bytes"))
@@ -218,6 +219,34 @@ def json_rows(lake: Lake):
     return report.select(key, "json").join(lake.items.select("item_id", "info_hash"), "info_hash").select("item_id", "json")
 
 
+REPORT = over("items", "item_files") + f"""
+, sized AS ({SIZED}), hit AS (SELECT * FROM sized WHERE item_id IN ({hits('ring')})),
+page AS (SELECT * FROM hit ORDER BY total_peers DESC, added_ts DESC, item_id LIMIT 20 OFFSET 20)
+SELECT CAST((SELECT count(*) FROM page) AS INTEGER) AS count, CAST((SELECT count(*) FROM hit) AS BIGINT) AS total_count, true AS has_more,
+  CAST((SELECT sum(size_bytes) FROM page) AS BIGINT) AS bytes, (SELECT string_agg(info_hash, ',' ORDER BY total_peers DESC, added_ts DESC, item_id) FROM page) AS hashes,
+  CAST((SELECT sum(least(n, 10)) FROM (SELECT count(f.item_id) AS n FROM page LEFT JOIN item_files f USING (item_id) GROUP BY page.item_id)) AS BIGINT) AS listed_files
+"""
+
+
+@query("s12_search_report", REPORT)
+def search_report(lake: Lake):
+    """The JSON answer of a search page, read back."""
+    sizes = lake.item_files.groupBy("item_id").agg(F.sum("size_bytes").alias("size_bytes"))
+    found = catalog.search(lake.items, lake.item_files, "ring").join(sizes, "item_id", "left")
+    report = catalog.search_report(found, lake.item_files, 2, 20, 1_706_572_800)
+    schema = """count int, total_count bigint, page int, `limit` int, has_more boolean, timestamp bigint,
+        results array<struct<info_hash: string, name: string, size: string, size_bytes: bigint, total_peers: int, added: bigint,
+        num_files: bigint, files: array<struct<path: string, size: string, size_bytes: bigint>>>>"""
+    results = F.col("r.results")
+    zero = F.lit(0).cast("bigint")
+    return report.select(F.from_json("json", schema).alias("r")).select(
+        "r.count", "r.total_count", "r.has_more",
+        F.aggregate(results, zero, lambda acc, row: acc + row["size_bytes"]).alias("bytes"),
+        F.array_join(F.transform(results, lambda row: row["info_hash"]), ",").alias("hashes"),
+        F.aggregate(results, zero, lambda acc, row: acc + F.size(row["files"])).alias("listed_files"),
+    )
+
+
 # --- normalisation ----------------------------------------------------------------------------
 
 # paths of the file list, with leading slashes, doubled slashes and empty names mixed in
@@ -281,7 +310,7 @@ def bloom_table(lake: Lake):
     misses = bloom.probe(others, "info_hash").agg(
         F.count(F.lit(1)).alias("others"), F.count(F.when(F.col("maybe_seen"), 1)).alias("false_hits")
     )
-    both = hits.join(misses)  # one row each
+    both = side_by_side(hits, misses)
     return both.select("added", "found", "others", (F.col("false_hits") <= F.col("others") * 0.02).alias("within_rate"))
 
 

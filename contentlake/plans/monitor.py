@@ -205,7 +205,7 @@ REPORT_NOW, REPORT_START = 1_706_572_800, 1_703_980_801
 @query("m15_stats_report", decided(LIGHT, 8, 10, 7) + f""", stats AS ({STATS}), a AS (SELECT * FROM (WITH attempts AS (
   SELECT CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'fetched' WHEN 'signup' THEN 'filtered' ELSE 'observed' END AS outcome FROM events)
   SELECT count(CASE WHEN outcome <> 'observed' THEN 1 END) AS total_attempts, count(CASE WHEN outcome = 'fetched' THEN 1 END) AS fetched FROM attempts))
-SELECT '0.1' AS version, {REPORT_NOW} AS timestamp, '719:59' AS uptime, (SELECT count(*) FROM items) AS items, (SELECT count(*) FROM item_files) AS files,
+SELECT '0.1' AS version, CAST({REPORT_NOW} AS BIGINT) AS timestamp, '719:59' AS uptime, (SELECT count(*) FROM items) AS items, (SELECT count(*) FROM item_files) AS files,
   stats.total_filtered, stats.filtered_by_keyword, a.total_attempts, a.fetched,
   (SELECT count(*) FROM customer WHERE {byte_sql('sha1(CAST(c_custkey AS VARCHAR))', C)} > 128) AS distant FROM stats, a
 """)
