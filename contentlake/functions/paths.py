@@ -14,7 +14,8 @@ IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "gif", "bmp", "webp")
 
 def path_prefix(path: Column) -> Column:
     """Everything before the last ``/``; NULL without one or when nothing stands before it."""
-    return F.nullif(F.regexp_extract(path, r"(?s)^(.*)/", 1), F.lit(""))
+    size = F.length(path) - F.length(path_filename(path)) - 1
+    return F.when(size > 0, F.substring(path, F.lit(1), size))
 
 
 def path_filename(path: Column) -> Column:

@@ -125,8 +125,7 @@ def extract_title(text: Column, keywords: Sequence[str] = (), mode: str = "first
 
 def special_count(text: Column) -> Column:
     """Bytes that are neither ASCII letters or digits nor white space."""
-    kept = F.length(F.regexp_replace(text, r"[^A-Za-z0-9\s]", ""))
-    return (F.octet_length(text) - kept).cast("bigint")
+    return F.octet_length(F.regexp_replace(text, r"[A-Za-z0-9\s]+", "")).cast("bigint")
 
 
 def special_ratio(text: Column) -> Column:

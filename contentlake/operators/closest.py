@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from contentlake.functions.ids import xor_distance
 from contentlake.session import pinned
 
 ID_BITS = 160
@@ -140,23 +139,21 @@ def closest(
 
     def answer(asked_here: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         numbers = sorted(int(x, 16) for x in held["node_id"])
-        rows = [
-            (text, f"{found:040x}")
-            for text in asked_here["target"]
-            for found in _nearest(numbers, int(text, 16), k)
-        ]
-        return pd.DataFrame(rows, columns=["target", "node_id"])
+        rows = []
+        for text in asked_here["target"]:
+            wanted = int(text, 16)
+            rows.extend((text, f"{x:040x}", f"{x ^ wanted:040x}") for x in _nearest(numbers, wanted, k))
+        return pd.DataFrame(rows, columns=["target", "node_id", "distance"])
 
     keys = ("cell", "salt")
     found = (
         salted.select("target", *keys)
         .groupBy(*keys)
         .cogroup(copies.select("node_id", *keys).groupBy(*keys))
-        .applyInPandas(answer, _fields(target=StringType(), node_id=StringType()))
+        .applyInPandas(answer, _fields(target=StringType(), node_id=StringType(), distance=StringType()))
     )
-    measured = found.withColumn("distance", xor_distance(F.col("target"), F.col("node_id")))
     best = Window.partitionBy("target").orderBy("distance")
-    return measured.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
         "target", "rank", "node_id", "distance"
     )
 

@@ -40,12 +40,12 @@ def decided(keywords, kw: int, rx: int, score: int) -> str:
 
 @query("f1_heuristic_score", decided(LIGHT, 8, 9, 5) + "SELECT item_id, score FROM d")
 def heuristic_score(lake: Lake):
-    return cf.heuristic_score(lake.items, lake.item_files, LIGHT).select("item_id", "score")
+    return cf.heuristic_score(lake.spread.items, lake.spread.item_files, LIGHT).select("item_id", "score")
 
 
 @query("f2_layered_decision", decided(LIGHT, 8, 10, 7) + "SELECT item_id, score, layer, layer IS NOT NULL AS rejected FROM d")
 def layered_decision(lake: Lake):
-    out = cf.filter_content(lake.items, lake.item_files, LIGHT, PATTERNS, 8, 10, 7)
+    out = cf.filter_content(lake.spread.items, lake.spread.item_files, LIGHT, PATTERNS, 8, 10, 7)
     return out.select("item_id", "score", "layer", "rejected")
 
 
@@ -56,13 +56,13 @@ round(count(layer) * 100.0::DOUBLE / count(*), 6) AS filter_rate_percent FROM d"
 
 @query("f3_filter_stats", decided(LIGHT, 8, 10, 7) + STATS)
 def filter_stats(lake: Lake):
-    stats = cf.filter_stats(cf.filter_content(lake.items, lake.item_files, LIGHT, PATTERNS, 8, 10, 7))
+    stats = cf.filter_stats(cf.filter_content(lake.spread.items, lake.spread.item_files, LIGHT, PATTERNS, 8, 10, 7))
     return stats.withColumn("filter_rate_percent", F.round("filter_rate_percent", 6))
 
 
 @query("f4_thresholds", decided(LIGHT, 10, 11, 9) + STATS)
 def thresholds(lake: Lake):
-    out = cf.filter_content(lake.items, lake.item_files, LIGHT, PATTERNS, keyword_threshold=10, regex_threshold=11, heuristic_threshold=9)
+    out = cf.filter_content(lake.spread.items, lake.spread.item_files, LIGHT, PATTERNS, keyword_threshold=10, regex_threshold=11, heuristic_threshold=9)
     return cf.filter_stats(out).withColumn("filter_rate_percent", F.round("filter_rate_percent", 6))
 
 
@@ -76,7 +76,7 @@ SELECT *, round(CASE WHEN tp + fp + fn + tn > 0 THEN (tp + tn)::DOUBLE / (tp + f
        round(CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0 END, 6) AS recall FROM c
 """)
 def accuracy(lake: Lake):
-    folded = lake.documents.select("doc_id", ascii_lower(F.col("text")).alias("f"))
+    folded = lake.spread.documents.select("doc_id", ascii_lower(F.col("text")).alias("f"))
     predicted = folded.select("doc_id", (cf.max_keyword_weight(F.col("f"), KEYWORDS) >= 5).alias("rejected"))
     return cf.evaluate_filter(predicted, lake.labels, "doc_id", "toxic")
 
@@ -85,7 +85,7 @@ def accuracy(lake: Lake):
 SELECT CASE WHEN layer IS NULL THEN 'sink' ELSE 'seen' END AS route, info_hash FROM d
 """)
 def routed(lake: Lake):
-    accepted, rejected = cf.split_filtered(cf.filter_content(lake.items, lake.item_files, LIGHT, PATTERNS, 8, 10, 7))
+    accepted, rejected = cf.split_filtered(cf.filter_content(lake.spread.items, lake.spread.item_files, LIGHT, PATTERNS, 8, 10, 7))
     return accepted.select(F.lit("sink").alias("route"), "info_hash").unionAll(
         rejected.select(F.lit("seen").alias("route"), "info_hash")
     )

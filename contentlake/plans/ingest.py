@@ -35,7 +35,7 @@ def record_blobs(lake: Lake):
         .when(F.contains(path, F.lit("/")), multi)
         .otherwise(single)
     )
-    return lake.item_files.select("item_id", path, blob.cast("binary").alias("blob"))
+    return lake.spread.item_files.select("item_id", path, blob.cast("binary").alias("blob"))
 
 
 @query("s1_decode_records", over("item_files") + """
@@ -256,7 +256,7 @@ SPLIT = r"""SELECT item_id, path, size_bytes, nullif(regexp_extract(path, '^(.*)
 
 
 def odd_paths(lake: Lake):
-    files = lake.item_files
+    files = lake.spread.item_files
     path, n = F.col("path"), F.col("size_bytes") % 5
     odd = F.when(n == 0, F.concat(F.lit("/"), path)).when(n == 1, F.concat(path, F.lit("/"))).when(n == 2, F.replace(path, F.lit("/"), F.lit("//"))).otherwise(path)
     return files.select("item_id", odd.alias("path"), "size_bytes")

@@ -133,8 +133,8 @@ def keyword_weight(lake: Lake):
 
 
 def names_and_documents(lake: Lake):
-    items = lake.items.select(F.col("item_id").alias("id"), F.col("name").alias("t"))
-    return items.unionAll(lake.documents.select((-1 - F.col("doc_id")).alias("id"), F.col("text").alias("t")))
+    items = lake.spread.items.select(F.col("item_id").alias("id"), F.col("name").alias("t"))
+    return items.unionAll(lake.spread.documents.select((-1 - F.col("doc_id")).alias("id"), F.col("text").alias("t")))
 
 
 @query("t9_regex_weight", over("items", texts="SELECT item_id AS id, name AS t FROM items UNION ALL SELECT -1 - doc_id, text FROM documents")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
@@ -99,17 +99,22 @@ def decode_records(df: DataFrame, blob: str, strict: bool = False) -> DataFrame:
     other = [f for f in df.schema.fields if f.name != blob]
     schema = StructType(other + RECORD.fields)
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [f.name for f in other]
+    file_type = pa.list_(pa.struct([("path", pa.string()), ("size_bytes", pa.int64())]))
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            records = batch[blob].map(lambda b: None if b is None else decode_record(bytes(b), strict))
-            kept = records.notna()
-            out = batch.loc[kept, [f.name for f in other]].reset_index(drop=True)
-            found = list(records[kept])
-            for column in RECORD.names:
-                out[column] = pd.Series([r[column] for r in found], dtype="int64" if column == "size_bytes" else object)
-            yield out
-
-    return df.mapInPandas(decode, schema)
+            records = [None if b is None else decode_record(b, strict) for b in batch.column(blob).to_pylist()]
+            kept = batch.filter(pa.array([r is not None for r in records], pa.bool_()))
+            found = [r for r in records if r is not None]
+            columns = [kept.column(name) for name in names] + [
+                pa.array([r["name"] for r in found], pa.string()),
+                pa.array([r["size_bytes"] for r in found], pa.int64()),
+                pa.array([r["files"] for r in found], file_type),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names + RECORD.names)
+
+    return df.mapInArrow(decode, schema)
 
 
 def decode_json_records(df: DataFrame, text: str) -> DataFrame:
