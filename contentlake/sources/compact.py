@@ -17,7 +17,7 @@ from contentlake.settings import DEFAULTS
 def _chunks(binary: Column, size: int, most: int | None = None) -> Column:
     """Hex text of every whole ``size``-byte chunk; a trailing rest is ignored."""
     text, digits = F.lower(F.hex(binary)), 2 * size
-    count = F.floor(F.octet_length(binary) / size).cast("int")
+    count = F.coalesce(F.floor(F.octet_length(binary) / size).cast("int"), F.lit(0))
     if most is not None:
         count = F.least(count, F.lit(most))
     cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(text, i * digits + 1, F.lit(digits)))
