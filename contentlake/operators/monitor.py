@@ -32,8 +32,8 @@ def minute_counts(df: DataFrame, ts: str = "ts", keys: tuple[str, ...] = ()) ->
 
 
 def hourly_count(minutes: DataFrame, now_minute: int) -> DataFrame:
-    """Rows of minutes less than 60 before ``now_minute``."""
-    recent = (F.col("minute") > 0) & (F.lit(now_minute) - F.col("minute") < 60)
+    """Rows of ``now_minute`` and the 59 minutes before it."""
+    recent = F.col("minute").between(now_minute - 59, now_minute)
     return minutes.agg(F.coalesce(F.sum(F.when(recent, F.col("n"))), F.lit(0)).alias("last_hour"))
 
 

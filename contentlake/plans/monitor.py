@@ -30,10 +30,10 @@ def minute_counts_by_type(lake: Lake):
     return m.minute_counts(lake.events, keys=("event_type",))
 
 
-NOW_MINUTE = 28_420_000  # 2024-01-14 10:40 UTC
+NOW_MINUTE = 28_420_000  # 2024-01-14 02:40 UTC
 
 
-@query("m2_hourly_count", over(c=MINUTES) + f"SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS last_hour FROM c WHERE {NOW_MINUTE} - minute < 60")
+@query("m2_hourly_count", over(c=MINUTES) + f"SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS last_hour FROM c WHERE minute <= {NOW_MINUTE} AND {NOW_MINUTE} - minute < 60")
 def hourly_count(lake: Lake):
     return m.hourly_count(m.minute_counts(lake.events), NOW_MINUTE)
 
