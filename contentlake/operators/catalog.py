@@ -17,7 +17,7 @@ from contentlake.functions.ids import is_id
 from contentlake.functions.paths import VIDEO_EXTENSIONS, path_filename
 from contentlake.functions.stems import stem, stem_tokens
 from contentlake.functions.text import ascii_lower, format_size, magnet_link, percent_encode
-from contentlake.operators.frames import side_by_side
+from contentlake.operators.frames import join_nullable, side_by_side
 from contentlake.settings import DEFAULTS
 
 # Accented Latin letters and their bare forms, folded for token search.
@@ -30,10 +30,15 @@ WORD_BREAK = r"[^\p{L}\p{N}]+"
 # --- tokens and match expressions -------------------------------------------------------------
 
 
+def folded(text: Column) -> Column:
+    """Lower case without diacritics; plain-ASCII rows need no translation."""
+    lowered = F.lower(text)
+    return F.when(F.length(text) == F.octet_length(text), lowered).otherwise(F.translate(lowered, DIACRITICS, BARE))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words with diacritics folded."""
-    folded = F.translate(F.lower(text), DIACRITICS, BARE)
-    return F.filter(F.split(folded, WORD_BREAK), lambda w: w != "")
+    return F.filter(F.split(folded(text), WORD_BREAK), lambda w: w != "")
 
 
 def stemmed_tokens(text: Column) -> Column:
@@ -133,11 +138,11 @@ def _may_match(query: str) -> Column | None:
     With implied AND, a name must contain the first letters of every word: a stem of three or more
     letters keeps the first two of its word, a shorter one the first.
     """
-    folded = F.translate(F.lower(F.col("name")), DIACRITICS, BARE)
+    name = folded(F.col("name"))
     test = None
     for word in _needed_words(query) or ():
         kept = stem(word)
-        has = F.contains(folded, F.lit(kept[:2] if len(kept) > 2 else kept[:1]))
+        has = F.contains(name, F.lit(kept[:2] if len(kept) > 2 else kept[:1]))
         test = has if test is None else test & has
     return test
 
@@ -177,12 +182,12 @@ def search_count(items: DataFrame, files: DataFrame, query: str, stemming: bool
 def name_postings(items: DataFrame, stemming: bool = True, buckets: int = 256) -> DataFrame:
     """Search postings (bucket, term, item_id, positions) to be written partitioned by bucket.
 
-    Rows are grouped by (term, item), so the postings of a term found in a third of all names are
-    spread over all tasks and no list grows beyond one name.
+    Built row by row without a shuffle: one posting per distinct word of a name.
     """
     words = stemmed_tokens(F.col("name")) if stemming else tokens(F.col("name"))
-    exploded = items.select("item_id", F.posexplode(words).alias("position", "term"))
-    rows = exploded.groupBy("term", "item_id").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+    exploded = items.select("item_id", words.alias("_words")).withColumn("term", F.explode(F.array_distinct("_words")))
+    places = F.transform("_words", lambda word, i: F.when(word == F.col("term"), i))
+    rows = exploded.select("term", "item_id", F.filter(places, lambda i: i.isNotNull()).alias("positions"))
     return rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
 
 
@@ -298,7 +303,7 @@ def lookup_many(items: DataFrame, keys: DataFrame, key: str = "query") -> DataFr
         "info_hash", F.when(F.col("valid"), F.lower(F.col(key)))
     )
     known = items.select("info_hash", "name", F.lit(True).alias("found"))
-    return asked.join(known, "info_hash", "left").select(
+    return join_nullable(asked, known, "info_hash").select(
         key, "valid", F.coalesce("found", F.lit(False)).alias("found"), "name"
     )
 

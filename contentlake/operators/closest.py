@@ -106,7 +106,7 @@ def closest(
 ) -> DataFrame:
     """(target, rank, node_id, distance): the k nearest nodes per distinct target. Dropped nodes are
     to be filtered out beforehand."""
-    ids = nodes.select(F.col(node_id).alias("node_id")).distinct()
+    ids = pinned(nodes.select(F.col(node_id).alias("node_id")).distinct())  # read by every pass below
     wanted = targets.select(F.col(target).alias("target")).distinct()
     directory = cell_directory(ids, "node_id", cells, smallest)
     if not directory:

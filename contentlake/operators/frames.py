@@ -20,3 +20,14 @@ def side_by_side(*frames: DataFrame) -> DataFrame:
 
     rows = reduce(DataFrame.unionAll, map(widened, frames))
     return rows.agg(*[F.first(f.name, ignorenulls=True).alias(f.name) for f in fields])
+
+
+def join_nullable(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join on a key that is NULL in many left rows.
+
+    NULL keys match nothing but would all meet in one task; a salt deals them out.
+    """
+    other = [c for c in left.columns if c != key]
+    salt = F.when(F.col(key).isNull(), F.xxhash64(*other)).otherwise(F.lit(0).cast("bigint"))
+    known = right.withColumn("_salt", F.lit(0).cast("bigint"))
+    return left.withColumn("_salt", salt).join(known, [key, "_salt"], "left").drop("_salt")

@@ -84,8 +84,8 @@ def ema(series: DataFrame, key: str, order: list[str], x: str, alpha: float = DE
     joined by the value each piece starts from. ``order`` must break all ties.
     """
     rows = cut_by_range(series.withColumn("_x", F.col(x).cast("double")), [key], order, piece_rows)
-    first = rows.groupBy(key).agg(F.min(PIECE).alias("_first"))
-    marked = rows.join(first, key).withColumn("_seeds", F.col(PIECE) == F.col("_first")).drop("_first")
+    first = rows.groupBy(key).agg(F.min(PIECE).alias(PIECE)).withColumn("_seeds", F.lit(True))
+    marked = rows.join(first, [key, PIECE], "left").withColumn("_seeds", F.coalesce("_seeds", F.lit(False)))
     schema = StructType(
         [*marked.schema.fields, StructField("_local", DoubleType()), StructField("_decay", DoubleType())]
     )

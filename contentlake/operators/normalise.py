@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contentlake.functions.paths import join_path, path_filename, path_prefix
+from contentlake.operators.frames import join_nullable
 from contentlake.operators.ordering import number_rows
 
 
@@ -13,27 +14,34 @@ def split_paths(files: DataFrame, path: str = "path") -> DataFrame:
     return files.withColumn("prefix", path_prefix(F.col(path))).withColumn("filename", path_filename(F.col(path)))
 
 
+def _prefixes(files: DataFrame, path: str) -> DataFrame:
+    """Unique prefixes; a map-side partial aggregate sends a hot prefix once per task."""
+    return files.select(path_prefix(F.col(path)).alias("prefix")).filter("prefix IS NOT NULL").distinct()
+
+
 def prefix_dictionary(files: DataFrame, path: str = "path") -> DataFrame:
-    """(prefix_id, prefix): unique prefixes numbered 1.. in text order.
+    """(prefix_id, prefix): unique prefixes numbered 1.. in text order, without a global window."""
+    return number_rows(_prefixes(files, path), ["prefix"], "prefix_id").select("prefix_id", "prefix")
 
-    The prefixes are de-duplicated with a map-side partial aggregate before they move, so a prefix
-    that holds a third of all files travels once per task; numbering is distributed.
-    """
-    prefixes = files.select(path_prefix(F.col(path)).alias("prefix")).filter("prefix IS NOT NULL").distinct()
-    return number_rows(prefixes, ["prefix"], "prefix_id").select("prefix_id", "prefix")
+
+def extend_dictionary(prefixes: DataFrame, files: DataFrame, path: str = "path") -> DataFrame:
+    """The dictionary with unknown prefixes of ``files`` added after its highest id; old ids stay."""
+    new = _prefixes(files, path).join(prefixes.select("prefix"), "prefix", "left_anti")
+    numbered = number_rows(new, ["prefix"], "_n")
+    highest = prefixes.agg(F.coalesce(F.max("prefix_id"), F.lit(0)).cast("bigint").alias("m")).first()["m"]
+    return prefixes.unionByName(numbered.select((F.col("_n") + highest).alias("prefix_id"), "prefix"))
 
 
 def encode_prefixes(files: DataFrame, prefixes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(files with nullable prefix_id and filename, dictionary).
+    """(files with nullable prefix_id and filename, dictionary); a given dictionary is extended.
 
     The join back is left to Catalyst: a small dictionary is broadcast by its size statistics, a
     large one is shuffled and AQE splits the hot prefixes.
     """
-    prefixes = prefix_dictionary(files) if prefixes is None else prefixes
-    encoded = split_paths(files).join(prefixes, "prefix", "left").drop("prefix", "path")
-    return encoded, prefixes
+    prefixes = prefix_dictionary(files) if prefixes is None else extend_dictionary(prefixes, files)
+    return join_nullable(split_paths(files), prefixes, "prefix").drop("prefix", "path"), prefixes
 
 
 def rebuild_paths(files: DataFrame, prefixes: DataFrame) -> DataFrame:
-    joined = files.join(prefixes, "prefix_id", "left")
+    joined = join_nullable(files, prefixes, "prefix_id")
     return joined.withColumn("path", join_path(F.col("prefix"), F.col("filename"))).drop("prefix", "prefix_id", "filename")

@@ -12,7 +12,6 @@ class Settings:
     sample_size: int = 100
     # ingest
     max_record_bytes: int = 10 * 1024 * 1024
-    batch_rows: int = 500
     flush_seconds: int = 60
     ids_per_response: int = 100
     nodes_per_response: int = 256
@@ -22,7 +21,6 @@ class Settings:
     heuristic_threshold: int = 5
     default_weight: int = 5
     # key space
-    closest_k: int = 8
     distant_first_byte: int = 128
     distant_fresh_seconds: int = 60
     close_fresh_seconds: int = 300
@@ -33,7 +31,6 @@ class Settings:
     min_evict_age: int = 60
     cooldown_seconds: int = 3
     submit_percent: int = 17
-    cache_capacity: int = 50_000
     # peers
     peers_per_key: int = 50
     ready_peers: int = 10
@@ -42,8 +39,6 @@ class Settings:
     request_seconds: int = 8
     # monitoring
     ema_alpha: float = 0.3
-    pause_at: int = 2500
-    resume_below: int = 1000
     critical_nodes: int = 10
     warning_nodes: int = 50
     action_gap_seconds: int = 600

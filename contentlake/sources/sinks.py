@@ -21,6 +21,12 @@ def read_catalog(spark: SparkSession, path: str, key: str = "info_hash") -> Data
     return latest_versions(rows, key, "added_ts", EPOCH).drop(EPOCH)
 
 
+def write_clustered(df: DataFrame, path: str, *columns: str) -> None:
+    """Write rows in global order of ``columns``, so that file and row-group statistics prune reads
+    by them (item_id for files, info_hash for look-ups, added_ts for the latest items)."""
+    df.repartitionByRange(*columns).sortWithinPartitions(*columns).write.mode("overwrite").parquet(path)
+
+
 def to_json_report(df: DataFrame, name: str = "json") -> DataFrame:
     """Every row as one JSON object in column ``name``."""
     return df.select(F.to_json(F.struct(*df.columns)).alias(name))

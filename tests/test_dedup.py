@@ -97,3 +97,25 @@ def test_fifo_and_fill(spark):
     base = spark.createDataFrame([("a", 0)], "k string, ts int")
     filled = dedup.fill_from(base, rows.select("k", F.lit(0).alias("ts")), 1, "k", [F.asc("k")])
     assert sorted(r["k"] for r in filled.collect()) == ["a", "b"]
+
+
+def test_dictionary_keeps_ids_and_loses_no_prefix(spark):
+    from contentlake.operators import normalise
+
+    old = spark.createDataFrame([("b/x",), ("d/y",), ("root",)], "path string")
+    encoded, first = normalise.encode_prefixes(old)
+    more = spark.createDataFrame([("a/1",), ("d/2",), ("c/3",), ("/lead",), ("tail/",), ("",)], "path string")
+    again, second = normalise.encode_prefixes(more, first)
+    assert {(r["prefix"], r["prefix_id"]) for r in second.collect()} == {("b", 1), ("d", 2), ("a", 3), ("c", 4), ("tail", 5)}
+    rebuilt = {r["path"] for r in normalise.rebuild_paths(again, second).collect()}
+    assert rebuilt == {"a/1", "d/2", "c/3", "lead", "tail/", ""}
+    assert {r["path"] for r in normalise.rebuild_paths(encoded, second).collect()} == {"b/x", "d/y", "root"}
+
+
+def test_many_rows_without_a_key_are_dealt_out(spark):
+    from contentlake.operators.frames import join_nullable
+
+    left = spark.range(5000).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("k"), "id")
+    right = spark.range(0, 5000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    out = join_nullable(left, right, "k")
+    assert out.count() == 5000 and out.filter("v IS NOT NULL").count() == len([i for i in range(0, 5000, 6)])
