@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -75,58 +77,79 @@ def interval_rate(counters: DataFrame, key: str, at: str = "at", n: str = "n") -
     return spans.withColumn("rate", rate)
 
 
+def _decayed_sums(x: np.ndarray, starts: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """Per run (beginning where ``starts`` is true) the average from a zero start, and each row's
+    place in its run. Spans of doubling length are added up, so no row is visited on its own."""
+    run_start = np.maximum.accumulate(np.where(starts, np.arange(len(x)), 0))
+    place = np.arange(len(x)) - run_start
+    sums, span = alpha * x, 1
+    while span <= place.max():
+        reach = place[span:] >= span
+        sums[span:] += np.where(reach, (1.0 - alpha) ** span * sums[:-span], 0.0)
+        span *= 2
+    return sums, place + 1
+
+
 def ema(series: DataFrame, key: str, order: list[str], x: str, alpha: float = DEFAULTS.ema_alpha,
-        piece_rows: int = PIECE_ROWS) -> DataFrame:
+        piece_rows: int = 1 << 33) -> DataFrame:
     """``series`` with ``ema``: the first value seeds, then alpha x + (1 - alpha) previous.
 
-    A piece of a key's series maps the average before it to ``decay * before + gain``, so long
-    series are cut into pieces of bounded length, smoothed piece by piece in Arrow batches, and
-    joined by the value each piece starts from. ``order`` must break all ties.
+    Rows are sorted into range partitions and smoothed in one pass over their Arrow batches, from a
+    zero start in each piece (by default a whole partition). A value carried into a piece adds
+    ``(1 - alpha) ** place`` times itself, and seeding is carrying in the first value, so all that is
+    left is the value carried over each border that a key crosses: fewer rows than pieces, which
+    bounds the broadcast. ``order`` must break all ties, keys and values not be NULL.
     """
     rows = cut_by_range(series.withColumn("_x", F.col(x).cast("double")), [key], order, piece_rows)
-    first = rows.groupBy(key).agg(F.min(PIECE).alias(PIECE)).withColumn("_seeds", F.lit(True))
-    marked = rows.join(first, [key, PIECE], "left").withColumn("_seeds", F.coalesce("_seeds", F.lit(False)))
-    schema = StructType(
-        [*marked.schema.fields, StructField("_local", DoubleType()), StructField("_decay", DoubleType())]
-    )
-
-    def smooth(piece: pd.DataFrame) -> pd.DataFrame:
-        piece = piece.sort_values(order, kind="stable")
-        values = piece["_x"].to_numpy()
-        steps = np.arange(1, len(values) + 1)
-        if piece["_seeds"].iloc[0]:
-            local = pd.Series(values).ewm(alpha=alpha, adjust=False).mean().to_numpy()
-            decay = np.zeros(len(values))
-        else:  # start from zero; the value carried in decays from step to step
-            local = pd.Series(np.concatenate(([0.0], values))).ewm(alpha=alpha, adjust=False).mean().to_numpy()[1:]
-            decay = (1.0 - alpha) ** steps
-        return piece.assign(_local=local, _decay=decay)
-
-    smoothed = marked.groupBy(key, PIECE).applyInPandas(smooth, schema)
-    at = F.struct(*order)
-    ends = smoothed.groupBy(key, PIECE).agg(F.max_by(F.struct("_local", "_decay"), at).alias("_end"))
-    spanning = ends.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key)
+    added = [StructField(name, DoubleType()) for name in ("_local", "_decay", "_seed")]
+    schema = StructType([*rows.schema.fields, *added])
+
+    def smooth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # key, piece, local, place and first value of the run the last batch ended in
+        for batch in batches:
+            if not len(batch):
+                continue
+            values = batch["_x"].to_numpy(dtype="float64", copy=True)
+            keys, pieces = batch[key].to_numpy(), batch[PIECE].to_numpy()
+            starts = np.ones(len(batch), dtype=bool)
+            starts[1:] = (keys[1:] != keys[:-1]) | (pieces[1:] != pieces[:-1])
+            local, place = _decayed_sums(values, starts, alpha)
+            seed = values[np.maximum.accumulate(np.where(starts, np.arange(len(values)), 0))]
+            if held is not None and (held[0], held[1]) == (keys[0], pieces[0]):
+                ends = np.flatnonzero(starts[1:])
+                n = ends[0] + 1 if len(ends) else len(values)
+                local[:n] += (1.0 - alpha) ** place[:n] * held[2]
+                place[:n] += held[3]
+                seed[:n] = held[4]
+            held = keys[-1], pieces[-1], local[-1], place[-1], seed[-1]
+            yield batch.assign(_local=local, _decay=(1.0 - alpha) ** place, _seed=seed)
+
+    smoothed = rows.mapInPandas(smooth, schema)
+    last = F.max_by(F.struct("_local", "_decay", "_seed"), F.struct(*order))
+    ends = smoothed.groupBy(key, PIECE).agg(last.alias("_end"))
+    spans = rows.groupBy(key).agg(F.min(PIECE).alias("_from"), F.max(PIECE).alias("_to"))
+    spanning = spans.filter("_from < _to").select(key)
     carry_schema = StructType(
         [series.schema[key], StructField(PIECE, LongType()), StructField("_carry", DoubleType())]
     )
 
     def chain(pieces: pd.DataFrame) -> pd.DataFrame:
         pieces = pieces.sort_values(PIECE)
-        carry, carried = 0.0, []
+        carry, carried = pieces["_seed"].iloc[0], []
         for local, decay in zip(pieces["_local"], pieces["_decay"]):
             carried.append(carry)
             carry = local + decay * carry
         return pieces.assign(_carry=carried)[[key, PIECE, "_carry"]]
 
-    # one row per piece of the keys that span several
+    # only keys that cross a border, one row per piece of theirs
     carried = (
         ends.join(spanning, key, "left_semi")
-        .select(key, PIECE, "_end._local", "_end._decay")
+        .select(key, PIECE, "_end._local", "_end._decay", "_end._seed")
         .groupBy(key)
         .applyInPandas(chain, carry_schema)
     )
-    out = smoothed.join(carried, [key, PIECE], "left")
-    value = F.col("_local") + F.col("_decay") * F.coalesce("_carry", F.lit(0.0))
+    out = smoothed.join(F.broadcast(carried), [key, PIECE], "left")
+    value = F.col("_local") + F.col("_decay") * F.coalesce("_carry", "_seed")
     return out.select(*series.columns, value.alias("ema"))
 
 

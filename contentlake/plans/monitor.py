@@ -67,11 +67,11 @@ def ema_sql(source: str, key: str, order: str, x: str) -> str:
 
 
 @query("m4_ema", over(r=READINGS, q=RATES, f="SELECT * FROM q WHERE rate IS NOT NULL", e=ema_sql("f", "user_id", "sec", "rate")) + """
-SELECT user_id, sec AS reading, round(ema * 3600, 5) AS ema_per_hour FROM e
+SELECT user_id, sec AS reading, round(ema, 10) AS ema FROM e
 """)
 def ema(lake: Lake):
     rates = user_rates(lake).filter(F.col("rate").isNotNull())
-    return m.ema(rates, "user_id", ["at"], "rate").select("user_id", F.col("at").alias("reading"), F.round(F.col("ema") * 3600, 5).alias("ema_per_hour"))
+    return m.ema(rates, "user_id", ["at"], "rate").select("user_id", F.col("at").alias("reading"), F.round("ema", 10).alias("ema"))
 
 
 @query("m4_ema_values", f"""
@@ -95,11 +95,11 @@ LOW, AGE, GRACE = 0.00009, 5 * 86400, 86400
         first_value(n) OVER g AS n2, first_value(sec) OVER g AS sec2 FROM e JOIN b USING (user_id)
         WINDOW g AS (PARTITION BY user_id ORDER BY sec RANGE BETWEEN {GRACE} FOLLOWING AND UNBOUNDED FOLLOWING)),
 a AS (SELECT *, 0.3::DOUBLE * (n2 - n + dn) / (sec2 - sec + dt) + 0.7::DOUBLE * ema AS again FROM l)
-SELECT user_id, sec AS reading, age, low, round(CASE WHEN low THEN again * 3600 END, 5) AS after_grace, coalesce(low AND again < {LOW}::DOUBLE, false) AS shut_down FROM a
+SELECT user_id, sec AS reading, age, low, round(CASE WHEN low THEN again END, 10) AS after_grace, coalesce(low AND again < {LOW}::DOUBLE, false) AS shut_down FROM a
 """)
 def low_rate(lake: Lake):
     out = m.low_rate(user_rates(lake), "user_id", LOW, AGE, GRACE)
-    return out.select("user_id", F.col("at").alias("reading"), "age", "low", F.round(F.col("ema_after_grace") * 3600, 5).alias("after_grace"), "shut_down")
+    return out.select("user_id", F.col("at").alias("reading"), "age", "low", F.round("ema_after_grace", 10).alias("after_grace"), "shut_down")
 
 
 @query("m7_hysteresis", """

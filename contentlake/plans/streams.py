@@ -125,8 +125,8 @@ SMOOTHED = over(r=READINGS, q=RATES, b="SELECT user_id, min(sec) AS born FROM r
 @query("z6_ema_stream", SMOOTHED + f"""
 , l AS (SELECT e.*, ema < {LOW}::DOUBLE AND sec - born >= {AGE} AS low, first_value(n) OVER g AS n2, first_value(sec) OVER g AS sec2 FROM e JOIN b USING (user_id)
         WINDOW g AS (PARTITION BY user_id ORDER BY sec RANGE BETWEEN {GRACE} FOLLOWING AND UNBOUNDED FOLLOWING))
-SELECT user_id AS key, sec AS reading, round(ema * 3600, 5) AS ema_per_hour, low, CAST(NULL AS BIGINT) AS shut_down_at FROM l
-UNION ALL SELECT user_id, sec, round((0.3::DOUBLE * (n2 - n + dn) / (sec2 - sec + dt) + 0.7::DOUBLE * ema) * 3600, 5), true, sec2 FROM l
+SELECT user_id AS key, sec AS reading, round(ema, 10) AS ema, low, CAST(NULL AS BIGINT) AS shut_down_at FROM l
+UNION ALL SELECT user_id, sec, round(0.3::DOUBLE * (n2 - n + dn) / (sec2 - sec + dt) + 0.7::DOUBLE * ema, 10), true, sec2 FROM l
 WHERE low AND 0.3::DOUBLE * (n2 - n + dn) / (sec2 - sec + dt) + 0.7::DOUBLE * ema < {LOW}::DOUBLE
 """)
 def ema_stream(lake: Lake):
@@ -135,7 +135,7 @@ def ema_stream(lake: Lake):
     user_rates(lake).withColumnRenamed("user_id", "key").write.parquet(path)
     readings = st.read_events(lake.spark, path, lake.spark.read.parquet(path).schema)
     out = run(lake, sp.ema_stream(readings, LOW, AGE, GRACE), "update")
-    return out.select("key", F.col("at").alias("reading"), F.round(F.col("ema") * 3600, 5).alias("ema_per_hour"), "low", "shut_down_at")
+    return out.select("key", F.col("at").alias("reading"), F.round("ema", 10).alias("ema"), "low", "shut_down_at")
 
 
 @query("z7_catalog_sink", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
