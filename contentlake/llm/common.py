@@ -69,6 +69,51 @@ def each_group(grouped: GroupedData, work: Callable[[Iterator[pa.RecordBatch]],
     return grouped.applyInArrow(run, schema)
 
 
+def each_run(df: DataFrame, keys: list[str], work: Callable[[pa.Table], dict | None], schema: str) -> DataFrame:
+    """``work`` on the rows of each key (long or int columns), as one Arrow table. Keys share tasks and are sorted there, so
+    that many small keys cost no more than a few large ones; a task holds one key at a time."""
+    ordered = df.repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches):
+        waiting: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            columns = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+            new = np.zeros(batch.num_rows, bool)
+            for c in columns:
+                new[1:] |= c[1:] != c[:-1]
+            cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                key = tuple(c[a] for c in columns)
+                if waiting and key != last:
+                    out = work(pa.Table.from_batches(waiting))
+                    waiting = []
+                    if out:
+                        yield out
+                last = key
+                waiting.append(batch.slice(a, b - a))
+        if waiting:
+            out = work(pa.Table.from_batches(waiting))
+            if out:
+                yield out
+
+    def gathered(batches, rows=5000):
+        held: list[dict] = []
+        count = 0
+        for out in run(batches):
+            held.append(out)
+            count += len(next(iter(out.values())))
+            if count >= rows:
+                yield {k: [x for o in held for x in o[k]] for k in held[0]}
+                held, count = [], 0
+        if held:
+            yield {k: [x for o in held for x in o[k]] for k in held[0]}
+
+    return scan(ordered, gathered, schema)
+
+
 class Counters:
     """Counts of hashed keys in 2**bits cells, as a task gathers them: memory is fixed, whatever the input."""
 
@@ -126,6 +171,7 @@ def components(edges: DataFrame, left: str, right: str, most_rounds: int = 50) -
     ordered type; NULL ends no edge.
     """
     stars = pinned(edges.select(F.col(left).alias("a"), F.col(right).alias("b")).filter("a <> b").distinct())
+    state = None
     for _ in range(most_rounds):
         both = stars.union(stars.select("b", "a"))
         # Large star: neighbours larger than a node go to the least of the node and its neighbours.
@@ -136,9 +182,9 @@ def components(edges: DataFrame, left: str, right: str, most_rounds: int = 50) -
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").selectExpr("b AS a", "m AS b").union(least.selectExpr("a", "m AS b"))
         new = pinned(small.filter("a <> b").distinct())
-        same = new.count() == stars.count() and new.exceptAll(stars).isEmpty()
-        stars = new
-        if same:
+        stars, before = new, state
+        state = new.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
+        if state == before:
             # Done: every edge leads to its root.
             roots = stars.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
             return roots.union(stars.selectExpr("b AS node", "b AS root").distinct())

@@ -12,8 +12,10 @@ frequent. Two sets of Jaccard similarity t differ in at most ``n - ceil(t n)`` m
 Similar sets share a signature. How many classes there are depends on the size of the sets, so a set that goes into its
 frequent shingles does so for its own size level and the next one; similar sets are at most one level apart.
 
-Sets that share a signature meet in the cell of the smallest set of that signature, per size level, in bounded blocks,
-and are compared exactly there. Only a spanning forest of the links leaves a block. Equal sets are one node from the start.
+Sets that share a signature meet in the cell of the smallest set of that signature, per size level, in bounded blocks.
+There bit maps of the sets (two bits or more per member) bound every intersection from above, which drops pairs that
+only share a passage. What stays falls into clusters; each set of a cluster travels once to it (once per block pair
+of a large one) and is compared exactly. Only spanning forests leave a block. Equal sets are one node from the start.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contentlake.llm import words as W
-from contentlake.llm.common import Counters, cell_flags, components, each_group, parts, saved, scan
+from contentlake.llm.common import Counters, cell_flags, components, each_group, each_run, parts, saved, scan
 
 U64 = np.uint64
 #: Size levels grow by this factor; it is not below 1 / threshold.
@@ -139,26 +141,54 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def bit_map(members: np.ndarray) -> bytes:
+    """Members hashed into a power of two of bits, two to four for each."""
+    bits = max(64, 1 << (2 * len(members) - 1).bit_length())
+    cells = np.zeros(bits, bool)
+    cells[(members >> U64(20)) & U64(bits - 1)] = True
+    return np.packbits(cells).tobytes()
+
+
+def folded(data: bytes, size: int) -> np.ndarray:
+    """A bit map brought to ``size`` bytes: equal low bits fall together."""
+    cells = np.frombuffer(data, np.uint8)
+    return np.bitwise_or.reduce(cells.reshape(-1, size), axis=0)
+
+
+def possible_pairs(maps: list[bytes], sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Boolean matrix of pairs whose bit maps do not rule out similarity: |a & b| is at most the common bits and the
+    members that share a bit with others of their set."""
+    bits = np.stack([folded(m, min(map(len, maps))) for m in maps])
+    extra = sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    out = np.zeros((len(maps), len(maps)), bool)
+    for k in range(len(maps)):
+        common = np.bitwise_count(bits[k] & bits).sum(axis=1, dtype=np.int64)
+        most = np.minimum(common + np.minimum(extra, extra[k]), np.minimum(sizes, sizes[k]))
+        out[k] = 100 * most >= percent * (sizes + sizes[k] - most)
+    return out
+
+
 def read_profile(docs: DataFrame, size: int, bits: int) -> DataFrame:
-    """Per document (kind 0) id, set size, set fingerprint; per task (kind 1) counts of shingle hashes."""
+    """Per document id, set size, fingerprint and bit map of its set; per task counts of shingle hashes."""
 
     def work(batches):
         counters = Counters(bits)
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            ns, prints = [], []
+            ns, prints, maps = [], [], []
             for part in W.slices(W.text_column(batch, "text")):
                 for members in shingle_sets(part, size):
                     counters.add(members)
                     ns.append(len(members))
                     prints.append(fingerprint(members) if len(members) else None)
+                    maps.append(bit_map(members) if len(members) else None)
             none = [None] * len(ids)
-            yield {"doc_id": ids, "n": ns, "print": prints, "block": none, "cells": none}
+            yield {"doc_id": ids, "n": ns, "print": prints, "map": maps, "block": none, "cells": none}
         blocks, cells = counters.rows()
         none = [None] * len(blocks)
-        yield {"doc_id": none, "n": none, "print": none, "block": blocks, "cells": cells}
+        yield {"doc_id": none, "n": none, "print": none, "map": none, "block": blocks, "cells": cells}
 
-    return scan(docs, work, "doc_id long, n long, print long, block int, cells binary")
+    return scan(docs, work, "doc_id long, n long, print long, map binary, block int, cells binary")
 
 
 def read_signatures(docs: DataFrame, size: int, percent: int, flags, bits: int, buckets: int, flush: int = 1 << 20) -> DataFrame:
@@ -247,10 +277,10 @@ def meet(entries: DataFrame, limit: int = 1 << 22) -> DataFrame:
 
 
 def cells_of(met: DataFrame, nodes: DataFrame, block_sets: int, block_members: int) -> DataFrame:
-    """``(hub, level, i, j, print)``: which sets are compared in which block pair of which cell.
+    """``(hub, level, i, j, print, own)``: which sets are compared in which block pair of which cell.
 
     A set joins its own level and, as the smaller side, the next one. A cell level counts only if two sets are there
-    and one is of that level. Large ones are dealt into blocks by hash; a set goes to the pairs of its block with each.
+    and one is of that level.
     """
     seen = met.filter("NOT moved").select("hub", "print").distinct()
     moved = met.filter("moved").selectExpr("print AS hub", "hub AS final").distinct()
@@ -262,12 +292,17 @@ def cells_of(met: DataFrame, nodes: DataFrame, block_sets: int, block_members: i
     sums = levels.groupBy("hub", "level").agg(
         F.count("*").alias("sets"), F.sum("n").alias("size"), F.max(F.col("own") == F.col("level")).alias("mine")
     )
+    return in_blocks(levels, sums.filter("sets > 1 AND mine"), ["hub", "level"], block_sets, block_members, "own")
+
+
+def in_blocks(rows: DataFrame, sums: DataFrame, keys: list[str], block_sets: int, block_members: int, *more: str) -> DataFrame:
+    """Deal the sets of each key that ``sums`` lists into blocks of bounded number and size, by hash, and send each to all
+    pairs (i, j) of its block with another: any two sets of a key meet."""
     blocks = F.greatest(F.ceil(F.col("sets") / block_sets), F.ceil(F.col("size") / block_members)).cast("int")
-    sums = sums.filter("sets > 1 AND mine").select("hub", "level", blocks.alias("blocks"))
-    dealt = levels.join(sums, ["hub", "level"]).withColumn("k", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.select("hub", "level", "print", "k", other.alias("o"))
-    return dealt.select("hub", "level", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "print")
+    dealt = rows.join(sums.select(*keys, blocks.alias("blocks")), keys)
+    dealt = dealt.withColumn("k", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(*keys, "print", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), *more)
 
 
 def read_sets(docs: DataFrame, wanted, bits: int, size: int) -> DataFrame:
@@ -303,19 +338,31 @@ def id_flags(ids: DataFrame, bits: int) -> np.ndarray:
     return cell_flags(scan(ids, work, "block int, cells binary"), bits, lambda counts: counts > 0)
 
 
-def compare(cells: DataFrame, percent: int) -> DataFrame:
+def compare_maps(cells: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: a forest of the pairs that bit maps leave possible, of each block pair. In a level, one of the two sets
+    is of that level (two smaller ones have met in their own)."""
+
+    def work(table):
+        maps, sizes, prints = (table.column(c) for c in ("map", "n", "print"))
+        own = table.column("own").to_numpy() == table.column("level").to_numpy()
+        possible = possible_pairs(maps.to_pylist(), sizes.to_numpy(), percent) & (own[:, None] | own[None, :])
+        prints, links = prints.to_pylist(), forest(possible)
+        return {"a": [prints[i] for i, _ in links], "b": [prints[j] for _, j in links]}
+
+    return each_run(cells, ["hub", "level", "i", "j"], work, "a long, b long")
+
+
+def compare_sets(clusters: DataFrame, percent: int) -> DataFrame:
     """``(a, b)``: links that connect the similar sets of each block pair."""
 
-    def work(batches):
-        found: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for p, m in zip(batch.column("print").to_pylist(), batch.column("members").to_pylist(), strict=True):
-                found.setdefault(p, np.frombuffer(m, U64))
+    def work(table):
+        pairs = zip(table.column("print").to_pylist(), table.column("members").to_pylist(), strict=True)
+        found = {p: np.frombuffer(m, U64) for p, m in pairs}
         prints = sorted(found)
         links = forest(similar_pairs([found[p] for p in prints], percent))
-        yield {"a": [prints[i] for i, _ in links], "b": [prints[j] for _, j in links]}
+        return {"a": [prints[i] for i, _ in links], "b": [prints[j] for _, j in links]}
 
-    return each_group(cells.groupBy("hub", "level", "i", "j"), work, "a long, b long")
+    return each_run(clusters, ["cluster", "i", "j"], work, "a long, b long")
 
 
 def ngram_join(
@@ -342,20 +389,26 @@ def ngram_join(
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     profile = saved(read_profile(docs, size, sketch_bits), "profile")
     documents = profile.filter("n IS NOT NULL").select("doc_id", "n", "print")
-    nodes = documents.filter("n > 0").groupBy("print").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"))
+    nodes = profile.filter("n > 0").groupBy("print").agg(
+        F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("map").alias("map")
+    )
     load = (documents.agg(F.sum("n")).first()[0] or 0) / (1 << sketch_bits)
     limit = load + 6 * load**0.5 + rare
     sketch = profile.filter("block IS NOT NULL").select("block", "cells")
     flags = spark.sparkContext.broadcast(cell_flags(sketch, sketch_bits, lambda counts: counts > limit))
     entries = read_signatures(docs, size, percent, flags, sketch_bits, parts(spark, 4))
     met = saved(meet(entries), "met")
-    cells = saved(cells_of(met, nodes.select("print", "n"), block_sets, block_members), "cells")
-    wanted = saved(cells.select("print").distinct().join(nodes, "print").select("print", F.col("least").alias("doc_id")), "wanted")
-    filters = spark.sparkContext.broadcast(id_flags(wanted.select("doc_id"), sketch_bits))
-    key = F.col("sets.print") == F.col("wanted.print")
-    same = key & F.col("sets.doc_id").eqNullSafe(F.col("wanted.doc_id"))
-    sets = read_sets(docs, filters, sketch_bits, size).alias("sets").join(wanted.alias("wanted"), same, "left_semi")
-    links = compare(cells.join(sets.select("print", "members"), "print"), percent)
+    cells = cells_of(met, nodes.select("print", "n"), block_sets, block_members)
+    possible = compare_maps(cells.join(nodes.select("print", "n", "map"), "print"), percent)
+    clusters = components(possible, "a", "b").selectExpr("node AS print", "root AS cluster")
+    clusters = saved(clusters.join(nodes, "print").select("print", "cluster", F.col("least").alias("doc_id"), "n"), "clusters")
+    filters = spark.sparkContext.broadcast(id_flags(clusters.select("doc_id"), sketch_bits))
+    sets = read_sets(docs, filters, sketch_bits, size).withColumnRenamed("doc_id", "of")
+    wanted = clusters.withColumnRenamed("print", "own")
+    same = (F.col("own") == F.col("print")) & F.col("of").eqNullSafe(F.col("doc_id"))
+    sets = sets.join(wanted, same).select("print", "cluster", "members", "n")
+    sums = clusters.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("size"))
+    links = compare_sets(in_blocks(sets, sums, ["cluster"], block_sets, block_members, "members"), percent)
     roots = components(links, "a", "b")
     grouped = nodes.join(roots.withColumnRenamed("node", "print"), "print", "left")
     grouped = grouped.withColumn("root", F.coalesce("root", "print"))
