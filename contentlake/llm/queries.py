@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from contentlake.llm.decontaminate import decontaminate
+from contentlake.llm.mixing import mix
 from contentlake.llm.ngram_join import ngram_join
+from contentlake.llm.quality import quality
+from contentlake.llm.sharding import shard
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,7 +19,23 @@ def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join(table(spark, folder, "documents")).drop("print")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard,)}
+def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return shard(table(spark, folder, "documents"), shards=16).drop("hash")
+
+
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(table(spark, folder, "documents"), weights=(5, 2, 1), most=3).drop("epochs", "key", "source")
+
+
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality(table(spark, folder, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op4_sharding, op7_mixing, op9_quality, op10_decontamination)}
 
 SPACE = r"[^\x20\x09-\x0D]+"
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -41,3 +61,89 @@ least AS (SELECT reached.a AS r, min(doc_id) AS component_id FROM reached JOIN w
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM words JOIN least USING (r) LEFT JOIN sizes USING (r)
 """
+
+ORACLE["op7_mixing"] = rf"""
+WITH keyed AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{SPACE}'))::BIGINT AS size,
+         md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS key FROM documents),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM keyed GROUP BY source),
+weighed AS (
+  SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, source_size * 3 AS cap
+  FROM sizes),
+levels AS (
+  SELECT *, cap / weight AS reach,
+         (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+         / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST
+            ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level FROM weighed),
+aims AS (
+  SELECT source, source_size, least(cap::DOUBLE, weight * (SELECT level FROM levels WHERE reach >= level
+           ORDER BY reach, source NULLS LAST LIMIT 1)) AS target FROM levels),
+cut AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS epochs FROM aims),
+placed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)
+           - size * count(*) OVER (PARTITION BY source, key) AS before,
+         count(*) OVER (PARTITION BY source, key) AS copies FROM keyed)
+SELECT doc_id, size, cut.source_size, target,
+       (epochs * size + least(size, greatest(0, (floor(target)::BIGINT - epochs * cut.source_size - before) // copies)))::BIGINT AS taken
+FROM placed JOIN cut ON placed.source IS NOT DISTINCT FROM cut.source
+"""
+
+ORACLE["op9_quality"] = rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '{SPACE}') AS w FROM documents),
+windows AS (
+  SELECT r, i, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM texts WHERE len(w) >= 5)),
+twice AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM windows) WHERE c > 1),
+repeats AS (SELECT r, count(DISTINCT i + d) AS n FROM twice, range(5) AS steps(d) GROUP BY r),
+lines AS (
+  SELECT r, source, line, array_to_string(regexp_extract_all({LOWER.replace('text', 'line')}, '{SPACE}'), ' ') AS norm,
+         len(regexp_extract_all(line, '{SPACE}')) AS words
+  FROM (SELECT r, source, unnest(string_split(t, chr(10))) AS line FROM texts)),
+full_lines AS (SELECT * FROM lines WHERE words > 0),
+dups AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM full_lines GROUP BY r),
+hosts AS (SELECT source, count(*) AS n FROM texts GROUP BY source),
+common AS (
+  SELECT f.source, f.norm FROM full_lines f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source
+  GROUP BY f.source, f.norm, h.n HAVING count(DISTINCT f.r) > greatest(100, floor(h.n * 1 / 100))),
+removed AS (
+  SELECT r, sum(words) AS n FROM full_lines f JOIN common c ON f.norm = c.norm AND f.source IS NOT DISTINCT FROM c.source
+  GROUP BY r),
+counts AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dups.n, 0)::BIGINT AS n_dup_lines,
+         coalesce(repeats.n, 0)::BIGINT AS n_repeat_words, coalesce(removed.n, 0)::BIGINT AS n_line_words
+  FROM texts LEFT JOIN dups USING (r) LEFT JOIN repeats USING (r) LEFT JOIN removed USING (r))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
+         AND 100 * (n_words - n_line_words) >= 50 * n_words AS kept FROM counts
+"""
+
+NORMAL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+ORACLE["op10_decontamination"] = rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce({LOWER}, ''), '{NORMAL}') AS w FROM documents),
+items AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all(coalesce({LOWER}, ''), '{NORMAL}') AS w FROM benchmark
+  WHERE item_id IS NOT NULL),
+patterns AS (
+  SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(w[i:i + 9], ' ') AS s
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT k FROM patterns),
+windows AS (
+  SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS s
+  FROM (SELECT r, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM texts, sizes WHERE len(w) >= k)),
+hits AS (SELECT r, i, w.k, item FROM windows w JOIN patterns p ON w.k = p.k AND w.s = p.s),
+covered AS (
+  SELECT r, count(DISTINCT i + d) AS n FROM (SELECT r, i, unnest(range(k)) AS d FROM hits) GROUP BY r),
+met AS (
+  SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS n_hit, coalesce(met.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
+FROM texts LEFT JOIN covered USING (r) LEFT JOIN met USING (r)
+"""
