@@ -9,6 +9,8 @@ from contentlake.llm.mixing import mix
 from contentlake.llm.ngram_join import ngram_join
 from contentlake.llm.quality import quality
 from contentlake.llm.sharding import shard
+from contentlake.llm.substring_dedup import substring_dedup
+from contentlake.llm.suffix_dedup import suffix_dedup
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +21,11 @@ def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join(table(spark, folder, "documents")).drop("print")
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = suffix_dedup(table(spark, folder, "documents"), length=400, keep_first=False)
+    return out.withColumnRenamed("n", "n_bytes").drop("spans")
+
+
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard(table(spark, folder, "documents"), shards=16).drop("hash")
 
@@ -27,6 +34,11 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents"), weights=(5, 2, 1), most=3).drop("epochs", "key", "source")
 
 
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = substring_dedup(table(spark, folder, "documents"), length=20)
+    return out.withColumnRenamed("n", "n_words").drop("n_spans", "spans")
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality(table(spark, folder, "documents"))
 
@@ -35,7 +47,18 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op4_sharding, op7_mixing, op9_quality, op10_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard,
+        op3_suffix_dedup,
+        op4_sharding,
+        op7_mixing,
+        op8_substring_dedup,
+        op9_quality,
+        op10_decontamination,
+    )
+}
 
 SPACE = r"[^\x20\x09-\x0D]+"
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -147,3 +170,19 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS n_hi
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
 FROM texts LEFT JOIN covered USING (r) LEFT JOIN met USING (r)
 """
+
+ORACLE["op8_substring_dedup"] = rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{SPACE}') AS w FROM documents),
+windows AS (
+  SELECT r, doc_id, i, array_to_string(w[i:i + 19], ' ') AS s
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM texts WHERE len(w) >= 20)),
+later AS (
+  SELECT r, i FROM (
+    SELECT r, i, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS LAST, r, i) AS k FROM windows) WHERE k > 1),
+gone AS (SELECT r, list(DISTINCT i + d) AS places FROM later, range(20) AS steps(d) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN places IS NULL THEN w
+         ELSE [x[1] for x in list_zip(w, range(1, len(w) + 1)) if NOT list_contains(places, x[2])] END, ' ')) AS kept_sha256
+FROM texts LEFT JOIN gone USING (r)
+"""
