@@ -16,10 +16,15 @@ from contentlake.llm.repeats import ByteUnits, remove_repeats
 U64 = np.uint64
 
 
-def dense(keys: np.ndarray) -> np.ndarray:
-    """Ranks of keys: equal keys get equal ranks, in order."""
-    order = np.argsort(keys)
-    ordered = keys[order]
+def dense(keys: np.ndarray, bits: int = 64) -> np.ndarray:
+    """Ranks of keys below 2**bits: equal keys get equal ranks, in order."""
+    place_bits = int(len(keys)).bit_length()
+    if bits + place_bits <= 64:  # the place rides along in the low bits: a sort of values is faster than one of places
+        both = np.sort(keys << U64(place_bits) | np.arange(len(keys), dtype=U64))
+        order, ordered = (both & U64((1 << place_bits) - 1)).astype(np.int64), both >> U64(place_bits)
+    else:
+        order = np.argsort(keys)
+        ordered = keys[order]
     rank = np.empty(len(keys), np.int32)
     rank[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])
     return rank
@@ -36,7 +41,8 @@ def doubling(data: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
         rank = levels[-1][1]
         ahead = np.zeros(len(rank), np.int32)
         ahead[: max(0, len(rank) - size)] = rank[size:] + 1
-        levels.append((size * 2, dense(rank.astype(U64) << U64(32) | ahead.astype(U64))))
+        half = int(len(rank)).bit_length()
+        levels.append((size * 2, dense(rank.astype(U64) << U64(half) | ahead.astype(U64), 2 * half)))
         size *= 2
     return levels
 
@@ -109,7 +115,7 @@ def repeated_windows(keep_first: bool):
 
 
 def suffix_dedup(
-    docs: DataFrame, length: int = 400, keep_first: bool = True, gram: int = 32, most: int = 4096, chunk: int = 1 << 20, flag_bits: int = 24
+    docs: DataFrame, length: int = 400, keep_first: bool = True, gram: int = 120, most: int = 4096, chunk: int = 1 << 20, flag_bits: int = 24
 ) -> DataFrame:
     """Per row of ``docs`` (doc_id, text) the bytes under ``length``-byte strings that also start earlier, or with
     ``keep_first`` false anywhere else, as ``remove_repeats`` returns them; spans count bytes.
