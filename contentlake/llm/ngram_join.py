@@ -421,3 +421,30 @@ def ngram_join(
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         "print",
     )
+
+
+def one_of_each_group(docs: DataFrame, sketch_bits: int = 24, **settings) -> DataFrame:
+    """The rows of ``docs``, with all their columns, but of every group of linked documents only the one of least doc_id (a NULL id
+    before all, the first written row on ties). Documents without words all stay. ``settings`` as in ``ngram_join``."""
+    spark, own = docs.sparkSession, "row of the document"
+    rows = saved(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
+    keyed = rows.select(F.col(own).alias("doc_id"), "text")
+    groups = ngram_join(keyed, sketch_bits=sketch_bits, **settings).select(F.col("doc_id").alias("row"), "component_id")
+    ids = rows.select(F.col(own).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    groups = saved(groups.join(ids, "row"), "groups")
+    first = groups.groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("first")).select("component_id", "first.row")
+    gone = saved(groups.join(first, ["component_id", "row"], "left_anti").select("row"), "gone")
+    # Rows that are not flagged stay for certain and are not shuffled; the few others meet the list of what goes.
+    flags = spark.sparkContext.broadcast(id_flags(gone, sketch_bits))
+
+    def chosen(flagged):
+        def work(batches):
+            marks, shift = flags.value, U64(64 - sketch_bits)
+            for batch in batches:
+                ids = batch.column(batch.schema.get_field_index(own)).to_numpy()
+                yield batch.filter(pa.array(marks[W.mix(ids.view(U64)) >> shift] == flagged))
+
+        return rows.mapInArrow(work, rows.schema)
+
+    left = chosen(True).join(gone, F.col(own) == gone["row"], "left_anti")
+    return chosen(False).union(left).drop(own)

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from contentlake.llm.chat import conversation_digests, format_turns, worst_case
 from contentlake.llm.decontaminate import decontaminate
+from contentlake.llm.line_dedup import line_dedup
 from contentlake.llm.mixing import mix
 from contentlake.llm.ngram_join import ngram_join
 from contentlake.llm.quality import quality
 from contentlake.llm.sharding import shard
 from contentlake.llm.substring_dedup import substring_dedup
 from contentlake.llm.suffix_dedup import suffix_dedup
+from contentlake.llm.toxicity import toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +24,10 @@ def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join(table(spark, folder, "documents")).drop("print")
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = suffix_dedup(table(spark, folder, "documents"), length=400, keep_first=False)
     return out.withColumnRenamed("n", "n_bytes").drop("spans")
@@ -30,6 +37,15 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard(table(spark, folder, "documents"), shards=16).drop("hash")
 
 
+def op5_line_templates(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup(table(spark, folder, "documents")).drop("kept_text")
+
+
+def op6_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    turns = format_turns(worst_case(table(spark, folder, "conversations")))
+    return conversation_digests(turns).drop("n_tokens", "n_loss_tokens")
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents"), weights=(5, 2, 1), most=3).drop("epochs", "key", "source")
 
@@ -51,8 +67,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard,
+        op2_toxicity,
         op3_suffix_dedup,
         op4_sharding,
+        op5_line_templates,
+        op6_chat_formatting,
         op7_mixing,
         op8_substring_dedup,
         op9_quality,
@@ -186,3 +205,46 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_
          ELSE [x[1] for x in list_zip(w, range(1, len(w) + 1)) if NOT list_contains(places, x[2])] END, ' ')) AS kept_sha256
 FROM texts LEFT JOIN gone USING (r)
 """
+
+ORACLE["op5_line_templates"] = rf"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (
+  SELECT r, k, line, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END
+                      for x in regexp_extract_all(line, '{SPACE}')] AS w
+  FROM (SELECT r, unnest(lines) AS line, unnest(range(len(lines))) AS k FROM texts)),
+full_lines AS (SELECT r, k, w, len(w) AS size, (len(w), w[:3]) AS leaf FROM lines WHERE len(w) > 0),
+recurring AS (SELECT leaf FROM full_lines GROUP BY leaf HAVING count(DISTINCT r) >= 20),
+counts AS (SELECT leaf, w, size, count(DISTINCT r) AS n FROM full_lines SEMI JOIN recurring USING (leaf) GROUP BY ALL),
+places AS (SELECT leaf, w, n, unnest(w) AS word, unnest(range(size)) AS place FROM counts),
+totals AS (SELECT leaf, size, sum(n) AS total FROM counts GROUP BY ALL),
+fixed AS (
+  SELECT leaf, place, word, size FROM (SELECT leaf, place, word, sum(n) AS votes FROM places GROUP BY ALL) JOIN totals USING (leaf)
+  WHERE 2 * votes > total AND word <> '<*>'),
+kept AS (SELECT leaf, count(*) AS fixed FROM fixed GROUP BY leaf, size HAVING 100 * count(*) >= 50 * size),
+instances AS (
+  SELECT leaf, w FROM (SELECT p.leaf, p.w, count(*) AS same FROM places p JOIN fixed USING (leaf, place, word) GROUP BY ALL)
+  JOIN kept USING (leaf) WHERE 100 * same >= 80 * fixed),
+dropped AS (
+  SELECT leaf, w FROM instances SEMI JOIN (
+    SELECT leaf FROM full_lines JOIN instances USING (leaf, w) GROUP BY leaf HAVING count(DISTINCT r) >= 20) USING (leaf)),
+left_over AS (
+  SELECT r, count(*) AS n, string_agg(line, chr(10) ORDER BY k) AS t
+  FROM lines WHERE (len(w), w[:3], w) NOT IN (SELECT (leaf[1], leaf[2], w) FROM dropped) GROUP BY r)
+SELECT doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - coalesce(n, 0))::BIGINT AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256
+FROM texts LEFT JOIN left_over USING (r)
+"""
+
+ORACLE["op6_chat_formatting"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS said(t, r)),
+sizes AS (
+  SELECT *, 20 + length(role) + length(text)
+    + len(regexp_extract_all(role || chr(10) || text, '<\\*/?s>|\[\\*/?INST\]')) AS size FROM turns)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(size)::BIGINT AS formatted_chars
+FROM sizes GROUP BY conv_id
+"""
