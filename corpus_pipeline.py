@@ -1,20 +1,50 @@
-"""A corpus pipeline: each stage takes the documents that the one before it kept."""
+"""A corpus pipeline: each stage takes the documents that the one before it kept, written as Parquet and read again.
+
+Toxic documents go, of each group of near copies one document stays, documents with benchmark passages go, the sources are
+mixed to their target weights (rows repeat by epoch), and the mix is dealt into shards.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from contentlake.llm import decontaminate, mixing, ngram_join, sharding, toxicity
 from contentlake.llm.common import saved
-from contentlake.llm.ngram_join import ngram_join
 
-Stage = tuple[str, object]
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.harmless(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.one_of_each_group(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs, weights=(5, 2, 1), most=3)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.shard(docs, shards=16).drop("hash")
+
 
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", without_toxic),
+    ("ngram_join", without_near_copies),
+    ("decontamination", without_benchmark),
+    ("mixing", mixed),
+    ("sharding", sharded),
+]
 
-STAGES: list[Stage] = [("ngram_join", one_of_each_group)]
+#: A trained network's verdicts are no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
