@@ -321,7 +321,8 @@ def learned(docs: DataFrame, labels: DataFrame, shape: Shape, most_texts: int, e
             model = calibrated(model, [rows[k][1] for k in np.flatnonzero(~fit)], found[~fit], shape, toxic_share)
         yield {"model": [pickle.dumps(model)]}
 
-    return scan(texts.repartition(1), work, "model binary").first()[0]
+    row = scan(texts.repartition(1), work, "model binary").first()  # none where Spark sees that a table is empty
+    return row[0] if row else pickle.dumps(None)
 
 
 def held_out(doc_id):
