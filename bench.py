@@ -18,7 +18,7 @@ HEADLINE = (
     "t11_special_ratio", "f1_heuristic_score", "f2_layered_decision", "f5_accuracy", "s1_decode_records",
     "s5_explode_ids", "s6_explode_peers", "d2_encode_prefixes", "d4_bloom_table", "d5_drop_seen", "d6_drop_confirmed",
     "d9_upsert_items", "d13_two_strike", "k1_xor_distance", "k2_closest", "k9_eviction", "k21_bounded_buckets",
-    "p1_peer_lists", "p11_attempt_rollup", "p13_refresh_report", "m2_rolling_hour", "m4_ema_values", "m7_hysteresis",
+    "p1_peer_lists", "p11_attempt_rollup", "p13_refresh_report", "m2_rolling_hour", "m4_ema_values", "m5_low_rate", "m7_hysteresis",
     "m8_low_streak", "m13_fetch_stats", "z3_minute_counts", "z5_two_strike",
 )
 

@@ -51,44 +51,96 @@ def _plain_tokens(text: str) -> list[str]:
 
 
 Leaf = Callable[[str, bool], Column | None]
+Tree = tuple  # ("term", text, is_prefix), ("all" | "and" | "or", [trees]) or ("not", wanted, unwanted)
 
 
-def match(query: str, leaf: Leaf) -> Column:
-    """A predicate for ``a b``, ``a AND b``, ``a OR b``, ``a NOT b``, ``"a phrase"`` and ``pre*``.
+def parse(query: str) -> Tree | None:
+    """``a b``, ``a AND b``, ``a OR b``, ``a NOT b``, ``"a phrase"``, ``pre*`` and brackets; None for an empty query.
 
-    NOT binds closest, then AND (also implied), then OR. A term without tokens is skipped where
-    AND is implied and matches nothing where it stands alone.
+    Terms side by side ("all", an implied AND) bind closest, then NOT, AND and OR. What cannot be read is a ValueError.
     """
-    nothing = F.lit(False)
+    marks = re.findall(r'"[^"]*"\*?|[()]|[^\s()"]+|"', query)
+    at = 0
+
+    def peek() -> str | None:
+        return marks[at] if at < len(marks) else None
+
+    def take() -> str:
+        nonlocal at
+        at += 1
+        return marks[at - 1]
+
+    def unit() -> Tree:
+        mark = peek()
+        if mark is None or mark in ("AND", "OR", "NOT", ")", '"'):
+            raise ValueError(f"a term is missing in {query!r} before {mark or 'its end'}")
+        take()
+        if mark == "(":
+            inner = either()
+            if peek() != ")":
+                raise ValueError(f"a bracket is not closed in {query!r}")
+            take()
+            return inner
+        return ("term", mark.rstrip("*").strip('"'), mark.endswith("*"))
+
+    def together() -> Tree:
+        parts = [unit()]
+        while peek() not in (None, "AND", "OR", "NOT", ")"):
+            parts.append(unit())
+        return parts[0] if len(parts) == 1 else ("all", parts)
+
+    def difference() -> Tree:
+        tree = together()
+        while peek() == "NOT":
+            take()
+            tree = ("not", tree, together())
+        return tree
+
+    def every() -> Tree:
+        parts = [difference()]
+        while peek() == "AND":
+            take()
+            parts.append(difference())
+        return parts[0] if len(parts) == 1 else ("and", parts)
+
+    def either() -> Tree:
+        parts = [every()]
+        while peek() == "OR":
+            take()
+            parts.append(every())
+        return parts[0] if len(parts) == 1 else ("or", parts)
+
+    if not marks:
+        return None
+    tree = either()
+    if at < len(marks):
+        raise ValueError(f"a bracket is closed that was not opened in {query!r}")
+    return tree
+
+
+def match(query: str, leaf: Leaf) -> Column:
+    """A predicate for a query as :func:`parse` reads it. A term without tokens is skipped among terms side by side and
+    matches nothing where it stands alone."""
 
-    def one_of(parts: list[str]) -> Column:
+    def test(tree: Tree | None) -> Column | None:
+        if tree is None:
+            return None
+        if tree[0] == "term":
+            return leaf(tree[1], tree[2])
+        if tree[0] == "not":
+            wanted, unwanted = test(tree[1]), test(tree[2])
+            return wanted if wanted is None or unwanted is None else wanted & ~unwanted
+        found = list(map(test, tree[1]))
+        if tree[0] == "and":
+            found = [F.lit(False) if c is None else c for c in found]
         out = None
-        for term in parts:
-            found = leaf(term.rstrip("*").strip('"'), term.endswith("*"))
-            if found is not None:
-                out = found if out is None else out & found
-        return nothing if out is None else out
-
-    def section(words: list[str], mark: str) -> list[list[str]]:
-        groups: list[list[str]] = [[]]
-        for word in words:
-            if word == mark:
-                groups.append([])
-            else:
-                groups[-1].append(word)
-        return groups
-
-    either = None
-    for alternative in section(re.findall(r'"[^"]*"\*?|\S+', query), "OR"):
-        every = None
-        for conjunct in section(alternative, "AND"):
-            wanted, *unwanted = section(conjunct, "NOT")
-            found = one_of(wanted)
-            for group in unwanted:
-                found = found & ~one_of(group)
-            every = found if every is None else every & found
-        either = every if either is None else either | every
-    return either
+        for column in found:
+            if column is not None:
+                out = column if out is None else (out | column if tree[0] == "or" else out & column)
+        return out
+
+    found = test(parse(query))
+    return F.lit(False) if found is None else found
 
 
 def _name_leaf(words: Column, stemming: bool) -> Leaf:
@@ -126,10 +178,19 @@ def file_matches(path: Column, query: str) -> Column:
 
 
 def _needed_words(query: str) -> list[str] | None:
-    """Words of a query that only implies AND, or None: each must be in a matching name."""
-    if re.search(r"\b(OR|NOT)\b", query):
-        return None
-    return _plain_tokens(query.replace(" AND ", " "))
+    """Words that every matching name holds: those of all terms if only ANDs join them, else None."""
+
+    def words(tree: Tree | None) -> list[str] | None:
+        if tree is None:
+            return []
+        if tree[0] == "term":
+            return _plain_tokens(tree[1])
+        if tree[0] not in ("all", "and"):
+            return None
+        parts = [words(t) for t in tree[1]]
+        return None if None in parts else [w for part in parts for w in part]
+
+    return words(parse(query))
 
 
 def _may_match(query: str) -> Column | None:
@@ -152,9 +213,11 @@ def _filter_names(items: DataFrame, query: str, stemming: bool, also: Column) ->
     if not stemming:
         return items.filter(also | name_matches(tokens(F.col("name")), query, False))
     test = _may_match(query)
-    rows = items if test is None else items.filter(also | test)
-    words = rows.withColumn("_words", stemmed_tokens(F.col("name")))
-    return words.filter(also | name_matches(F.col("_words"), query, True)).drop("_words")
+    open_ = ~also if test is None else ~also & test
+    # A filter below the Python step would be merged with the one above it; a NULL name costs it nothing wherever it stands.
+    words = items.withColumn("_words", stemmed_tokens(F.when(open_, F.col("name"))))
+    found = F.coalesce(name_matches(F.col("_words"), query, True), F.lit(False))
+    return words.filter(also | found).drop("_words")
 
 
 def search_names(items: DataFrame, query: str, stemming: bool = True) -> DataFrame:
@@ -192,14 +255,52 @@ def name_postings(items: DataFrame, stemming: bool = True, buckets: int = 256) -
 
 
 def search_postings(postings: DataFrame, query: str, stemming: bool = True, buckets: int = 256) -> DataFrame:
-    """item_ids holding every word of ``query``; reads only the buckets of its words."""
-    words = sorted({stem(w) if stemming else w for w in _plain_tokens(query)})
-    if not words:
-        return postings.select("item_id").limit(0)
-    wanted = F.array(*[F.pmod(F.xxhash64(F.lit(w)), F.lit(buckets)).cast("int") for w in words])
-    hits = postings.filter(F.array_contains(wanted, F.col("bucket")) & F.col("term").isin(words))
-    found = hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    return found.filter(F.col("n") == len(words)).select("item_id")
+    """item_ids that match a query as :func:`parse` reads it, from postings alone, with the rows of :func:`search_names`.
+
+    A word reads the bucket of its term, a prefix the terms that begin with it; phrases are words at neighbouring positions.
+    """
+
+    def of_word(word: str) -> DataFrame:
+        bucket = F.pmod(F.xxhash64(F.lit(word)), F.lit(buckets)).cast("int")
+        return postings.filter((F.col("bucket") == bucket) & (F.col("term") == word))
+
+    def of_term(text: str, is_prefix: bool) -> DataFrame | None:
+        words = [stem(w) if stemming else w for w in _plain_tokens(text)]
+        if not words:
+            return None
+        hits = [of_word(w) for w in words[:-1]]
+        hits.append(postings.filter(F.startswith("term", F.lit(words[-1]))) if is_prefix else of_word(words[-1]))
+        if len(words) == 1:
+            return hits[0].select("item_id").distinct()
+        places = None  # where the phrase would begin, for each of its words
+        for k, found in enumerate(hits):
+            own = found.select("item_id", F.explode("positions").alias("at"), F.lit(k).alias("k"))
+            own = own.withColumn("at", F.col("at") - k).distinct()
+            places = own if places is None else places.union(own)
+        whole = places.groupBy("item_id", "at").agg(F.count("*").alias("n")).filter(F.col("n") == len(words))
+        return whole.select("item_id").distinct()
+
+    def ids(tree: Tree | None) -> DataFrame | None:
+        if tree is None:
+            return None
+        if tree[0] == "term":
+            return of_term(tree[1], tree[2])
+        if tree[0] == "not":
+            wanted, unwanted = ids(tree[1]), ids(tree[2])
+            return wanted if wanted is None or unwanted is None else wanted.join(unwanted, "item_id", "left_anti")
+        found = list(map(ids, tree[1]))
+        if tree[0] == "and" and any(d is None for d in found):
+            return postings.select("item_id").limit(0)
+        out = None
+        for frame in found:
+            if frame is not None and out is not None:
+                out = out.union(frame).distinct() if tree[0] == "or" else out.join(frame, "item_id", "left_semi")
+            elif frame is not None:
+                out = frame
+        return out
+
+    found = ids(parse(query))
+    return postings.select("item_id").limit(0) if found is None else found
 
 
 # --- pages ------------------------------------------------------------------------------------

@@ -8,43 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from contentlake.functions.paths import has_adjacent_digits, is_image, is_video
 from contentlake.functions.text import ascii_lower, is_special_dense
 from contentlake.settings import DEFAULTS
 
 GIB = 1 << 30
-NATIVE_KEYWORDS = 400
 
 Weighted = Sequence[tuple[str, int]]
 
 
-def keyword_rows(keywords: DataFrame) -> list[tuple[str, int]]:
-    """The keyword table as literals: a hand-written list, read once per plan."""
-    return [(r["keyword"], int(r["weight"])) for r in keywords.select("keyword", "weight").collect()]
-
-
-def _many_keywords(folded: Column, keywords: Weighted) -> Column:
-    """One automaton pass per text in Arrow batches, for lists too long for an expression."""
-    words = dict(keywords)
-
-    @F.pandas_udf(IntegerType())
-    def weigh(batch: pd.Series) -> pd.Series:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for word, weight in words.items():
-            automaton.add_word(word, weight)
-        automaton.make_automaton()
-        return batch.map(lambda s: 0 if s is None else max((w for _, w in automaton.iter(s)), default=0))
-
-    return weigh(folded)
-
-
 def max_keyword_weight(folded: Column, keywords: Weighted) -> Column:
     """The highest weight among keywords contained in the ASCII-folded text, else 0.
 
@@ -56,8 +31,6 @@ def max_keyword_weight(folded: Column, keywords: Weighted) -> Column:
             best[word] = max(weight, best.get(word, 0))
     if not best:
         return F.lit(0)
-    if len(best) > NATIVE_KEYWORDS:
-        return _many_keywords(folded, list(best.items()))
     out = None
     for word, weight in sorted(best.items(), key=lambda kw: (-kw[1], kw[0])):
         found = F.contains(folded, F.lit(word))

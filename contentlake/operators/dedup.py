@@ -79,15 +79,24 @@ def upsert_items(base: DataFrame, batch: DataFrame, key: str = "info_hash") -> D
     return base.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def upsert_files(base_files: DataFrame, batch_files: DataFrame, key: str = "item_id") -> DataFrame:
-    """Files of replaced items go, the new ones come."""
-    replaced = batch_files.select(key).distinct()
-    return base_files.join(replaced, key, "left_anti").unionByName(batch_files)
+def upsert_files(
+    base_files: DataFrame, batch_files: DataFrame, key: str = "item_id", winners: DataFrame | None = None, version: str = "seq"
+) -> DataFrame:
+    """Files of replaced items go, the new ones come.
+
+    ``winners``: the batch's items, one (key, version) each as :func:`latest_versions` leaves them. Then only files of that
+    version come, and an item whose new version has no files keeps none.
+    """
+    replaced = (batch_files if winners is None else winners).select(key).distinct()
+    new = batch_files
+    if winners is not None:
+        new = batch_files.join(winners.select(key, version), [key, version], "left_semi").select(*base_files.columns)
+    return base_files.join(replaced, key, "left_anti").unionByName(new)
 
 
-def insert_new(base: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    """Insert-or-ignore: the first batch row of a key unknown to the base."""
-    return base.unionByName(batch.dropDuplicates([key]).join(base.select(key), key, "left_anti"))
+def insert_new(base: DataFrame, batch: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """Insert-or-ignore: the first batch row in ``order`` of each key unknown to the base."""
+    return base.unionByName(_first_rows(batch, key, order).join(base.select(key), key, "left_anti"))
 
 
 def batch_outcomes(batch: DataFrame, key: str = "info_hash") -> DataFrame:
@@ -165,7 +174,7 @@ def strike_totals(strikes: DataFrame) -> DataFrame:
 
 def fill_from(base: DataFrame, extra: DataFrame, max_new: int, key: str, order: list[Column]) -> DataFrame:
     """``base`` and up to ``max_new`` rows of ``extra`` whose key is new, in ``order``."""
-    fresh = extra.dropDuplicates([key]).join(base.select(key), key, "left_anti")
+    fresh = _first_rows(extra, key, order).join(base.select(key), key, "left_anti")
     return base.unionByName(fresh.orderBy(*order).limit(max_new))
 
 

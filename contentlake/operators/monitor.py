@@ -169,9 +169,10 @@ def low_rate(
     empty = F.col(queue) <= 0 if queue else F.lit(True)
     aged = smoothed.join(born, key).withColumn("age", F.col("at") - F.col("_born"))
     low = (F.col("ema") < minimum) & (F.col("age") >= min_age) & empty
-    later = Window.partitionBy(key).orderBy("at").rangeBetween(grace, Window.unboundedFollowing)
+    # Newest first, so that the frame only ever grows: the first reading after the grace period is the last one in it.
+    later = Window.partitionBy(key).orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, -grace)
     after = F.struct("n", "at", empty.alias("empty"))
-    checked = aged.withColumn("low", low).withColumn("_after", F.first(after).over(later))
+    checked = aged.withColumn("low", low).withColumn("_after", F.last(after).over(later))
     counted = F.col("_after.n") - (F.col("n") - F.col("dn"))
     elapsed = F.col("_after.at") - (F.col("at") - F.col("dt"))
     again = alpha * counted / elapsed + (1.0 - alpha) * F.col("ema")

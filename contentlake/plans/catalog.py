@@ -55,6 +55,25 @@ def postings_search(lake: Lake):
     return c.search_postings(c.name_postings(lake.items, stemming=False), "ring HDTV", stemming=False)
 
 
+BOTH_WAYS = '(rin* OR gear) NOT (season OR blu) OR "season 2"'
+BOTH_WAYS_SQL = over("items") + f"""
+SELECT item_id FROM items
+WHERE ((contains('|' || array_to_string({TOKENS}, '|'), '|rin') OR list_contains({TOKENS}, 'gear'))
+       AND NOT (list_contains({TOKENS}, 'season') OR list_contains({TOKENS}, 'blu')))
+   OR contains('|' || array_to_string({TOKENS}, '|') || '|', '|season|2|')
+"""
+
+
+@query("q1_brackets_scan", BOTH_WAYS_SQL)
+def brackets_scan(lake: Lake):
+    return c.search_names(lake.items, BOTH_WAYS, stemming=False).select("item_id")
+
+
+@query("q1_brackets_postings", BOTH_WAYS_SQL)
+def brackets_postings(lake: Lake):
+    return c.search_postings(c.name_postings(lake.items, stemming=False), BOTH_WAYS, stemming=False)
+
+
 @query("q2_file_search", over("item_files") + f"""
 SELECT item_id, path, size_bytes FROM item_files
 WHERE contains({FILENAME}, 'ring_0') AND contains({FILENAME}, '.mp4')

@@ -35,7 +35,7 @@ def record_blobs(lake: Lake):
         .when(F.contains(path, F.lit("/")), multi)
         .otherwise(single)
     )
-    return lake.spread.item_files.select("item_id", path, blob.cast("binary").alias("blob"))
+    return lake.item_files.select("item_id", path, blob.cast("binary").alias("blob"))
 
 
 @query("s1_decode_records", over("item_files") + """
@@ -256,7 +256,7 @@ SPLIT = r"""SELECT item_id, path, size_bytes, nullif(regexp_extract(path, '^(.*)
 
 
 def odd_paths(lake: Lake):
-    files = lake.spread.item_files
+    files = lake.item_files
     path, n = F.col("path"), F.col("size_bytes") % 5
     odd = F.when(n == 0, F.concat(F.lit("/"), path)).when(n == 1, F.concat(path, F.lit("/"))).when(n == 2, F.replace(path, F.lit("/"), F.lit("//"))).otherwise(path)
     return files.select("item_id", odd.alias("path"), "size_bytes")
@@ -404,14 +404,28 @@ def upsert_files(lake: Lake):
     return dedup.upsert_files(files, new.select("item_id", F.concat(F.lit("new/"), "path").alias("path"), "size_bytes"))
 
 
+@query("d9_upsert_versions", over("item_files", "items", batch=BATCH) + """
+, won AS (SELECT item_id, max(seq) FILTER (item_id % 4 = 0 OR seq = 2) AS seq FROM batch GROUP BY item_id)
+SELECT item_id, path, size_bytes FROM item_files WHERE item_id NOT IN (SELECT item_id FROM won)
+UNION ALL SELECT item_id, 'v2/' || path, size_bytes FROM item_files WHERE item_id IN (SELECT item_id FROM won) AND item_id % 3 <> 0
+""")
+def upsert_versions(lake: Lake):
+    """Two versions of each item come with files; of every third item the winning one has none."""
+    items = base_and_batch(lake)[1]
+    files = lake.item_files.filter("item_id % 2 = 0").withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2))))
+    files = files.withColumn("path", F.concat(F.lit("v"), F.col("seq").cast("string"), F.lit("/"), "path"))
+    files = files.filter("item_id % 3 <> 0 OR seq = 1").select("item_id", "path", "size_bytes", "seq")
+    base = lake.item_files.select("item_id", "path", "size_bytes")
+    return dedup.upsert_files(base, files, winners=dedup.latest_versions(items, "item_id"))
+
+
 @query("d10_insert_new", over("items", base=BASE, batch=BATCH) + """
-SELECT info_hash, total_peers - seq AS peers, seq = 0 AS known FROM base
-UNION ALL SELECT DISTINCT info_hash, total_peers - seq, false FROM batch WHERE info_hash NOT IN (SELECT info_hash FROM base)
+SELECT info_hash, total_peers, seq FROM base
+UNION ALL SELECT info_hash, total_peers, seq FROM batch WHERE seq = 1 AND info_hash NOT IN (SELECT info_hash FROM base)
 """)
 def insert_new(lake: Lake):
-    base, batch = base_and_batch(lake)
-    out = dedup.insert_new(base.select("info_hash", "total_peers", "seq"), batch.select("info_hash", "total_peers", "seq"), "info_hash")
-    return out.select("info_hash", (F.col("total_peers") - F.col("seq")).alias("peers"), (F.col("seq") == 0).alias("known"))
+    base, batch = (df.select("info_hash", "total_peers", "seq") for df in base_and_batch(lake))
+    return dedup.insert_new(base, batch, "info_hash", [F.asc("seq")])
 
 
 @query("d11_batch_outcomes", over("attempts", marked="""SELECT CASE WHEN event_id % 5 = 0 THEN left(info_hash, 39) ELSE info_hash END AS info_hash,

@@ -107,9 +107,17 @@ def extract_title(lake: Lake):
     return lake.items.select("item_id", text.extract_title(F.col("name"), STRIP).alias("title"))
 
 
-# neutral keyword and pattern tables
+# a neutral keyword table, and patterns for the names, paths and texts of the given tables
 KEYWORDS = [("ring", 10), ("gear", 9), ("red", 5), ("bolt", 3), ("the", 2)]
-PATTERNS = [("r[i1][n|m]g", 9), ("x+[._-]*x+[._-]*x+", 8), ("small[^a-z]{0,5}(ring|gear|bolt)", 7), ("(widget|gadget)", 10), (r"[0-9]{2,}\+", 6)]
+PATTERNS = [
+    (r"season[ _.][0-9]", 3),
+    (r"x26[0-9]-[a-z]{3}\z", 11),
+    (r"^\[[a-z]+\] ", 7),
+    (r"_0[37]\.(nfo|mkv)\z", 8),
+    (r"[.]s[0-9]{2}e[0-9]{2}[.]", 5),
+    (r"hdr\)\z", 10),
+    (r"license[^a-z]+version", 4),
+]
 
 
 def weight_sql(folded: str) -> str:
@@ -133,8 +141,8 @@ def keyword_weight(lake: Lake):
 
 
 def names_and_documents(lake: Lake):
-    items = lake.spread.items.select(F.col("item_id").alias("id"), F.col("name").alias("t"))
-    return items.unionAll(lake.spread.documents.select((-1 - F.col("doc_id")).alias("id"), F.col("text").alias("t")))
+    items = lake.items.select(F.col("item_id").alias("id"), F.col("name").alias("t"))
+    return items.unionAll(lake.documents.select((-1 - F.col("doc_id")).alias("id"), F.col("text").alias("t")))
 
 
 @query("t9_regex_weight", over("items", texts="SELECT item_id AS id, name AS t FROM items UNION ALL SELECT -1 - doc_id, text FROM documents")

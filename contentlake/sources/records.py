@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,12 +40,21 @@ def digest_counts(df: DataFrame, blob: str, key: str) -> DataFrame:
     return df.agg(F.count(F.when(ok, 1)).alias("verified"), F.count(F.when(~ok, 1)).alias("hash_mismatch"))
 
 
+LARGEST = (1 << 63) - 1
+
+
+def _number(digits: bytes) -> int:
+    if not re.fullmatch(rb"-?[0-9]{1,19}", digits) or abs(int(digits)) > LARGEST:
+        raise ValueError("no 64-bit number")
+    return int(digits)
+
+
 def _value(data: bytes, at: int):
-    """The bencoded value at ``at`` and the position after it."""
+    """The bencoded value at ``at`` and the position after it. Of equal keys the last counts; numbers have 64 bits."""
     kind = data[at : at + 1]
     if kind == b"i":
         end = data.index(b"e", at)
-        return int(data[at + 1 : end]), end + 1
+        return _number(data[at + 1 : end]), end + 1
     if kind in (b"l", b"d"):
         items, at = [], at + 1
         while data[at : at + 1] != b"e":
@@ -53,7 +63,9 @@ def _value(data: bytes, at: int):
         return (items if kind == b"l" else dict(zip(items[::2], items[1::2]))), at + 1
     colon = data.index(b":", at)
     start = colon + 1
-    end = start + int(data[at:colon])
+    end = start + _number(data[at:colon])
+    if end < start:
+        raise ValueError("a string of negative length")
     if end > len(data):
         raise ValueError("string runs past the end")
     return data[start:end], end
@@ -67,7 +79,8 @@ def decode_record(blob: bytes, strict: bool = False) -> dict | None:
     """One info dictionary as a record, or None when it cannot be one.
 
     ``length`` makes a single file named like the record; else ``files`` gives paths joined with
-    ``/``; with neither, one empty file stands for the record, or ``strict`` rejects it.
+    ``/``, empty parts left out; with neither, one empty file stands for the record, or ``strict``
+    rejects it. A number or sum of sizes beyond 64 bits is no record; bytes after the value are ignored.
     """
     try:
         info, _ = _value(blob, 0)
@@ -83,12 +96,13 @@ def decode_record(blob: bytes, strict: bool = False) -> dict | None:
     for entry in info.get(b"files") or []:
         if not isinstance(entry, dict):
             continue
-        path = "/".join(part for part in map(_text, entry.get(b"path") or []) if part is not None)
+        path = "/".join(part for part in map(_text, entry.get(b"path") or []) if part)
         size = entry.get(b"length")
         if path:
             files.append({"path": path, "size_bytes": size if isinstance(size, int) else 0})
     if files:
-        return {"name": name, "size_bytes": sum(f["size_bytes"] for f in files), "files": files}
+        total = sum(f["size_bytes"] for f in files)
+        return {"name": name, "size_bytes": total, "files": files} if abs(total) <= LARGEST else None
     if strict:
         return None
     return {"name": name, "size_bytes": 0, "files": [{"path": name, "size_bytes": 0}]}

@@ -142,3 +142,26 @@ def test_stem_prefix_rule():
             kept = stem(word)
             assert word[:2] == kept[:2] if len(kept) > 2 else word[:1] == kept[:1]
 
+
+
+FORMS = {
+    "ring OR gear": {1, 2, 3, 5, 6}, '"season 2"': {2}, "rin*": {1, 2, 5, 6}, "ring NOT blu": {1, 2, 5}, "(ring OR gear) NOT blu": {1, 2, 3, 5},
+    "ring (season OR blue) ": {2, 6}, "ring AND (NOTHING OR (gear OR season))": {2, 5}, "ring ! gear": {5}, "!": set(), "": set(),
+    '"season 2" OR "gear box"': {2, 3}, '"ring sea"*': {2}, "ring NOT season 2": {1, 5, 6}, "ring AND !": set(), "ring NOT (season OR gear) NOT blu": {1},
+}
+
+
+@pytest.mark.parametrize("stemming", [False, True])
+@pytest.mark.parametrize("query", FORMS)
+def test_scan_and_postings_agree(spark, query, stemming):
+    names = ["a ring", "ring season 2", "gear box", "season x 2", "ring gear", "ring blu blue"]
+    rows = spark.createDataFrame([(i + 1, n) for i, n in enumerate(names)], "item_id int, name string")
+    scan = c.search_names(rows, query, stemming)
+    postings = c.search_postings(c.name_postings(rows, stemming), query, stemming)
+    assert {r["item_id"] for r in scan.collect()} == {r["item_id"] for r in postings.collect()} == FORMS[query]
+
+
+@pytest.mark.parametrize("query", ["(ring", "ring)", "ring OR", "NOT ring", "AND", "()", 'ring "open', "ring NOT OR gear"])
+def test_what_cannot_be_read_is_an_error(query):
+    with pytest.raises(ValueError):
+        c.parse(query)

@@ -119,3 +119,14 @@ def test_many_rows_without_a_key_are_dealt_out(spark):
     right = spark.range(0, 5000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     out = join_nullable(left, right, "k")
     assert out.count() == 5000 and out.filter("v IS NOT NULL").count() == len([i for i in range(0, 5000, 6)])
+
+
+def test_first_rows_and_winning_versions(spark):
+    batch = spark.createDataFrame([("a", k) for k in range(999, -1, -1)] + [("b", 5)], "k string, n int").repartition(7)
+    base = spark.createDataFrame([("b", 0)], "k string, n int")
+    assert sorted(map(tuple, dedup.insert_new(base, batch, "k", [F.asc("n")]).collect())) == [("a", 0), ("b", 0)]
+    assert sorted(map(tuple, dedup.fill_from(base, batch, 5, "k", [F.asc("n")]).collect())) == [("a", 0), ("b", 0)]
+    old = spark.createDataFrame([(1, "old"), (2, "old"), (3, "old")], "item_id int, path string")
+    new = spark.createDataFrame([(1, "v1", 1), (1, "v2", 2), (2, "v1", 1)], "item_id int, path string, seq int")
+    winners = spark.createDataFrame([(1, 2), (2, 2)], "item_id int, seq int")
+    assert sorted(map(tuple, dedup.upsert_files(old, new, winners=winners).collect())) == [(1, "v2"), (3, "old")]

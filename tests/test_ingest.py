@@ -132,3 +132,14 @@ def test_batches_are_idempotent(spark):
         sinks.write_catalog_batch(newer, f"{folder}/c", 1)
         got = {(r["info_hash"], r["name"]) for r in sinks.read_catalog(spark, f"{folder}/c").collect()}
         assert got == {("a", "z"), ("b", "y"), ("c", "c")}
+
+
+def test_records_that_cannot_be_read_end_no_job(spark):
+    long_number = b"d6:lengthi99999999999999999999e4:name1:xe"
+    parts = b"d5:filesld6:lengthi1e4:pathl0:1:aeee4:name1:xe"
+    two = b"d5:filesl" + b"d6:lengthi9223372036854775807e4:pathl1:aee" * 2 + b"e4:name1:xe"
+    cases = [long_number, parts, two, b"d4:name1_0:0123456789e", b"d6:lengthi1_0e4:name1:xe", b"d4:name1:x4:name1:ye", b"d4:name1:xejunk", b"d4:name-3:xe"]
+    rows = spark.createDataFrame(list(enumerate(map(bytearray, cases))), "k int, blob binary")
+    found = {r["k"]: r for r in records.decode_records(rows, "blob").collect()}
+    assert set(found) == {1, 5, 6}
+    assert [f["path"] for f in found[1]["files"]] == ["a"] and found[5]["name"] == "y" and found[6]["name"] == "x"

@@ -87,8 +87,7 @@ def test_rolling_hour_has_no_global_window(lake):
     assert "Window" not in text and "SinglePartition" not in text
 
 
-def test_large_tables_are_not_dealt_out(lake, spark):
-    assert "RoundRobin" in plan(lake.spread.orders)
+def test_tables_are_not_dealt_out(lake):
     assert "RoundRobin" not in plan(lake.orders)
 
 
