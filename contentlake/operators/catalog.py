@@ -18,6 +18,7 @@ from contentlake.functions.paths import VIDEO_EXTENSIONS, path_filename
 from contentlake.functions.stems import stem, stem_tokens
 from contentlake.functions.text import ascii_lower, format_size, magnet_link, percent_encode
 from contentlake.operators.frames import join_nullable, side_by_side
+from contentlake.operators.keyspace import sample_k
 from contentlake.settings import DEFAULTS
 
 # Accented Latin letters and their bare forms, folded for token search.
@@ -448,7 +449,7 @@ def sample_videos(
 ) -> DataFrame:
     """A uniform sample, repeatable for a seed: ranked by a seeded hash of the key."""
     pool = sample_pool(items, files, peers)
-    return pool.orderBy(F.xxhash64(F.lit(seed), "info_hash"), "info_hash").limit(n)
+    return sample_k(pool, "info_hash", n, seed)
 
 
 # --- shown columns ----------------------------------------------------------------------------

@@ -150,14 +150,19 @@ def sample_capable(nodes: DataFrame, k: int, now: int, cooldown: int = DEFAULTS.
     return sample, stamped.drop("_now")
 
 
+def sample_order(key: str, seed: int) -> list[Column]:
+    """A random but repeatable order: the MD5 of seed and key, then the key."""
+    return [F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)]
+
+
 def sample_k(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     """A uniform sample of ``k`` rows, repeatable for a seed and safe under task retries: ranked by
     a seeded hash of the key (top-k per task)."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(k)
+    return df.orderBy(*sample_order(key, seed)).limit(k)
 
 
 def sample_k_per_group(df: DataFrame, group: str, key: str, k: int, seed: int = 0) -> DataFrame:
-    order = Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), key), key)
+    order = Window.partitionBy(group).orderBy(*sample_order(key, seed))
     return df.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k).drop("_rank")
 
 

@@ -171,7 +171,11 @@ def sample_pool(lake: Lake):
     return c.sample_pool(lake.items, lake.item_files).select("item_id", "name")
 
 
-@query("q9_sample_videos")
+@query("q9_sample_videos", over("items", "item_files") + f"""
+, s AS ({VIDEO_SUMS})
+SELECT i.item_id, i.info_hash, i.name FROM items i JOIN s USING (item_id)
+WHERE total_peers = 50 AND total_bytes > 0 AND video_bytes * 2 > total_bytes ORDER BY md5('7:' || i.info_hash), i.info_hash LIMIT 100
+""")
 def sample_videos(lake: Lake):
     return c.sample_videos(lake.items, lake.item_files, 100, seed=7).select("item_id", "info_hash", "name")
 

@@ -257,21 +257,26 @@ def capable_pool(lake: Lake):
     return k.capable_pool(pool(lake), NOW).select("node_id")
 
 
-@query("k17_sample_capable")
+@query("k17_sample_capable", over("nodes", pool=POOL) + f"""
+, picked AS (SELECT node_id AS id FROM pool WHERE status = 'capable' AND {NOW} - last_queried >= 3 ORDER BY md5('3:' || node_id), node_id LIMIT 10)
+SELECT * REPLACE (CASE WHEN node_id IN (SELECT id FROM picked) THEN {NOW} ELSE last_queried END AS last_queried) FROM pool
+""")
 def sample_capable(lake: Lake):
     _, stamped = k.sample_capable(pool(lake), 10, NOW, seed=3)
     return stamped
 
 
-@query("k18_sample_k")
+@query("k18_sample_k", over("nodes") + "SELECT node_id FROM nodes ORDER BY md5('11:' || node_id), node_id LIMIT 64")
 def sample_k(lake: Lake):
     return k.sample_k(lake.nodes, "node_id", 64, seed=11).select("node_id")
 
 
-@query("k18_sample_k_per_group", "SELECT event_type, least(20, count(*)) AS n FROM events GROUP BY event_type")
+@query("k18_sample_k_per_group", """
+SELECT event_type, event_id FROM events
+QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY md5('11:' || event_id), event_id) <= 20
+""")
 def sample_k_per_group(lake: Lake):
-    picked = k.sample_k_per_group(lake.events, "event_type", "event_id", 20, seed=11)
-    return picked.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return k.sample_k_per_group(lake.events, "event_type", "event_id", 20, seed=11).select("event_type", "event_id")
 
 
 @query("k19_sample_percent", over("items") + """
