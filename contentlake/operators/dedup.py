@@ -10,7 +10,7 @@ from contentlake.operators.bloom import BloomTable
 from contentlake.operators.frames import side_by_side
 
 
-def _first_rows(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+def first_rows(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """One row per key, lowest in ``order``; losers are dropped before the shuffle (rank = 1)."""
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     return ranked.filter("_rank = 1").drop("_rank")
@@ -66,7 +66,7 @@ def dedup_totals(df: DataFrame, key: str) -> DataFrame:
 
 def latest_versions(items: DataFrame, key: str = "info_hash", added: str = "added_ts", seq: str = "seq") -> DataFrame:
     """Last write wins per key."""
-    return _first_rows(items, key, [F.desc(added), F.desc(seq)])
+    return first_rows(items, key, [F.desc(added), F.desc(seq)])
 
 
 def upsert_items(base: DataFrame, batch: DataFrame, key: str = "info_hash") -> DataFrame:
@@ -96,7 +96,7 @@ def upsert_files(
 
 def insert_new(base: DataFrame, batch: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """Insert-or-ignore: the first batch row in ``order`` of each key unknown to the base."""
-    return base.unionByName(_first_rows(batch, key, order).join(base.select(key), key, "left_anti"))
+    return base.unionByName(first_rows(batch, key, order).join(base.select(key), key, "left_anti"))
 
 
 def batch_outcomes(batch: DataFrame, key: str = "info_hash") -> DataFrame:
@@ -174,7 +174,7 @@ def strike_totals(strikes: DataFrame) -> DataFrame:
 
 def fill_from(base: DataFrame, extra: DataFrame, max_new: int, key: str, order: list[Column]) -> DataFrame:
     """``base`` and up to ``max_new`` rows of ``extra`` whose key is new, in ``order``."""
-    fresh = _first_rows(extra, key, order).join(base.select(key), key, "left_anti")
+    fresh = first_rows(extra, key, order).join(base.select(key), key, "left_anti")
     return base.unionByName(fresh.orderBy(*order).limit(max_new))
 
 

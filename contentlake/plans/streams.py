@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from contentlake.operators.monitor import interval_counts
 from contentlake.plans.ingest import STRIKES
-from contentlake.plans.monitor import AGE, GRACE, LOW, RATES, READINGS, ema_sql, user_rates
+from contentlake.plans.monitor import AGE, GRACE, LOW, RATES, READINGS, STEP, ema_sql
 from contentlake.plans.peers import ANSWERS, OBSERVED, REQUESTS, WAIT
 from contentlake.plans.registry import over, query, scratch
 from contentlake.sources.sinks import read_catalog
@@ -38,12 +39,11 @@ def dedup_stream(lake: Lake):
 CLOSED = "(SELECT epoch(max(ts)) - 600 FROM events)"
 
 
-@query("z3_minute_counts", f"""
-SELECT CAST(floor(epoch(ts) / 60) AS BIGINT) AS minute, count(*) AS n FROM events GROUP BY 1 HAVING (minute + 1) * 60 <= {CLOSED}
-""")
+@query("z3_minute_counts", "SELECT CAST(floor(epoch(ts) / 60) AS BIGINT) AS minute, count(*) AS n FROM events GROUP BY 1")
 def minute_counts(lake: Lake):
+    """All minutes, the open ones at the end of the stream with what they hold so far."""
     counts = st.minute_counts_stream(events(lake).select("ts"), "ts", "10 minutes")
-    return run(lake, counts.select(st.minute_number().alias("minute"), "n")).drop("epoch")
+    return st.last_update(run(lake, counts.select(st.minute_number().alias("minute"), "n"), "update"), "minute")
 
 
 @query("z3_minute_counts_by_type", """
@@ -72,6 +72,18 @@ def drop_seen(lake: Lake):
     return run(lake, st.drop_seen_stream(events(lake).select("event_id", "user_id"), seen, "user_id")).drop("epoch")
 
 
+@query("z4_admit_new", """
+SELECT user_id, min(event_id) AS event_id FROM events
+WHERE user_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 3 = 0) GROUP BY user_id
+""")
+def admit_new(lake: Lake):
+    seen = lake.orders.filter("o_orderstatus = 'F' AND o_custkey % 3 = 0").select(F.col("o_custkey").alias("user_id"))
+    path = scratch(lake.spark, "admitted")
+    rows = events(lake).select("user_id", "event_id")
+    st.admit_new(rows, seen, "user_id", [F.col("event_id")], path, f"{path}/checkpoint", available_now=True).awaitTermination()
+    return lake.spark.read.parquet(f"{path}/rows").drop("epoch")
+
+
 def attempt_rows(lake: Lake):
     outcome = (
         F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "fetched")
@@ -130,9 +142,9 @@ UNION ALL SELECT user_id, sec, round(0.3::DOUBLE * (n2 - n + dn) / (sec2 - sec +
 WHERE low AND 0.3::DOUBLE * (n2 - n + dn) / (sec2 - sec + dt) + 0.7::DOUBLE * ema < {LOW}::DOUBLE
 """)
 def ema_stream(lake: Lake):
-    """Interval readings are written once, then read as a stream."""
+    """Counter readings are written once, then read as a stream; their rates are taken inside it."""
     path = scratch(lake.spark, "readings")
-    user_rates(lake).withColumnRenamed("user_id", "key").write.parquet(path)
+    interval_counts(lake.events, "user_id", "ts", STEP).withColumnRenamed("user_id", "key").write.parquet(path)
     readings = st.read_events(lake.spark, path, lake.spark.read.parquet(path).schema)
     out = run(lake, sp.ema_stream(readings, LOW, AGE, GRACE), "update")
     return out.select("key", F.col("at").alias("reading"), F.round("ema", 10).alias("ema"), "low", "shut_down_at")
@@ -151,12 +163,12 @@ def catalog_sink(lake: Lake):
 v AS (SELECT *, least(coalesce(done2, e1 + {WAIT}), e1 + {WAIT}) AS e2, done2 IS NULL OR done2 > e1 + {WAIT} AS late2 FROM w),
 s AS (SELECT v.*, coalesce((SELECT sum(peers) FROM a WHERE a.info_hash = v.info_hash AND a.sec BETWEEN v.sec AND v.e1), 0) AS p1,
       coalesce((SELECT sum(peers) FROM a WHERE a.info_hash = v.info_hash AND a.sec > v.e1 AND a.sec <= v.e2), 0) AS p2 FROM v)
-SELECT request_id, info_hash, CAST(CASE WHEN p1 = 0 AND NOT late THEN p2 ELSE p1 END AS BIGINT) AS total_peers,
+SELECT request_id, info_hash, e2 + 1 < (SELECT max(floor(epoch(ts)) // 60) FROM events) - 60 AS closed, CAST(CASE WHEN p1 = 0 AND NOT late THEN p2 ELSE p1 END AS BIGINT) AS total_peers,
   CASE WHEN p1 = 0 AND NOT late THEN late2 ELSE late END AS timed_out, p1 = 0 AND NOT late AS retry_attempted FROM s
-WHERE e2 + 1 < (SELECT max(floor(epoch(ts)) // 60) FROM events) - 60
 """)
 def refresh_stream(lake: Lake):
-    """Minutes stand for seconds, so that a month of events holds many overlapping waits."""
+    """The last report of every request, open ones included. Minutes stand for seconds, so that a month of events holds
+    many overlapping waits."""
     n, asks = F.col("event_id"), F.col("event_type") == "signup"
     rows = events(lake).withColumn("at", F.floor(F.unix_timestamp("ts") / 60)).select(
         F.sha1(F.col("user_id").cast("string")).alias("info_hash"), F.timestamp_seconds("at").alias("ts"), "at",
@@ -165,4 +177,7 @@ def refresh_stream(lake: Lake):
         F.when(asks & (n % 2 == 0), F.col("at") + 250).alias("retry_done_at"),
         F.when(asks, 0).otherwise(n % 4).alias("peers"),
     )
-    return run(lake, sp.refresh_stream(rows, "60 seconds", WAIT)).drop("epoch")
+    reports = run(lake, sp.refresh_stream(rows, "60 seconds", WAIT), "update")
+    values = F.struct("total_peers", "timed_out", "retry_attempted", "closed")
+    last = reports.groupBy("info_hash", "request_id").agg(F.max_by(values, F.struct("closed", "epoch")).alias("_last"))
+    return last.select("info_hash", "request_id", "_last.*")

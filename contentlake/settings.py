@@ -15,6 +15,8 @@ class Settings:
     flush_seconds: int = 60
     ids_per_response: int = 100
     nodes_per_response: int = 256
+    # streams: seconds of event time after which an idle key is forgotten
+    forget_seconds: int = 30 * 86_400
     # content filter
     keyword_threshold: int = 8
     regex_threshold: int = 9

@@ -3,6 +3,9 @@
 Strikes, peer lists and refresh sums merge rows in any order, and their rows are reduced inside each
 Arrow batch before the shuffle, so a hot key sends a few rows per batch. Averages, retries and
 buckets follow the time order of a key's rows within a micro-batch.
+
+Every key's state ends by an event-time timer, except that of buckets, whose number and size are fixed.
+A stream needs the RocksDB state store (``streams.ROCKSDB``), as all ``transformWithState`` does.
 """
 
 from __future__ import annotations
@@ -18,6 +21,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from contentlake.settings import DEFAULTS
 
 
+def _move_timer(handle: StatefulProcessorHandle, at_ms: int) -> None:
+    """Let the key's only timer end at ``at_ms``."""
+    for timer in list(handle.listTimers()):
+        handle.deleteTimer(timer)
+    handle.registerTimer(at_ms)
+
+
 def _reduced(df: DataFrame, reduce) -> DataFrame:
     """``df`` with ``reduce`` applied to every Arrow batch ahead of the shuffle."""
 
@@ -42,10 +52,11 @@ def first_attempts(batch: pd.DataFrame) -> pd.DataFrame:
 
 class StrikeProcessor(StatefulProcessor):
     """Keeps the two earliest failures and the earliest fetched or filtered row of a key, and emits
-    the key's standing whenever it changes. Order of arrival does not matter. With ``forget`` a key
-    is dropped that many seconds of event time after its last counted row."""
+    the key's standing whenever it changes. Order of arrival does not matter. A key is dropped
+    ``forget`` seconds of event time after its last counted row; what must stay blocked for longer
+    belongs in the table of seen keys (``streams.admit_new``)."""
 
-    def __init__(self, forget: int | None = None):
+    def __init__(self, forget: int):
         self.forget = forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -74,11 +85,8 @@ class StrikeProcessor(StatefulProcessor):
                     done, outcome = place, kind
         f1, f2 = (*failures, None, None)[:2]
         self.state.update((*(f1 or (None, None)), *(f2 or (None, None)), *(done or (None, None)), outcome))
-        if self.forget is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            latest = max(place[0] for place in (f1, f2, done) if place is not None)
-            self.handle.registerTimer(latest // 1000 + self.forget * 1000)
+        latest = max(place[0] for place in (f1, f2, done) if place is not None)
+        _move_timer(self.handle, latest // 1000 + self.forget * 1000)
         after = self.standing(f1, f2, done, outcome)
         if after != before or not any(known):
             yield pd.DataFrame([(key[0], *after)], columns=["info_hash", "first_strike", "second_strike", "seen_as"])
@@ -91,16 +99,15 @@ class StrikeProcessor(StatefulProcessor):
         pass
 
 
-def strike_stream(attempts: DataFrame, forget: int | None = None, delay: str = "1 hour") -> DataFrame:
+def strike_stream(attempts: DataFrame, forget: int = DEFAULTS.forget_seconds, delay: str = "1 hour") -> DataFrame:
     """attempts(info_hash, at, event_id, outcome), ``at`` in microseconds -> standing updates."""
     rows = _reduced(attempts.select("info_hash", "at", "event_id", "outcome"), first_attempts)
-    if forget is not None:
-        rows = rows.withColumn("_ts", F.timestamp_micros("at")).withWatermark("_ts", delay)
+    rows = rows.withColumn("_ts", F.timestamp_micros("at")).withWatermark("_ts", delay)
     return rows.groupBy("info_hash").transformWithStateInPandas(
         statefulProcessor=StrikeProcessor(forget),
         outputStructType="info_hash string, first_strike boolean, second_strike boolean, seen_as string",
         outputMode="Update",
-        timeMode="None" if forget is None else "EventTime",
+        timeMode="EventTime",
     )
 
 
@@ -113,12 +120,14 @@ def last_sightings(batch: pd.DataFrame) -> pd.DataFrame:
 
 class PeerListProcessor(StatefulProcessor):
     """The newest ``per_key`` addresses of a key, each with its last sighting, none older than
-    ``ttl`` seconds before the newest. Emits the whole (bounded) list after every change."""
+    ``ttl`` seconds before the newest. Emits the whole (bounded) list after every change; a key is
+    forgotten ``ttl`` seconds of event time after its newest sighting."""
 
-    def __init__(self, per_key: int = DEFAULTS.peers_per_key, ttl: int | None = None):
+    def __init__(self, per_key: int, ttl: int):
         self.per_key, self.ttl = per_key, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.peers = handle.getListState("peers", "ip bigint, port bigint, at bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -128,25 +137,33 @@ class PeerListProcessor(StatefulProcessor):
                 address = (int(ip), int(port))
                 seen[address] = max(int(at), seen.get(address, int(at)))
             ranked = sorted(seen.items(), key=lambda peer: (-peer[1], peer[0]))
-            oldest = ranked[0][1] - self.ttl if self.ttl is not None else None
-            seen = {a: at for a, at in ranked[: self.per_key] if oldest is None or at >= oldest}
+            oldest = ranked[0][1] - self.ttl
+            seen = {a: at for a, at in ranked[: self.per_key] if at >= oldest}
         kept = [(ip, port, at) for (ip, port), at in seen.items()]
         self.peers.put(kept)
+        _move_timer(self.handle, (kept[0][2] + self.ttl + 1) * 1000)
         listed = [(key[0], ip, port, at, rank) for rank, (ip, port, at) in enumerate(kept, start=1)]
         yield pd.DataFrame(listed, columns=["key", "ip", "port", "at", "rank"])
 
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.peers.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def peer_list_stream(observations: DataFrame, per_key: int, ttl: int | None = None) -> DataFrame:
+def peer_list_stream(
+    observations: DataFrame, per_key: int = DEFAULTS.peers_per_key, ttl: int = DEFAULTS.forget_seconds, delay: str = "1 hour"
+) -> DataFrame:
     """observations(key, ip, port, at) -> the list of a key after each micro-batch that touched it."""
     rows = _reduced(observations.select("key", "ip", "port", "at"), last_sightings)
+    rows = rows.withColumn("_ts", F.timestamp_seconds("at")).withWatermark("_ts", delay)
     return rows.groupBy("key").transformWithStateInPandas(
         statefulProcessor=PeerListProcessor(per_key, ttl),
         outputStructType="key bigint, ip bigint, port bigint, at bigint, rank int",
         outputMode="Update",
-        timeMode="None",
+        timeMode="EventTime",
     )
 
 
@@ -214,7 +231,8 @@ def retry_stream(
 class BucketProcessor(StatefulProcessor):
     """A bounded bucket of nodes: failures count up and remove at the limit, a sighting refreshes, a
     newcomer to a full bucket takes the slot of a failed node, else of the least recently seen one
-    if that is old enough, else is rejected."""
+    if that is old enough, else is rejected. The state needs no timer: one list of at most ``cap``
+    nodes for each bucket of the key space."""
 
     def __init__(self, cap: int, max_failures: int, min_age: int):
         self.cap, self.max_failures, self.min_age = cap, max_failures, min_age
@@ -273,56 +291,67 @@ def bucket_stream(
 
 
 class EmaProcessor(StatefulProcessor):
-    """The running average of a key's readings, and a shut-down once a low reading is still low one
-    smoothing step later, at the first reading after the grace period."""
+    """The rate between neighbouring readings of a key's counter, its running average, and a shut-down
+    once a low reading is still low one smoothing step later, at the first reading after the grace
+    period. A key is forgotten ``forget`` seconds of event time after its last reading."""
 
-    def __init__(self, alpha: float, minimum: float, min_age: int, grace: int):
-        self.alpha, self.minimum, self.min_age, self.grace = alpha, minimum, min_age, grace
+    def __init__(self, alpha: float, minimum: float, min_age: int, grace: int, forget: int):
+        self.alpha, self.minimum, self.min_age, self.grace, self.forget = alpha, minimum, min_age, grace, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.average = handle.getValueState("average", "ema double, born bigint")
+        self.handle = handle
+        self.last = handle.getValueState("last", "ema double, born bigint, n bigint, at bigint")
         self.waiting = handle.getListState("waiting", "at bigint, ema double, n0 bigint, at0 bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ema, born = self.average.get() if self.average.exists() else (None, None)
+        ema, born, n0, at0 = self.last.get() if self.last.exists() else (None,) * 4
         waiting = list(self.waiting.get())
         out = []
         for row in pd.concat(list(rows)).sort_values("at").itertuples():
             at, n = int(row.at), int(row.n)
-            born = at if born is None else born
-            if pd.isna(row.rate):
+            if born is None:
+                born, n0, at0 = at, n, at
                 continue
-            ema = row.rate if ema is None else self.alpha * row.rate + (1.0 - self.alpha) * ema
+            rate = (n - n0) / (at - at0) if at > at0 else 0.0
+            ema = rate if ema is None else self.alpha * rate + (1.0 - self.alpha) * ema
             low = ema < self.minimum and at - born >= self.min_age
             out.append((key[0], at, ema, low, None))
             # a reading can end the wait of earlier low readings, and its own without a grace period
             if low:
-                waiting.append((at, ema, n - int(row.dn), at - int(row.dt)))
+                waiting.append((at, ema, n0, at0))
             ready = [w for w in waiting if at >= w[0] + self.grace]
             waiting = [w for w in waiting if at < w[0] + self.grace]
-            for low_at, low_ema, n0, at0 in ready:
-                again = self.alpha * (n - n0) / (at - at0) + (1.0 - self.alpha) * low_ema
+            for low_at, low_ema, low_n, low_from in ready:
+                again = self.alpha * (n - low_n) / (at - low_from) + (1.0 - self.alpha) * low_ema
                 if again < self.minimum:
                     out.append((key[0], low_at, again, True, at))
-        if ema is not None or born is not None:
-            self.average.update((ema, born))
+            n0, at0 = n, at
+        self.last.update((ema, born, n0, at0))
         self.waiting.put(waiting) if waiting else self.waiting.clear()
+        _move_timer(self.handle, (at0 + self.forget) * 1000)
         yield pd.DataFrame(out, columns=["key", "at", "ema", "low", "shut_down_at"]).astype({"shut_down_at": "Int64"})
 
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        self.waiting.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
 def ema_stream(
-    readings: DataFrame, minimum: float, min_age: int, grace: int, alpha: float = DEFAULTS.ema_alpha
-) -> DataFrame:
-    """readings(key, at, n, dn, dt, rate) -> one row per rated reading (``shut_down_at`` NULL) and one
-    per shut-down, at the low reading that caused it."""
-    return readings.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=EmaProcessor(alpha, minimum, min_age, grace),
+    counters: DataFrame, minimum: float, min_age: int, grace: int, alpha: float = DEFAULTS.ema_alpha,
+    forget: int = DEFAULTS.forget_seconds, delay: str = "1 hour",
+) -> DataFrame:
+    """counters(key, at, n) -> one row per reading with a rate (``shut_down_at`` NULL) and one per
+    shut-down, at the low reading that caused it."""
+    timed = counters.select("key", "at", "n", F.timestamp_seconds("at").alias("_ts")).withWatermark("_ts", delay)
+    return timed.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=EmaProcessor(alpha, minimum, min_age, grace, forget),
         outputStructType="key bigint, at bigint, ema double, low boolean, shut_down_at bigint",
         outputMode="Update",
-        timeMode="None",
+        timeMode="EventTime",
     )
 
 
@@ -339,15 +368,19 @@ def summed_answers(batch: pd.DataFrame) -> pd.DataFrame:
 
 class RefreshProcessor(StatefulProcessor):
     """Sums the peers reported within a request's wait, and within its second wait when the first
-    ended without peers and without a timeout; reports once the watermark has passed both."""
+    ended without peers and without a timeout. A request's two sums grow as answers come in and are
+    reported whenever they change; a last report (``closed``) comes once the watermark has passed both
+    waits. Answers are kept by second for requests that arrive after them, until the watermark."""
 
     def __init__(self, seconds: int):
         self.seconds = seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.requests = handle.getListState("requests", "request_id bigint, at bigint, done bigint, done2 bigint")
+        schema = "request_id bigint, at bigint, done bigint, done2 bigint, first bigint, second bigint"
+        self.requests = handle.getListState("requests", schema)
         self.answers = handle.getMapState("answers", "at bigint", "peers bigint")
+        self.sweep = handle.getValueState("sweep", "at bigint")
 
     def waits(self, at: int, done, done2) -> tuple[int, bool, int, bool]:
         end = min(done, at + self.seconds) if done is not None else at + self.seconds
@@ -355,49 +388,77 @@ class RefreshProcessor(StatefulProcessor):
         late = done is None or done > at + self.seconds
         return end, late, end2, done2 is None or done2 > end + self.seconds
 
+    def grown(self, request: tuple, sums: dict[int, int]) -> tuple:
+        request_id, at, done, done2, first, second = request
+        end, _, end2, _ = self.waits(at, done, done2)
+        first += sum(sums.get(t, 0) for t in range(at, end + 1))
+        second += sum(sums.get(t, 0) for t in range(end + 1, end2 + 1))
+        return request_id, at, done, done2, first, second
+
+    def report(self, key: Any, requests: list[tuple], closed: bool) -> pd.DataFrame:
+        out = []
+        for request_id, at, done, done2, first, second in requests:
+            _, late, _, late2 = self.waits(at, done, done2)
+            retried = first == 0 and not late
+            out.append((key[0], request_id, second if retried else first, late2 if retried else late, retried, closed))
+        columns = ["info_hash", "request_id", "total_peers", "timed_out", "retry_attempted", "closed"]
+        return pd.DataFrame(out, columns=columns)
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        asked, sums = [], {}
         for chunk in rows:
             for row in chunk.itertuples():
                 at = int(row.at)
                 if pd.isna(row.request_id):
-                    held = self.answers.getValue((at,)) if self.answers.containsKey((at,)) else (0,)
-                    self.answers.updateValue((at,), (held[0] + int(row.peers),))
-                    # answers without a request are forgotten after the longest wait
-                    self.handle.registerTimer((at + 2 * self.seconds + 1) * 1000)
-                    continue
-                done = None if pd.isna(row.done_at) else int(row.done_at)
-                done2 = None if pd.isna(row.retry_done_at) else int(row.retry_done_at)
-                self.requests.appendValue((int(row.request_id), at, done, done2))
-                self.handle.registerTimer((self.waits(at, done, done2)[2] + 1) * 1000)
-        return iter(())
+                    sums[at] = sums.get(at, 0) + int(row.peers)
+                else:
+                    done, done2 = (None if pd.isna(d) else int(d) for d in (row.done_at, row.retry_done_at))
+                    asked.append((int(row.request_id), at, done, done2, 0, 0))
+        before = [tuple(request) for request in self.requests.get()]
+        after = [self.grown(request, sums) for request in before] if sums else before
+        changed = [new for old, new in zip(before, after) if new != old]
+        for at, peers in sums.items():
+            held = self.answers.getValue((at,))[0] if self.answers.containsKey((at,)) else 0
+            self.answers.updateValue((at,), (held + peers,))
+        if asked:
+            known = {at[0]: peers[0] for at, peers in self.answers.iterator()}
+            new = [self.grown(request, known) for request in asked]
+            for request in new:
+                self.handle.registerTimer((self.waits(*request[1:4])[2] + 1) * 1000)
+            after, changed = after + new, changed + new
+        if changed:
+            self.requests.put(after)
+        if sums and not self.sweep.exists():
+            self.sweep_after(max(sums))
+        yield self.report(key, changed, False)
+
+    def sweep_after(self, newest: int) -> None:
+        self.sweep.update((newest + 1,))
+        self.handle.registerTimer((newest + 1) * 1000)
 
     def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        sums = {at[0]: peers[0] for at, peers in self.answers.iterator()}
-        open_requests, out = [], []
+        if self.sweep.exists() and self.sweep.get()[0] <= now:
+            held = [at[0] for at, _ in self.answers.iterator()]
+            for at in held:
+                if at < now:
+                    self.answers.removeKey((at,))
+            self.sweep.clear()
+            if max(held, default=0) >= now:
+                self.sweep_after(max(held))
+        done, waiting = [], []
         for request in self.requests.get():
-            request_id, at, done, done2 = request
-            end, late, end2, late2 = self.waits(at, done, done2)
-            if end2 >= now:
-                open_requests.append(request)
-                continue
-            first = sum(n for t, n in sums.items() if at <= t <= end)
-            retried = first == 0 and not late
-            peers = sum(n for t, n in sums.items() if end < t <= end2) if retried else first
-            out.append((key[0], request_id, peers, late2 if retried else late, retried))
-        self.requests.put(open_requests) if open_requests else self.requests.clear()
-        for at in sums:
-            if at + 2 * self.seconds < now:
-                self.answers.removeKey((at,))
-        columns = ["info_hash", "request_id", "total_peers", "timed_out", "retry_attempted"]
-        yield pd.DataFrame(out, columns=columns)
+            (done if self.waits(*request[1:4])[2] < now else waiting).append(tuple(request))
+        if done:
+            self.requests.put(waiting) if waiting else self.requests.clear()
+        yield self.report(key, done, True)
 
     def close(self) -> None:
         pass
 
 
 def refresh_stream(rows: DataFrame, delay: str, seconds: int = DEFAULTS.request_seconds) -> DataFrame:
-    """rows(info_hash, ts, at, request_id, done_at, retry_done_at, peers) -> a report per request.
+    """rows(info_hash, ts, at, request_id, done_at, retry_done_at, peers) -> reports of requests, the last of each ``closed``.
 
     A row with a request_id opens a request at second ``at``; any other reports ``peers``.
     """
@@ -405,7 +466,7 @@ def refresh_stream(rows: DataFrame, delay: str, seconds: int = DEFAULTS.request_
     merged = _reduced(rows.select(*columns), summed_answers).withWatermark("ts", delay)
     return merged.groupBy("info_hash").transformWithStateInPandas(
         statefulProcessor=RefreshProcessor(seconds),
-        outputStructType="info_hash string, request_id bigint, total_peers bigint, timed_out boolean, retry_attempted boolean",
-        outputMode="Append",
+        outputStructType="info_hash string, request_id bigint, total_peers bigint, timed_out boolean, retry_attempted boolean, closed boolean",
+        outputMode="Update",
         timeMode="EventTime",
     )

@@ -1,6 +1,7 @@
 """Streaming sources, native stateful operators and the micro-batch catalogue sink.
 
-All operators work on event time with a watermark, which bounds their state.
+All operators work on event time; watermarks and timers bound their state, but for ``admit_new``, whose
+seen keys are a table. The keyed operators of ``processors`` need ``ROCKSDB`` as the session's state store.
 """
 
 from __future__ import annotations
@@ -8,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from contentlake.operators.dedup import first_rows
 from contentlake.settings import DEFAULTS
 from contentlake.sources.sinks import EPOCH, read_catalog, write_catalog_batch
 
@@ -54,6 +56,30 @@ def drop_seen_stream(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     return df.join(seen.select(key), key, "left_anti")
 
 
+def admit_new(
+    df: DataFrame, seen: DataFrame, key: str, order: list[Column], path: str, checkpoint: str, available_now: bool = False
+) -> StreamingQuery:
+    """The first row in ``order`` of every key that is neither in ``seen`` nor admitted by an earlier micro-batch.
+
+    Admitted rows go to ``path``/rows and their keys to ``path``/seen, both under the epoch of the batch, so that the seen
+    set follows the stream and a repeated batch replaces itself. Rows with a NULL key are left out.
+    """
+    write_catalog_batch(seen.select(key).filter(F.col(key).isNotNull()), f"{path}/seen", -1)
+    schema = StructType([df.schema[key], StructField(EPOCH, IntegerType())])
+
+    def admit(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        known = spark.read.schema(schema).parquet(f"{path}/seen")
+        first = first_rows(batch.filter(F.col(key).isNotNull()), key, order)
+        new = first.join(known.filter(F.col(EPOCH) < epoch).select(key), key, "left_anti")
+        write_catalog_batch(new.select(*batch.columns), f"{path}/rows", epoch)
+        own = spark.read.schema(schema).parquet(f"{path}/rows").filter(F.col(EPOCH) == epoch)
+        write_catalog_batch(own.select(key), f"{path}/seen", epoch)
+
+    writer = df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(admit)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def catalog_sink(
     df: DataFrame, path: str, checkpoint: str, available_now: bool = False, seconds: int = DEFAULTS.flush_seconds
 ) -> StreamingQuery:
@@ -96,7 +122,7 @@ def run_to_end(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
         else:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", previous)
-    return spark.read.schema(StructType(df.schema.fields).add(EPOCH, IntegerType())).parquet(f"{folder}/out")
+    return spark.read.schema(StructType([*df.schema.fields, StructField(EPOCH, IntegerType())])).parquet(f"{folder}/out")
 
 
 def last_update(df: DataFrame, key: str) -> DataFrame:

@@ -33,7 +33,8 @@ def as_stream(spark, rows, schema, parts=4, max_files=1):
 
 
 def test_strikes(spark):
-    rows = random_attempts(900, 120, 8)
+    # the watermark starts at 1970, where rows count as late
+    rows = [(key, at + 86_400_000_000, i, kind) for key, at, i, kind in random_attempts(900, 120, 8)]
     stream = as_stream(spark, rows, "info_hash string, at bigint, event_id bigint, outcome string")
     out = st.last_update(st.run_to_end(sp.strike_stream(stream), folder(), "update"), "info_hash")
     got = {r["info_hash"]: (r["first_strike"], r["second_strike"], r["seen_as"]) for r in out.collect()}
@@ -116,9 +117,46 @@ def test_refresh(spark):
     rows.append(("end", 10_000, None, None, None, 1))  # moves the watermark past every wait
     schema = "info_hash string, at bigint, request_id bigint, done_at bigint, retry_done_at bigint, peers bigint"
     stream = as_stream(spark, rows, schema).withColumn("ts", F.timestamp_seconds("at"))
-    out = st.run_to_end(sp.refresh_stream(stream, "20 seconds", 8), folder())
-    got = {r["request_id"]: (r["total_peers"], r["timed_out"], r["retry_attempted"]) for r in out.collect()}
+    out = st.run_to_end(sp.refresh_stream(stream, "20 seconds", 8), folder(), "update").collect()
+    got = {r["request_id"]: (r["total_peers"], r["timed_out"], r["retry_attempted"]) for r in out if r["closed"]}
     assert got == refresh_model(requests, answers, 8)
+    assert sum(r["closed"] for r in out) == len(requests)
+
+
+def state_rows(progress):
+    return sum(p["numRowsTotal"] for p in progress["stateOperators"])
+
+
+def test_state_ends(spark):
+    """Keys that went quiet leave the state once the watermark has passed their time to be forgotten."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", st.ROCKSDB)
+    rows = [(k, 10 * i, i) for i in range(10) for k in range(20)] + [(99, 100_000, 1), (99, 100_010, 2)]
+    rows += [(99, 100_020 + i, i) for i in range(18)]
+    counters = as_stream(spark, rows, "key bigint, at bigint, n bigint", parts=11)
+    peers = as_stream(spark, [(k, 7, 80, at) for k, at, _ in rows], "key bigint, ip bigint, port bigint, at bigint", parts=11)
+    for stream in (sp.ema_stream(counters, 1.0, 100, 0, forget=600, delay="1 minute"), sp.peer_list_stream(peers, 5, 600, "1 minute")):
+        path = folder()
+        query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{path}/k").trigger(availableNow=True)
+        query = query.foreachBatch(lambda batch, _: batch.write.format("noop").mode("overwrite").save()).start()
+        query.awaitTermination()
+        held = [state_rows(p) for p in query.recentProgress if p["stateOperators"]]
+        assert max(held) >= 20 and held[-1] < max(held) / 4, held
+
+
+def test_admit_new_follows_the_stream(spark):
+    rng = random.Random(6)
+    rows = [(f"k{rng.randrange(60)}" if rng.random() < 0.95 else None, i) for i in range(300)]
+    stream = as_stream(spark, rows, "key string, seq bigint", parts=6)
+    seen = spark.createDataFrame([("k1",), ("k2",), (None,)], "key string")
+    path = folder()
+    for _ in range(2):  # a second run finds nothing new
+        st.admit_new(stream, seen, "key", [F.col("seq")], path, f"{path}/k", available_now=True).awaitTermination()
+    wanted = {}
+    for key, seq in rows:
+        if key not in (None, "k1", "k2"):
+            wanted.setdefault(key, seq)
+    got = [(r["key"], r["seq"]) for r in spark.read.parquet(f"{path}/rows").collect()]
+    assert sorted(got) == sorted(wanted.items())
 
 
 def test_dedup_within_watermark(spark):
@@ -144,13 +182,11 @@ def test_ema_alerts_match_batch(spark, grace):
     from contentlake.operators import monitor as m
 
     rng = random.Random(7)
-    rows = [(key, 10 * i, sum(rng.choice([0, 0, 1, 5]) for _ in range(2)) + 10 * i) for i in range(60) for key in range(3)]
+    rows = [(key, 1000 + 10 * i, sum(rng.choice([0, 0, 1, 5]) for _ in range(2)) + 10 * i) for i in range(60) for key in range(3)]
     counters = spark.createDataFrame(rows, "key bigint, at bigint, n bigint")
     readings = m.interval_rate(counters, "key")
     batch = m.low_rate(readings, "key", 1.0, 100, grace).collect()
-    path = f"{folder()}/readings"
-    readings.coalesce(1).write.parquet(path)
-    stream = st.read_events(spark, path, spark.read.parquet(path).schema)
+    stream = as_stream(spark, rows, "key bigint, at bigint, n bigint", parts=5)
     out = st.run_to_end(sp.ema_stream(stream, 1.0, 100, grace), folder(), "update").collect()
     assert {(r["key"], r["at"]): (round(r["ema"], 9), r["low"]) for r in out if r["shut_down_at"] is None} == {
         (r["key"], r["at"]): (round(r["ema"], 9), r["low"]) for r in batch
