@@ -163,24 +163,30 @@ def cell_flags(rows: DataFrame, bits: int, flag: Callable[[np.ndarray], np.ndarr
     return out
 
 
+def with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges with the least neighbour ``m`` of their node ``a``; ``least`` is a saved table."""
+    return edges.join(least, "a")
+
+
 def components(edges: DataFrame, left: str, right: str, most_rounds: int = 50) -> DataFrame:
     """``(node, root)`` for every node of an edge: root is the smallest node that links reach.
 
-    Alternating large-star and small-star rounds (the published method for MapReduce): every round is one
-    aggregate and one join over the edges, which shrink to stars; each round is checkpointed. Nodes are of any
-    ordered type; NULL ends no edge.
+    Alternating large-star and small-star rounds (the published method for MapReduce): every star is one
+    aggregate and one join over the edges, which shrink to stars; each round is checkpointed. The root of a large group
+    has an edge for each member, so its least neighbour is found by partial aggregates and saved as a table: the join
+    then has two plain shuffles, which Spark splits where a node is hot. Nodes are of any ordered type; NULL ends no edge.
     """
     stars = pinned(edges.select(F.col(left).alias("a"), F.col(right).alias("b")).filter("a <> b").distinct())
     state = None
     for _ in range(most_rounds):
         both = stars.union(stars.select("b", "a"))
         # Large star: neighbours larger than a node go to the least of the node and its neighbours.
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        large = with_least(both, least).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small star: a node and its smaller neighbours go to the least of them.
-        down = large.filter("a <> b").distinct()
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").selectExpr("b AS a", "m AS b").union(least.selectExpr("a", "m AS b"))
+        down = saved(large.filter("a <> b").distinct(), "star")
+        least = saved(down.groupBy("a").agg(F.min("b").alias("m")), "least")
+        small = with_least(down, least).selectExpr("b AS a", "m AS b").union(least.selectExpr("a", "m AS b"))
         new = pinned(small.filter("a <> b").distinct())
         stars, before = new, state
         state = new.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()

@@ -89,6 +89,32 @@ def test_components_of_paths_and_stars(spark):
     assert common.components(spark.createDataFrame([], "x long, y long"), "x", "y").count() == 0
 
 
+def test_a_hot_node_is_split(spark):
+    """The join that sends the members of a large group to their root runs in several tasks."""
+    names = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        edges = spark.range(1, 200_000, numPartitions=8).selectExpr("IF(id < 100000, 0, id) AS a", "id + 1 AS b")
+        least = common.saved(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+        joined = common.with_least(edges, least).select("b", "m").distinct()
+        assert joined.count() == 199_999
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+        found = common.components(edges.filter("a = 0"), "a", "b")
+        assert found.agg(F.count("*"), F.max("root")).first() == (100_000, 0)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def shingle_set(text, size=5):
     own = [lower(w) for w in words_of(text)]
     return {tuple(own[i : i + size]) for i in range(max(1, len(own) - size + 1))} if own else set()
