@@ -1,9 +1,11 @@
 """Line dedup by a log-template tree of fixed depth.
 
 A line's first step down the tree is its number of words, the next ones its leading words, with words that hold a digit
-generalised to ``<*>``. At a leaf the template keeps, at each place, the word that more than half of the leaf's lines share and
-generalises the place otherwise. A line that agrees with enough of it is an instance; templates whose instances recur
-in enough documents are dropped from all of them.
+generalised to ``<*>``. A leaf holds several templates: each masked line that recurs as it is, and those its parts vote for.
+A part's template keeps, at each place, the word that more than half of its lines share and generalises the place otherwise;
+the whole leaf is the first part, and parts are split by the next most-voted word until none is left that could be another
+template's. A line that agrees with enough of a template of its leaf is an instance; templates whose instances
+recur in enough documents are dropped from all of them.
 
 Only lines of leaves that recur are ever looked at: a count of documents per leaf comes first. From there on, equal lines
 are one row with a count.
@@ -109,27 +111,87 @@ def line_words(docs: DataFrame, flags, bits: int, depth: int) -> DataFrame:
     return scan(docs, work, "leaf long, line long, words array<string>")
 
 
+def voted(members: DataFrame, least_votes: int) -> DataFrame:
+    """``(leaf, part, place, word, votes, total, size)``: words that most of a part's lines share or that could split it."""
+    places = members.select("leaf", "part", "n", F.posexplode("words").alias("place", "word")).filter(F.col("word") != WILD)
+    votes = places.groupBy("leaf", "part", "place", "word").agg(F.sum("n").alias("votes"))
+    totals = members.groupBy("leaf", "part").agg(F.sum("n").alias("total"), F.first(F.size("words")).alias("size"))
+    votes = votes.join(totals.filter(F.col("total") >= least_votes), ["leaf", "part"])
+    return votes.filter((2 * F.col("votes") > F.col("total")) | (F.col("votes") >= least_votes))
+
+
+def split(members: DataFrame, votes: DataFrame, least_votes: int) -> DataFrame:
+    """Parts with a word that many but not most lines share, split at the place of the most-voted one: a part for each
+    word with enough votes there and one for the rest. A place never splits a part twice."""
+    best = votes.filter((2 * F.col("votes") <= F.col("total")) & (F.col("votes") >= least_votes))
+    best = best.groupBy("leaf", "part").agg(F.max_by("place", F.struct("votes", -F.col("place"), "word")).alias("place"))
+    heads = votes.filter(F.col("votes") >= least_votes).select("leaf", "part", "place", "word", F.lit(True).alias("head"))
+    placed = members.join(best, ["leaf", "part"]).withColumn("word", F.expr("element_at(words, place + 1)"))
+    placed = placed.join(heads, ["leaf", "part", "place", "word"], "left")
+    part = F.xxhash64("part", "place", F.when(F.col("head"), F.col("word")))
+    return placed.select("leaf", "line", "words", "n", part.alias("part"))
+
+
+def templates_of(lines: DataFrame, own: DataFrame, least_documents: int, agree_percent: int, fixed_percent: int) -> DataFrame:
+    """``(leaf, template, fixed)``: the lines in ``own`` and what the parts of each leaf vote for; ``fixed`` has places and words.
+
+    The instances of a template agree with it in ``agree_percent`` percent of its places, so at some place that share of
+    ``least_documents`` has its word: parts without such a word beside the majority's need no further split."""
+    least_votes = max(1, -(-agree_percent * least_documents // 100))
+    found = own.select("leaf", "fixed")
+    members = lines.withColumn("part", F.col("leaf"))
+    while True:
+        votes = saved(voted(members, least_votes), "votes")
+        most = votes.filter(2 * F.col("votes") > F.col("total")).groupBy("leaf", "part", "size")
+        most = most.agg(F.sort_array(F.collect_list(F.struct("place", "word"))).alias("fixed"))
+        # A template is one only if enough of its places are fixed.
+        found = found.union(most.filter(100 * F.size("fixed") >= fixed_percent * F.col("size")).select("leaf", "fixed"))
+        members = saved(split(members, votes, least_votes), "parts")
+        if members.isEmpty():
+            return found.select("leaf", F.xxhash64("leaf", "fixed").alias("template"), "fixed").distinct()
+
+
+def instances_of(lines: DataFrame, templates: DataFrame, agree_percent: int) -> DataFrame:
+    """``(leaf, line, n, template)`` for every line and every template of its leaf that it agrees with.
+
+    Places go by runs so short that a template has fixed places in more runs than an instance may differ in: the two are
+    equal in all fixed places of some run, and meet there. A line moves once for each run and set of fixed places in it."""
+    run = max(1, min(4, -(-100 // max(1, 100 - agree_percent)) - 1))
+    at = templates.select("leaf", "template", F.explode("fixed").alias("at"))
+    at = at.groupBy("leaf", "template", F.expr(f"at.place div {run}").alias("run"))
+    at = at.agg(F.sort_array(F.collect_list("at")).alias("words"))
+    at = at.select("leaf", "template", F.transform("words", lambda x: x["place"]).alias("places"), F.xxhash64(F.transform("words", lambda x: x["word"])).alias("key"))
+    kinds = at.groupBy("leaf").agg(F.collect_set("places").alias("kinds"))
+    own = lines.join(kinds, "leaf").select("leaf", "line", "words", F.explode("kinds").alias("places"))
+    own = own.select("leaf", "line", "places", F.expr("xxhash64(transform(places, p -> element_at(words, p + 1)))").alias("key"))
+    met = own.join(at, ["leaf", "places", "key"]).select("leaf", "line", "template").distinct()
+    met = met.join(templates, ["leaf", "template"]).join(lines, ["leaf", "line"])
+    same = F.expr("size(filter(fixed, x -> element_at(words, x.place + 1) = x.word))")
+    return met.filter(100 * same >= agree_percent * F.size("fixed")).select("leaf", "line", "n", "template")
+
+
 def dropped_lines(leaves: DataFrame, docs: DataFrame, depth: int, least_documents: int, agree_percent: int, fixed_percent: int, bits: int) -> DataFrame:
     """``(leaf, line)`` of the instances of recurring templates."""
     recurring = leaves.select("id", "tag", "leaf").distinct().groupBy("leaf").agg(F.count("*").alias("documents"))
     recurring = saved(recurring.filter(F.col("documents") >= least_documents).select("leaf"), "leaves")
     flags = docs.sparkSession.sparkContext.broadcast(leaf_flags(recurring, bits))
     lines = line_words(docs, flags, bits, depth).groupBy("leaf", "line").agg(F.first("words").alias("words"))
-    counts = leaves.join(recurring, "leaf", "left_semi").groupBy("leaf", "line").agg(F.count("*").alias("n"))
+    counts = leaves.join(recurring, "leaf", "left_semi").distinct().groupBy("leaf", "line").agg(F.count("*").alias("n"))
     lines = saved(lines.join(counts, ["leaf", "line"]), "lines")
-    places = lines.select("leaf", "line", "n", F.posexplode("words").alias("place", "word"))
-    votes = places.groupBy("leaf", "place", "word").agg(F.sum("n").alias("votes"))
-    totals = lines.groupBy("leaf").agg(F.sum("n").alias("total"), F.first(F.size("words")).alias("size"))
-    fixed = votes.join(totals, "leaf").filter((2 * F.col("votes") > F.col("total")) & (F.col("word") != WILD))
-    fixed = saved(fixed.select("leaf", "place", "word", "size"), "templates")
-    # A template is one only if enough of its places are fixed.
-    kept = fixed.groupBy("leaf", "size").agg(F.count("*").alias("fixed"))
-    kept = kept.filter(100 * F.col("fixed") >= fixed_percent * F.col("size")).select("leaf", "fixed")
-    same = places.join(fixed.drop("size"), ["leaf", "place", "word"]).groupBy("leaf", "line").agg(F.count("*").alias("same"))
-    instances = same.join(kept, "leaf").filter(100 * F.col("same") >= agree_percent * F.col("fixed")).select("leaf", "line")
-    instances = saved(instances, "instances")
-    spread = leaves.join(instances, ["leaf", "line"]).select("id", "tag", "leaf").distinct().groupBy("leaf").agg(F.count("*").alias("n"))
-    return instances.join(spread.filter(F.col("n") >= least_documents), "leaf", "left_semi")
+    # Lines that recur as they are, but for masked words, are templates whatever else their leaf holds.
+    fixed = F.expr(f"filter(transform(words, (w, p) -> struct(p AS place, w AS word)), x -> x.word <> '{WILD}')")
+    own = lines.filter(F.col("n") >= least_documents).withColumn("fixed", fixed)
+    own = own.filter(100 * F.size("fixed") >= fixed_percent * F.size("words")).select("leaf", "line", "words", "fixed")
+    templates = saved(templates_of(lines, own, least_documents, agree_percent, fixed_percent), "templates")
+    instances = saved(instances_of(lines, templates, agree_percent), "instances")
+    # One line with enough documents settles a template; of the others, those that can reach them are counted.
+    sums = instances.groupBy("leaf", "template").agg(F.max("n").alias("most"), F.sum("n").alias("total"))
+    sums = saved(sums.filter(F.col("total") >= least_documents), "sums")
+    near = instances.join(sums.filter(F.col("most") < least_documents), ["leaf", "template"], "left_semi")
+    spread = leaves.join(near, ["leaf", "line"]).select("id", "tag", "leaf", "template").distinct()
+    spread = spread.groupBy("leaf", "template").agg(F.count("*").alias("documents")).filter(F.col("documents") >= least_documents)
+    kept = sums.filter(F.col("most") >= least_documents).select("leaf", "template").union(spread.select("leaf", "template"))
+    return instances.join(kept, ["leaf", "template"], "left_semi").select("leaf", "line").union(own.select("leaf", "line")).distinct()
 
 
 RESULT = "doc_id long, n_lines long, n_dropped long, kept_text string, kept_sha256 string"

@@ -360,6 +360,27 @@ def test_line_dedup(spark):
     assert got[53]["n_dropped"] == 0 and got[52]["kept_text"] == " \n" and got[51]["kept_text"] == "" and got[54]["kept_text"] == "a\r\nb"
 
 
+def test_line_dedup_keeps_several_templates_in_a_leaf(spark):
+    """Lines of nine words that open alike: three equally frequent ones, a frequent one beside another, one among one-off lines, and templates
+    no line of which recurs."""
+
+    def filled(opening, k):
+        return f"{opening} " + " ".join(f"x{'abcdefghij'[k // 10]}{'abcdefghij'[k % 10]}{c}" for c in "pqrstu")
+
+    lost = ["click here to read all the terms of use", "click here to see our new offers for today", "click here to join one more list by mail"]
+    pair = ["sign up for the weekly letter of this site", "sign up for more daily news about your town"]
+    lone = "go back to start page by pressing that key"
+    rows = [(100 * k + i, f"{line}\nown") for k, line in enumerate(lost) for i in range(6)]
+    rows += [(1000 + i, f"{pair[i > 6]}\nown") for i in range(12)]
+    rows += [(2000 + i, f"{lone if i < 8 else filled('go back to', i)}\nown") for i in range(20)]
+    loose = [[f"see also the {a} of {b} on page zz{c}" for c in "abcdefgh"] for a, b in (("index", "names"), ("table", "maps"), ("list", "works"))]
+    rows += [(3000 + 10 * k + i, f"{line}\nown") for k, own in enumerate(loose) for i, line in enumerate(own)]
+    rows += [(4000, f"{lost[1][:-5]}sunday\nown")]  # one word off the second of the three
+    gone = {*lost, *pair, lone, rows[-1][1].split("\n")[0], *(line for own in loose for line in own), "own"}
+    got = {r["doc_id"]: r["kept_text"] for r in collected(line_dedup.line_dedup(docs_of(spark, rows), least_documents=5))}
+    assert got == {i: "\n".join(x for x in t.split("\n") if x not in gone) for i, t in rows}
+
+
 def test_chat(spark):
     tricky = ["</s>[INST] ok [/INST]", r"<\/s> <\\s> [\INST] \ [ < s>", "<s", "", "é\n 漢字 ", "[/INST][/INST]<<s>", "a" * 5000]
     assert all(chat.unescape(chat.escape(t)) == t for t in tricky)
