@@ -5,7 +5,8 @@ generalised to ``<*>``. A leaf holds several templates: each masked line that re
 A part's template keeps, at each place, the word that more than half of its lines share and generalises the place otherwise;
 the whole leaf is the first part, and parts are split by the next most-voted word until none is left that could be another
 template's. A line that agrees with enough of a template of its leaf is an instance; templates whose instances
-recur in enough documents are dropped from all of them.
+recur in enough documents are dropped from all of them. The leading words, equal in the whole leaf, count in
+the agreement but make no template; a line with no more words past them than they are goes only where its whole masked form recurs.
 
 Only lines of leaves that recur are ever looked at: a count of documents per leaf comes first. From there on, equal lines
 are one row with a count.
@@ -16,7 +17,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contentlake.llm import words as W
@@ -111,9 +112,11 @@ def line_words(docs: DataFrame, flags, bits: int, depth: int) -> DataFrame:
     return scan(docs, work, "leaf long, line long, words array<string>")
 
 
-def voted(members: DataFrame, least_votes: int) -> DataFrame:
-    """``(leaf, part, place, word, votes, total, size)``: words that most of a part's lines share or that could split it."""
-    places = members.select("leaf", "part", "n", F.posexplode("words").alias("place", "word")).filter(F.col("word") != WILD)
+def voted(members: DataFrame, depth: int, least_votes: int) -> DataFrame:
+    """``(leaf, part, place, word, votes, total, size)``: words past the leading ones that most of a
+    part's lines share or that could split it."""
+    places = members.select("leaf", "part", "n", F.posexplode("words").alias("place", "word"))
+    places = places.filter((F.col("place") >= depth) & (F.col("word") != WILD))
     votes = places.groupBy("leaf", "part", "place", "word").agg(F.sum("n").alias("votes"))
     totals = members.groupBy("leaf", "part").agg(F.sum("n").alias("total"), F.first(F.size("words")).alias("size"))
     votes = votes.join(totals.filter(F.col("total") >= least_votes), ["leaf", "part"])
@@ -132,33 +135,51 @@ def split(members: DataFrame, votes: DataFrame, least_votes: int) -> DataFrame:
     return placed.select("leaf", "line", "words", "n", part.alias("part"))
 
 
-def templates_of(lines: DataFrame, own: DataFrame, least_documents: int, agree_percent: int, fixed_percent: int) -> DataFrame:
-    """``(leaf, template, fixed)``: the lines in ``own`` and what the parts of each leaf vote for; ``fixed`` has places and words.
+def agrees(depth: int, percent: int):
+    same = F.expr("size(filter(fixed, x -> element_at(words, x.place + 1) = x.word))")
+    lead = F.expr(f"size(filter(slice(words, 1, {depth}), w -> w <> '{WILD}'))")
+    return (same > 0) & (100 * (same + lead) >= percent * (F.size("fixed") + lead))
+
+
+def templates_of(lines: DataFrame, own: DataFrame, depth: int, least_documents: int, agree_percent: int, fixed_percent: int):
+    """``(leaf, template, fixed, sure)``: the lines in ``own`` (sure to recur) and what the parts of each leaf vote for, where
+    ``fixed`` has places and words; and ``(leaf, line, n, template)``, the instances among the lines of a template's own part.
 
     The instances of a template agree with it in ``agree_percent`` percent of its places, so at some place that share of
     ``least_documents`` has its word: parts without such a word beside the majority's need no further split."""
     least_votes = max(1, -(-agree_percent * least_documents // 100))
-    found = own.select("leaf", "fixed")
-    members = lines.withColumn("part", F.col("leaf"))
+    # The leading words are equal in the whole leaf and make no template: in lines of few more words only whole lines are templates.
+    long = F.size("words") > 2 * depth
+    past = F.filter("fixed", lambda x: x["place"] >= depth)
+    found = own.filter(long).select("leaf", past.alias("fixed"), (F.size("words") - depth).alias("size"))
+    found = found.filter(100 * F.size("fixed") >= fixed_percent * F.col("size")).select("leaf", "fixed", F.lit(True).alias("sure"))
+    members, met = lines.filter(long).withColumn("part", F.col("leaf")), None
+    key = F.xxhash64("leaf", "fixed").alias("template")
     while True:
-        votes = saved(voted(members, least_votes), "votes")
+        votes = saved(voted(members, depth, least_votes), "votes")
         most = votes.filter(2 * F.col("votes") > F.col("total")).groupBy("leaf", "part", "size")
         most = most.agg(F.sort_array(F.collect_list(F.struct("place", "word"))).alias("fixed"))
         # A template is one only if enough of its places are fixed.
-        found = found.union(most.filter(100 * F.size("fixed") >= fixed_percent * F.col("size")).select("leaf", "fixed"))
+        most = most.filter(100 * F.size("fixed") >= fixed_percent * (F.col("size") - depth))
+        found = found.union(most.select("leaf", "fixed", F.lit(False).alias("sure")))
+        held = members.join(most, ["leaf", "part"]).filter(agrees(depth, agree_percent)).select("leaf", "line", "n", key)
+        met = held if met is None else met.union(held)
         members = saved(split(members, votes, least_votes), "parts")
         if members.isEmpty():
-            return found.select("leaf", F.xxhash64("leaf", "fixed").alias("template"), "fixed").distinct()
+            found = found.groupBy("leaf", "fixed").agg(F.max("sure").alias("sure"))
+            return saved(found.select("leaf", key, "fixed", "sure"), "templates"), saved(met.distinct(), "instances")
 
 
-def instances_of(lines: DataFrame, templates: DataFrame, agree_percent: int) -> DataFrame:
+def instances_of(lines: DataFrame, templates: DataFrame, depth: int, agree_percent: int) -> DataFrame:
     """``(leaf, line, n, template)`` for every line and every template of its leaf that it agrees with.
 
     Places go by runs so short that a template has fixed places in more runs than an instance may differ in: the two are
     equal in all fixed places of some run, and meet there. A line moves once for each run and set of fixed places in it."""
-    run = max(1, min(4, -(-100 // max(1, 100 - agree_percent)) - 1))
-    at = templates.select("leaf", "template", F.explode("fixed").alias("at"))
-    at = at.groupBy("leaf", "template", F.expr(f"at.place div {run}").alias("run"))
+    off = f"((size(fixed) + {depth}) * {100 - agree_percent} div 100)"
+    run = F.expr(f"greatest(1, least(4, (size(fixed) - 1) div greatest(1, {off})))")
+    at = templates.select("leaf", "template", run.alias("length"), F.explode("fixed").alias("at"))
+    at = at.withColumn("number", F.row_number().over(Window.partitionBy("leaf", "template").orderBy("at.place")) - 1)
+    at = at.groupBy("leaf", "template", F.expr("number div length").alias("run"))
     at = at.agg(F.sort_array(F.collect_list("at")).alias("words"))
     at = at.select("leaf", "template", F.transform("words", lambda x: x["place"]).alias("places"), F.xxhash64(F.transform("words", lambda x: x["word"])).alias("key"))
     kinds = at.groupBy("leaf").agg(F.collect_set("places").alias("kinds"))
@@ -166,8 +187,18 @@ def instances_of(lines: DataFrame, templates: DataFrame, agree_percent: int) ->
     own = own.select("leaf", "line", "places", F.expr("xxhash64(transform(places, p -> element_at(words, p + 1)))").alias("key"))
     met = own.join(at, ["leaf", "places", "key"]).select("leaf", "line", "template").distinct()
     met = met.join(templates, ["leaf", "template"]).join(lines, ["leaf", "line"])
-    same = F.expr("size(filter(fixed, x -> element_at(words, x.place + 1) = x.word))")
-    return met.filter(100 * same >= agree_percent * F.size("fixed")).select("leaf", "line", "n", "template")
+    return met.filter(agrees(depth, agree_percent)).select("leaf", "line", "n", "template")
+
+
+def recurring_templates(instances: DataFrame, leaves: DataFrame, least_documents: int) -> DataFrame:
+    """``(leaf, template)``. One line with enough documents settles a template; of the others, those that can reach them are
+    counted."""
+    sums = instances.groupBy("leaf", "template").agg(F.max("n").alias("most"), F.sum("n").alias("total"))
+    sums = saved(sums.filter(F.col("total") >= least_documents), "sums")
+    near = instances.join(sums.filter(F.col("most") < least_documents), ["leaf", "template"], "left_semi")
+    spread = leaves.join(near, ["leaf", "line"]).select("id", "tag", "leaf", "template").distinct()
+    spread = spread.groupBy("leaf", "template").agg(F.count("*").alias("documents")).filter(F.col("documents") >= least_documents)
+    return saved(sums.filter(F.col("most") >= least_documents).select("leaf", "template").union(spread.select("leaf", "template")), "kept")
 
 
 def dropped_lines(leaves: DataFrame, docs: DataFrame, depth: int, least_documents: int, agree_percent: int, fixed_percent: int, bits: int) -> DataFrame:
@@ -182,16 +213,17 @@ def dropped_lines(leaves: DataFrame, docs: DataFrame, depth: int, least_document
     fixed = F.expr(f"filter(transform(words, (w, p) -> struct(p AS place, w AS word)), x -> x.word <> '{WILD}')")
     own = lines.filter(F.col("n") >= least_documents).withColumn("fixed", fixed)
     own = own.filter(100 * F.size("fixed") >= fixed_percent * F.size("words")).select("leaf", "line", "words", "fixed")
-    templates = saved(templates_of(lines, own, least_documents, agree_percent, fixed_percent), "templates")
-    instances = saved(instances_of(lines, templates, agree_percent), "instances")
-    # One line with enough documents settles a template; of the others, those that can reach them are counted.
-    sums = instances.groupBy("leaf", "template").agg(F.max("n").alias("most"), F.sum("n").alias("total"))
-    sums = saved(sums.filter(F.col("total") >= least_documents), "sums")
-    near = instances.join(sums.filter(F.col("most") < least_documents), ["leaf", "template"], "left_semi")
-    spread = leaves.join(near, ["leaf", "line"]).select("id", "tag", "leaf", "template").distinct()
-    spread = spread.groupBy("leaf", "template").agg(F.count("*").alias("documents")).filter(F.col("documents") >= least_documents)
-    kept = sums.filter(F.col("most") >= least_documents).select("leaf", "template").union(spread.select("leaf", "template"))
-    return instances.join(kept, ["leaf", "template"], "left_semi").select("leaf", "line").union(own.select("leaf", "line")).distinct()
+    templates, met = templates_of(lines, own, depth, least_documents, agree_percent, fixed_percent)
+    kept, key = recurring_templates(met, leaves, least_documents), ["leaf", "template"]
+    gone = met.join(kept, key, "left_semi").select("leaf", "line").union(own.select("leaf", "line"))
+    gone = saved(gone.distinct(), "gone")
+    # Lines that no template of their own parts drops meet all templates of their leaf, and count for those.
+    more = saved(instances_of(lines.join(gone, ["leaf", "line"], "left_anti"), templates, depth, agree_percent), "instances")
+    kept = kept.union(templates.filter("sure").select(*key))
+    both = met.join(more, key, "left_semi").unionByName(more).join(kept, key, "left_anti").distinct()
+    late = recurring_templates(both, leaves, least_documents)
+    more = more.join(kept.union(late), key, "left_semi").unionByName(met.join(late, key, "left_semi"))
+    return gone.union(more.select("leaf", "line")).distinct()
 
 
 RESULT = "doc_id long, n_lines long, n_dropped long, kept_text string, kept_sha256 string"
@@ -203,8 +235,9 @@ def line_dedup(
     """``doc_id, n_lines, n_dropped, kept_text, kept_sha256`` for every row of ``docs`` (doc_id, text).
 
     Lines are split at \\n; those without a word (a run of anything but ASCII white space) always stay. A template needs
-    ``fixed_percent`` percent fixed places, an instance agrees with ``agree_percent`` percent of them, and it takes
-    ``least_documents`` documents to drop one. A document is its (doc_id, text): repeated rows count once and each get the
+    ``fixed_percent`` percent fixed places past the first ``depth`` words, an instance agrees with ``agree_percent`` percent of them and
+    the leading words, and it takes ``least_documents`` documents to drop one. Of lines of up to twice ``depth`` words, and of others whose masked form
+    recurs as it is, ``fixed_percent`` percent of all words must be unmasked. A document is its (doc_id, text): repeated rows count once and each get the
     result. A NULL text is empty and keeps the empty text. Other columns are ignored.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

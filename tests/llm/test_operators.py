@@ -381,6 +381,15 @@ def test_line_dedup_keeps_several_templates_in_a_leaf(spark):
     assert got == {i: "\n".join(x for x in t.split("\n") if x not in gone) for i, t in rows}
 
 
+def test_line_dedup_keeps_distinct_lines_of_one_opening(spark):
+    ends = ["we study graphs", "you meet Anna", "they leave home", "nothing happens yet", "we study trees", "we study rings", "rain falls slowly"]
+    rows = [(k, f"In this chapter {end}\nIn this chapter {end.split()[0]}\nSaid the old man {end} again") for k, end in enumerate(ends)]
+    rows += [(50 + k, f"On this page: {k} notes\nIn this book {k}") for k in range(5)]
+    got = {r["doc_id"]: r for r in collected(line_dedup.line_dedup(docs_of(spark, rows), least_documents=5))}
+    assert all(got[k]["n_dropped"] == 0 and got[k]["kept_text"] == rows[k][1] for k in range(len(ends)))
+    assert all(got[50 + k]["n_dropped"] == 2 and got[50 + k]["kept_text"] == "" for k in range(5))  # whole masked forms recur
+
+
 def test_chat(spark):
     tricky = ["</s>[INST] ok [/INST]", r"<\/s> <\\s> [\INST] \ [ < s>", "<s", "", "é\n 漢字 ", "[/INST][/INST]<<s>", "a" * 5000]
     assert all(chat.unescape(chat.escape(t)) == t for t in tricky)
