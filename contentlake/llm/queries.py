@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from contentlake.llm.chat import conversation_digests, format_turns, worst_case
 from contentlake.llm.decontaminate import decontaminate
+from contentlake.llm.hard_negatives import hard_negatives
 from contentlake.llm.line_dedup import line_dedup
 from contentlake.llm.mixing import mix
 from contentlake.llm.ngram_join import ngram_join
@@ -63,6 +65,17 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("spans")
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label").cast("long")
+    return hard_negatives(
+        table(spark, folder, "embeddings"),
+        vec_id,
+        F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label),
+        F.col("embedding"),
+        anchor=vec_id % 100 == 0,
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,6 +89,7 @@ QUERIES = {
         op8_substring_dedup,
         op9_quality,
         op10_decontamination,
+        op12_hard_negatives,
     )
 }
 
@@ -248,3 +262,23 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sum(size)::BIGINT AS formatted_chars
 FROM sizes GROUP BY conv_id
 """
+
+ORACLE["op12_hard_negatives"] = """
+WITH vectors AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.r AS a, a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, b.r AS b,
+         list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM vectors a JOIN vectors b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT a, anchor_id, id AS positive_id, score AS positive_score, b AS p FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id NULLS LAST, b) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.a, p.p ORDER BY score DESC, id NULLS LAST, b)::INTEGER AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scores s ON s.a = p.a AND NOT s.same
+  AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.a, p.p ORDER BY score DESC, id NULLS LAST, b) <= 5
+"""
