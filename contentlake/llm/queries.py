@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contentlake.llm.align import token_alignment
 from contentlake.llm.chat import conversation_digests, format_turns, worst_case
 from contentlake.llm.decontaminate import decontaminate
 from contentlake.llm.hard_negatives import hard_negatives
+from contentlake.llm.language import language
 from contentlake.llm.line_dedup import line_dedup
 from contentlake.llm.mixing import mix
 from contentlake.llm.ngram_join import ngram_join
@@ -65,6 +67,10 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("spans")
 
 
+def op11_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language(table(spark, folder, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     vec_id, label = F.col("vec_id"), F.col("label").cast("long")
     return hard_negatives(
@@ -76,6 +82,10 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment(table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -89,7 +99,9 @@ QUERIES = {
         op8_substring_dedup,
         op9_quality,
         op10_decontamination,
+        op11_language,
         op12_hard_negatives,
+        op13_token_alignment,
     )
 }
 
