@@ -1,6 +1,7 @@
 """Language identification, hard negatives and token alignment on small tables against brute force."""
 
 import hashlib
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -8,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from contentlake.llm import align, hard_negatives, language
 from contentlake.llm import words as W
@@ -208,10 +210,12 @@ def tokenizers():
 
 def model_alignment(rows, tokenizers):
     """(doc_id, text) rows -> the answer, from byte offsets alone."""
-    (encode_a, known_a), (encode_b, known_b) = tokenizers
+    (_, known_a), (encode_b, known_b) = tokenizers
+    library = Tokenizer.from_file(f"{align.FOLDER}/byte_bpe_50k.json")
+    library.encode_special_tokens = True
     held, links_of = [], []
     for _, text in rows:
-        a, b = (encode_a([text])[0], encode_b([text])[0]) if text else ([], [])
+        a, b = (library.encode(" " + text, add_special_tokens=False).ids, encode_b([text])[0].tolist()) if text else ([], [])
         raw = b" " + (text or "").encode()
         if b"".join(known_a.pieces[k] for k in a) != raw or b"".join(known_b.pieces[k] for k in b) != raw:
             a, b = [], []
@@ -263,6 +267,17 @@ def test_alignment_equals_model(spark, tokenizers):
         assert sorted(map(tuple, got.collect()), key=repr) == want
 
 
+def test_ranks_encode_like_the_file(tokenizers, tmp_path):
+    """A file that is no plain ranking goes to the library of the format, with the same ids."""
+    path = f"{align.FOLDER}/byte_bpe_50k.json"
+    note = json.load(open(path, encoding="utf-8"))
+    note["normalizer"] = {"type": "Sequence", "normalizers": []}
+    (tmp_path / "other.json").write_text(json.dumps(note), encoding="utf-8")
+    texts = [t for t in ODD_TEXTS if t] + ["a" * 9000, " " * 3000, "".join(map(chr, range(1, 0x3000)))]
+    one, two = tokenizers[0], align.byte_level(str(tmp_path / "other.json"))
+    assert [i.tolist() for i in one[0](texts)] == [i.tolist() for i in two[0](texts)] and one[1].pieces == two[1].pieces
+
+
 def test_alignment_shows_groups(spark, tokenizers):
     rows = [(1, "The reading of it"), (2, None), (3, "Wörter über alles")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
