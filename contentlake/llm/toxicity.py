@@ -195,8 +195,17 @@ def grid(starts: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, shape: Shap
     return np.where(inside, cells, pad), None if inside.all() else inside
 
 
+def window_logits(model, inputs, starts, sizes, numbers, shape: Shape, step: int = 2048) -> np.ndarray:
+    """Logits of all windows, a bounded number of them at a time."""
+    out = np.zeros(len(starts), F32)
+    for k in range(0, len(starts), step):
+        cells, inside = grid(starts[k : k + step], sizes[k : k + step], numbers, shape, len(inputs) - 1)
+        out[k : k + step], _ = forward(model, inputs, cells, inside)
+    return out
+
+
 def train(texts: list[str], labels: np.ndarray, shape: Shape, epochs: int, rate: float, most_windows: int, seed: int) -> dict:
-    """Adagrad over batches of texts. Of each text up to ``most_windows`` windows, evenly spread, take part."""
+    """Adagrad over batches of texts. All windows of a text are scored; at most ``most_windows`` of them, the highest, are learned from."""
     model, rng = new_model(shape, seed), np.random.default_rng(seed)
     sums = {k: np.full(v.shape, 1e-8, F32) for k, v in model.items()}
     weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6)).astype(F32)
@@ -208,27 +217,23 @@ def train(texts: list[str], labels: np.ndarray, shape: Shape, epochs: int, rate:
                 continue
             vocabulary, numbers, first = read_words(part, shape)
             starts, sizes, owner = windows_of(first, shape)
-            keep = np.zeros(len(starts), bool)
-            for own in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(owner)) + 1) if len(starts) else []:
-                keep[own[np.unique(np.linspace(0, len(own) - 1, min(len(own), most_windows)).astype(int))]] = True
-            starts, sizes, owner = starts[keep], sizes[keep], owner[keep]
             if len(starts) == 0:
                 continue
             inputs, scale = embed(model, vocabulary)
             inputs = np.vstack([inputs, np.zeros((1, shape.width), F32)])
-            cells, inside = grid(starts, sizes, numbers, shape, len(inputs) - 1)
-            logits, _ = forward(model, inputs, cells, inside)
+            logits = window_logits(model, inputs, starts, sizes, numbers, shape)
             # The highest quarter of a toxic text's windows, and the four highest of a clean text's, carry its label; in
-            # the first epoch all of them do.
+            # the first epoch all of them do, or as many as may.
             order = np.lexsort((-logits, owner))
             begin = np.searchsorted(owner[order], np.arange(len(batch)))
             rank = np.arange(len(order)) - begin[owner[order]]
             total = np.bincount(owner, minlength=len(batch))[owner[order]]
             toxic = labels[batch][owner[order]] == 1
-            top = order if epoch == 0 else order[rank < np.where(toxic, np.maximum(1, total // 4), 4)]
-            used, cells = np.unique(cells[top], return_inverse=True)
+            quarter = np.minimum(np.maximum(1, total // 4), max(1, most_windows // 4))
+            top = order[rank < (most_windows if epoch == 0 else np.where(toxic, quarter, 4))]
+            cells, inside = grid(starts[top], sizes[top], numbers, shape, len(inputs) - 1)
+            used, cells = np.unique(cells, return_inverse=True)
             cells = cells.reshape(len(top), shape.window)
-            inside = None if inside is None else inside[top]
             logits, kept = forward(model, inputs[used], cells, inside, keep=True)
             target = labels[batch][owner[top]].astype(F32)
             share = weight[batch][owner[top]] / np.bincount(owner[top], minlength=len(batch))[owner[top]]
@@ -303,7 +308,11 @@ def learned(docs: DataFrame, labels: DataFrame, shape: Shape, most_texts: int, e
     toxic_share = train_rows.agg(F.avg("toxic")).first()[0] or 0.0
     sample = [train_rows.filter(F.col("toxic") == c).orderBy(*order).limit(n) for c, n in ((0, 2 * most_texts), (1, most_texts))]
     sample = sample[0].union(sample[1])  # at most 3 * most_texts short rows
-    texts = docs.join(F.broadcast(sample), "doc_id").filter("text IS NOT NULL").select("doc_id", "text", "toxic")
+    texts = docs.join(F.broadcast(sample), "doc_id").filter("text IS NOT NULL").select("doc_id", "text", "toxic").distinct()
+    # An id may have many texts: the bound holds for these too.
+    order = F.xxhash64("doc_id", "text"), F.col("doc_id"), F.col("text")
+    texts = [texts.filter(F.col("toxic") == c).orderBy(*order).limit(n) for c, n in ((0, 2 * most_texts), (1, most_texts))]
+    texts = texts[0].union(texts[1])
 
     def work(batches):
         rows = sorted({(d, t, x) for b in batches for d, t, x in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True)})
@@ -360,7 +369,7 @@ def toxicity(
 
     Rows whose crc32(doc_id as text) mod 5 is 0 are held out: their labels are never read. Training takes at most
     ``most_texts`` toxic and twice as many clean labelled texts, the first by hash of the id, in one task (part of them only
-    places the threshold); all texts are scored whole. NULL, empty
+    places the threshold); all texts are scored whole, in windows that overlap by half. NULL, empty
     and wordless texts score 0, a NULL id is not held out, repeated rows are scored alike, other columns are ignored.
     """
     scores = scorer(docs, labels, shape, most_texts, epochs, rate, most_windows, seed)
