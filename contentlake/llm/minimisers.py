@@ -35,14 +35,22 @@ class Runs(NamedTuple):
     text: np.ndarray
 
 
-def super_runs(grams: np.ndarray, offsets: np.ndarray, length: int, size: int) -> Runs:
-    """``grams``: hash of the gram at each place; ``offsets``: place of the first unit of each text (one more than texts)."""
+def super_runs(grams: np.ndarray, offsets: np.ndarray, length: int, size: int, stretch: int = int(PLACE)) -> Runs:
+    """``grams``: hash of the gram at each place; ``offsets``: place of the first unit of each text (one more than texts).
+
+    More than ``stretch`` places are taken in stretches that overlap by a window less one gram; a run ends where its stretch does.
+    """
     width = length - size + 1
     none = np.zeros(0, np.int64)
     if len(grams) < width:
         return Runs(none, none, np.zeros(0, U64), none)
-    if len(grams) > int(PLACE):
-        raise ValueError("a text of more than 2**28 units")
+    if len(grams) > stretch:
+        found = []
+        for a in range(0, len(grams) - width + 1, stretch - width + 1):
+            part = grams[a : a + stretch]
+            runs = super_runs(part, np.clip(offsets - a, 0, len(part) + size - 1), length, size, stretch)
+            found.append(Runs(runs.first + a, runs.last + a, runs.hashes, runs.text))
+        return Runs(*(np.concatenate(c) for c in zip(*found, strict=True)))
     keys = (grams & ~PLACE) | np.arange(len(grams), dtype=U64)
     least = sliding_minima(keys, width)
     whole = np.zeros(len(least) + 1, np.int8)  # window starts inside one text
