@@ -50,6 +50,25 @@ def automaton_of(patterns: dict[str, tuple[int, set[str]]]):
     return automaton
 
 
+GROUP_BYTES = 1 << 26  # of several blocks of patterns each is built once for so many bytes of rows
+
+
+def grouped(batches, blocks):
+    """Batches as they come for a single block of patterns, else gathered into larger ones."""
+    held, size = [], 0
+    for batch in batches:
+        if len(blocks) == 1:
+            yield batch
+            continue
+        held.append(batch)
+        size += batch.nbytes
+        if size >= GROUP_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 class Scanner:
     """The automata of a task. One block of patterns (the usual case) is built once; of several, one is held at a time."""
 
@@ -98,7 +117,7 @@ def pattern_blocks(benchmark: DataFrame, block_bytes: int) -> list:
     the driver nor an automaton ever holds more than a block (a single longer item is a block of its own)."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
-    items = items.filter("item IS NOT NULL AND text IS NOT NULL").distinct()
+    items = items.filter("text IS NOT NULL").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-total // block_bytes))
     key = F.pmod(F.xxhash64("item", "text"), F.lit(count))
@@ -116,19 +135,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_b
     """Per row of ``docs`` (doc_id, text) what it shares with ``benchmark`` (item_id, text); see ``RESULT``.
 
     A word inside any occurrence of a window is hit; spans are byte offsets of hit runs in the original text. NULL texts
-    have no words, items without id, text or words no windows; repeated rows each get their result. Item ids are
+    have no words, items without text or words no windows; windows of an item without id hit like any other, it is only not listed; repeated rows each get their result. Item ids are
     sorted as strings. Other columns are ignored. An empty benchmark leaves every document clean.
     """
     blocks = pattern_blocks(benchmark, block_bytes)
 
     def work(batches):
         scanner = Scanner(blocks, size)
-        for batch in batches:
+        for batch in grouped(batches, blocks):
             ids = batch.column(0).to_pylist()
             texts = W.text_column(batch, "text").cast(pa.large_binary()).to_pylist()
             hits = scanner.hits(texts)
             none = np.zeros(0, bool)
-            items = [sorted(found) for _, found, _ in hits]
+            items = [sorted(found - {None}) for _, found, _ in hits]
             yield {
                 "doc_id": ids,
                 "n_words": [n for _, _, n in hits],
@@ -148,7 +167,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10, block
 
     def work(batches):
         scanner = Scanner(blocks, size)
-        for batch in batches:
+        for batch in grouped(batches, blocks):
             texts = W.text_column(batch, "text").cast(pa.large_binary()).to_pylist()
             yield batch.filter(pa.array([m is None for m, _, _ in scanner.hits(texts)], pa.bool_()))
 

@@ -1,15 +1,17 @@
 """Line dedup by a log-template tree of fixed depth.
 
 A line's first step down the tree is its number of words, the next ones its leading words, with words that hold a digit
-generalised to ``<*>``. A leaf holds several templates: each masked line that recurs as it is, and those its parts vote for.
-A part's template keeps, at each place, the word that more than half of its lines share and generalises the place otherwise;
-the whole leaf is the first part, and parts are split by the next most-voted word until none is left that could be another
-template's. A line that agrees with enough of a template of its leaf is an instance; templates whose instances
-recur in enough documents are dropped from all of them. The leading words, equal in the whole leaf, count in
-the agreement but make no template; a line with no more words past them than they are goes only where its whole masked form recurs.
-
-Only lines of leaves that recur are ever looked at: a count of documents per leaf comes first. From there on, equal lines
-are one row with a count.
+generalised to ``<*>``. In a leaf the remaining places are generalised by how often their words recur there: at several levels,
+from words that most lines of the leaf share down to words that recur at all, a word below the level gives way to the word that is
+most frequent in its place behind the same word, else in its place, or to ``<*>`` where none reaches the level. What is left is a template of the line; a line is its
+instance if enough of the template's words are its own. So a leaf holds as many templates as its lines have, a field with a
+few frequent values is generalised at one level and its values kept apart at the next, and all of it follows from one count of
+(leaf, place, word). Templates whose instances recur in enough documents are dropped from all of them, as are masked
+lines that recur as they are.
+
+The leading words, equal in the whole leaf, count in the agreement but make no template; a line with no more words past them
+than they are goes only where its whole masked form recurs. Only lines of leaves that recur are ever looked at: a count of
+documents per leaf comes first. From there on, equal lines are one row with a count.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contentlake.llm import words as W
@@ -112,82 +114,45 @@ def line_words(docs: DataFrame, flags, bits: int, depth: int) -> DataFrame:
     return scan(docs, work, "leaf long, line long, words array<string>")
 
 
-def voted(members: DataFrame, depth: int, least_votes: int) -> DataFrame:
-    """``(leaf, part, place, word, votes, total, size)``: words past the leading ones that most of a
-    part's lines share or that could split it."""
-    places = members.select("leaf", "part", "n", F.posexplode("words").alias("place", "word"))
-    places = places.filter((F.col("place") >= depth) & (F.col("word") != WILD))
-    votes = places.groupBy("leaf", "part", "place", "word").agg(F.sum("n").alias("votes"))
-    totals = members.groupBy("leaf", "part").agg(F.sum("n").alias("total"), F.first(F.size("words")).alias("size"))
-    votes = votes.join(totals.filter(F.col("total") >= least_votes), ["leaf", "part"])
-    return votes.filter((2 * F.col("votes") > F.col("total")) | (F.col("votes") >= least_votes))
-
-
-def split(members: DataFrame, votes: DataFrame, least_votes: int) -> DataFrame:
-    """Parts with a word that many but not most lines share, split at the place of the most-voted one: a part for each
-    word with enough votes there and one for the rest. A place never splits a part twice."""
-    best = votes.filter((2 * F.col("votes") <= F.col("total")) & (F.col("votes") >= least_votes))
-    best = best.groupBy("leaf", "part").agg(F.max_by("place", F.struct("votes", -F.col("place"), "word")).alias("place"))
-    heads = votes.filter(F.col("votes") >= least_votes).select("leaf", "part", "place", "word", F.lit(True).alias("head"))
-    placed = members.join(best, ["leaf", "part"]).withColumn("word", F.expr("element_at(words, place + 1)"))
-    placed = placed.join(heads, ["leaf", "part", "place", "word"], "left")
-    part = F.xxhash64("part", "place", F.when(F.col("head"), F.col("word")))
-    return placed.select("leaf", "line", "words", "n", part.alias("part"))
-
+LEVELS = (2, 8, 32)  # a word stays if more than this part of a leaf's lines have it in its place, and at a last level if it recurs
 
-def agrees(depth: int, percent: int):
-    same = F.expr("size(filter(fixed, x -> element_at(words, x.place + 1) = x.word))")
-    lead = F.expr(f"size(filter(slice(words, 1, {depth}), w -> w <> '{WILD}'))")
-    return (same > 0) & (100 * (same + lead) >= percent * (F.size("fixed") + lead))
 
+def templates_of(lines: DataFrame, depth: int, least_votes: int, agree_percent: int, fixed_percent: int) -> DataFrame:
+    """``(leaf, line, n, template)``: the templates that a line is an instance of, at most one for each level.
 
-def templates_of(lines: DataFrame, own: DataFrame, depth: int, least_documents: int, agree_percent: int, fixed_percent: int):
-    """``(leaf, template, fixed, sure)``: the lines in ``own`` (sure to recur) and what the parts of each leaf vote for, where
-    ``fixed`` has places and words; and ``(leaf, line, n, template)``, the instances among the lines of a template's own part.
-
-    The instances of a template agree with it in ``agree_percent`` percent of its places, so at some place that share of
-    ``least_documents`` has its word: parts without such a word beside the majority's need no further split."""
-    least_votes = max(1, -(-agree_percent * least_documents // 100))
-    # The leading words are equal in the whole leaf and make no template: in lines of few more words only whole lines are templates.
-    long = F.size("words") > 2 * depth
-    past = F.filter("fixed", lambda x: x["place"] >= depth)
-    found = own.filter(long).select("leaf", past.alias("fixed"), (F.size("words") - depth).alias("size"))
-    found = found.filter(100 * F.size("fixed") >= fixed_percent * F.col("size")).select("leaf", "fixed", F.lit(True).alias("sure"))
-    members, met = lines.filter(long).withColumn("part", F.col("leaf")), None
-    key = F.xxhash64("leaf", "fixed").alias("template")
-    while True:
-        votes = saved(voted(members, depth, least_votes), "votes")
-        most = votes.filter(2 * F.col("votes") > F.col("total")).groupBy("leaf", "part", "size")
-        most = most.agg(F.sort_array(F.collect_list(F.struct("place", "word"))).alias("fixed"))
-        # A template is one only if enough of its places are fixed.
-        most = most.filter(100 * F.size("fixed") >= fixed_percent * (F.col("size") - depth))
-        found = found.union(most.select("leaf", "fixed", F.lit(False).alias("sure")))
-        held = members.join(most, ["leaf", "part"]).filter(agrees(depth, agree_percent)).select("leaf", "line", "n", key)
-        met = held if met is None else met.union(held)
-        members = saved(split(members, votes, least_votes), "parts")
-        if members.isEmpty():
-            found = found.groupBy("leaf", "fixed").agg(F.max("sure").alias("sure"))
-            return saved(found.select("leaf", key, "fixed", "sure"), "templates"), saved(met.distinct(), "instances")
-
-
-def instances_of(lines: DataFrame, templates: DataFrame, depth: int, agree_percent: int) -> DataFrame:
-    """``(leaf, line, n, template)`` for every line and every template of its leaf that it agrees with.
-
-    Places go by runs so short that a template has fixed places in more runs than an instance may differ in: the two are
-    equal in all fixed places of some run, and meet there. A line moves once for each run and set of fixed places in it."""
-    off = f"((size(fixed) + {depth}) * {100 - agree_percent} div 100)"
-    run = F.expr(f"greatest(1, least(4, (size(fixed) - 1) div greatest(1, {off})))")
-    at = templates.select("leaf", "template", run.alias("length"), F.explode("fixed").alias("at"))
-    at = at.withColumn("number", F.row_number().over(Window.partitionBy("leaf", "template").orderBy("at.place")) - 1)
-    at = at.groupBy("leaf", "template", F.expr("number div length").alias("run"))
-    at = at.agg(F.sort_array(F.collect_list("at")).alias("words"))
-    at = at.select("leaf", "template", F.transform("words", lambda x: x["place"]).alias("places"), F.xxhash64(F.transform("words", lambda x: x["word"])).alias("key"))
-    kinds = at.groupBy("leaf").agg(F.collect_set("places").alias("kinds"))
-    own = lines.join(kinds, "leaf").select("leaf", "line", "words", F.explode("kinds").alias("places"))
-    own = own.select("leaf", "line", "places", F.expr("xxhash64(transform(places, p -> element_at(words, p + 1)))").alias("key"))
-    met = own.join(at, ["leaf", "places", "key"]).select("leaf", "line", "template").distinct()
-    met = met.join(templates, ["leaf", "template"]).join(lines, ["leaf", "line"])
-    return met.filter(agrees(depth, agree_percent)).select("leaf", "line", "n", "template")
+    Words and their counts meet their lines by place; a line comes back together from as many rows as it has words."""
+    lines = lines.filter(F.size("words") > 2 * depth)
+    lead = F.size(F.filter(F.slice("words", 1, depth), lambda w: w != WILD))
+    totals = lines.groupBy("leaf").agg(F.sum("n").alias("total"))
+    places = lines.select("leaf", "line", "n", "words", F.posexplode("words").alias("place", "word"))
+    places = places.filter((F.col("place") >= depth) & (F.col("word") != WILD))
+    places = places.select("leaf", "line", "n", "place", "word", F.get("words", F.col("place") - 1).alias("behind"))
+    pairs = places.groupBy("leaf", "place", "word", "behind").agg(F.sum("n").alias("votes"))
+    votes = pairs.groupBy("leaf", "place", "word").agg(F.sum("votes").alias("votes")).filter(F.col("votes") >= least_votes)
+    votes = saved(votes, "votes")
+    pairs = saved(pairs.filter(F.col("votes") >= least_votes), "votes")
+    best = F.max(F.struct("votes", "word"))
+    tops, nexts = votes.groupBy("leaf", "place").agg(best.alias("top")), pairs.groupBy("leaf", "place", "behind").agg(best.alias("next"))
+    cells = places.drop("n").join(votes, ["leaf", "place", "word"], "left").join(tops, ["leaf", "place"])
+    cells = cells.join(nexts, ["leaf", "place", "behind"], "left")
+    cell = F.struct("place", "word", F.coalesce("votes", F.lit(0)).alias("votes"), "top", "next")
+    cells = cells.groupBy("leaf", "line").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    rows = lines.select("leaf", "line", "n", lead.alias("lead"), (F.size("words") - depth).alias("size"))
+    rows = rows.join(cells, ["leaf", "line"]).join(totals, "leaf")
+    least = F.array(*[F.greatest(F.lit(least_votes), F.floor(F.col("total") / part) + 1) for part in LEVELS], F.lit(least_votes).cast("long"))
+    rows = rows.withColumn("least", F.explode(F.array_distinct(least)))
+    own = F.filter("cells", lambda c: c["votes"] >= F.col("least"))
+    kept = F.filter("cells", lambda c: c["top"]["votes"] >= F.col("least"))
+
+    def chosen(c):
+        held = F.when(c["votes"] >= F.col("least"), c["word"]).when(c["next"]["votes"] >= F.col("least"), c["next"]["word"])
+        return F.struct(c["place"], held.otherwise(c["top"]["word"]))
+
+    word = F.transform(kept, chosen)
+    rows = rows.select("leaf", "line", "n", "lead", "size", F.size(own).alias("own"), word.alias("fixed"))
+    rows = rows.filter((F.col("own") > 0) & (100 * F.size("fixed") >= fixed_percent * F.col("size")))
+    rows = rows.filter(100 * (F.col("own") + F.col("lead")) >= agree_percent * (F.size("fixed") + F.col("lead")))
+    return rows.select("leaf", "line", "n", F.xxhash64("leaf", "fixed").alias("template")).distinct()
 
 
 def recurring_templates(instances: DataFrame, leaves: DataFrame, least_documents: int) -> DataFrame:
@@ -209,21 +174,13 @@ def dropped_lines(leaves: DataFrame, docs: DataFrame, depth: int, least_document
     lines = line_words(docs, flags, bits, depth).groupBy("leaf", "line").agg(F.first("words").alias("words"))
     counts = leaves.join(recurring, "leaf", "left_semi").distinct().groupBy("leaf", "line").agg(F.count("*").alias("n"))
     lines = saved(lines.join(counts, ["leaf", "line"]), "lines")
-    # Lines that recur as they are, but for masked words, are templates whatever else their leaf holds.
-    fixed = F.expr(f"filter(transform(words, (w, p) -> struct(p AS place, w AS word)), x -> x.word <> '{WILD}')")
-    own = lines.filter(F.col("n") >= least_documents).withColumn("fixed", fixed)
-    own = own.filter(100 * F.size("fixed") >= fixed_percent * F.size("words")).select("leaf", "line", "words", "fixed")
-    templates, met = templates_of(lines, own, depth, least_documents, agree_percent, fixed_percent)
-    kept, key = recurring_templates(met, leaves, least_documents), ["leaf", "template"]
-    gone = met.join(kept, key, "left_semi").select("leaf", "line").union(own.select("leaf", "line"))
-    gone = saved(gone.distinct(), "gone")
-    # Lines that no template of their own parts drops meet all templates of their leaf, and count for those.
-    more = saved(instances_of(lines.join(gone, ["leaf", "line"], "left_anti"), templates, depth, agree_percent), "instances")
-    kept = kept.union(templates.filter("sure").select(*key))
-    both = met.join(more, key, "left_semi").unionByName(more).join(kept, key, "left_anti").distinct()
-    late = recurring_templates(both, leaves, least_documents)
-    more = more.join(kept.union(late), key, "left_semi").unionByName(met.join(late, key, "left_semi"))
-    return gone.union(more.select("leaf", "line")).distinct()
+    # Lines that recur as they are, but for masked words, go whatever else their leaf holds.
+    plain = F.size(F.filter("words", lambda w: w != WILD))
+    own = lines.filter((F.col("n") >= least_documents) & (100 * plain >= fixed_percent * F.size("words"))).select("leaf", "line")
+    least_votes = max(1, -(-agree_percent * least_documents // 100))
+    met = saved(templates_of(lines, depth, least_votes, agree_percent, fixed_percent), "instances")
+    kept = recurring_templates(met, leaves, least_documents)
+    return met.join(kept, ["leaf", "template"], "left_semi").select("leaf", "line").union(own).distinct()
 
 
 RESULT = "doc_id long, n_lines long, n_dropped long, kept_text string, kept_sha256 string"
@@ -235,9 +192,9 @@ def line_dedup(
     """``doc_id, n_lines, n_dropped, kept_text, kept_sha256`` for every row of ``docs`` (doc_id, text).
 
     Lines are split at \\n; those without a word (a run of anything but ASCII white space) always stay. A template needs
-    ``fixed_percent`` percent fixed places past the first ``depth`` words, an instance agrees with ``agree_percent`` percent of them and
-    the leading words, and it takes ``least_documents`` documents to drop one. Of lines of up to twice ``depth`` words, and of others whose masked form
-    recurs as it is, ``fixed_percent`` percent of all words must be unmasked. A document is its (doc_id, text): repeated rows count once and each get the
+    ``fixed_percent`` percent fixed places past the first ``depth`` words, of these and the leading words ``agree_percent`` percent are an
+    instance's own, and it takes ``least_documents`` documents to drop one: fewer say little about a template, since near copies of one
+    document come in such numbers too. Of lines whose masked form recurs as it is, ``fixed_percent`` percent of all words must be unmasked. A document is its (doc_id, text): repeated rows count once and each get the
     result. A NULL text is empty and keeps the empty text. Other columns are ignored.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

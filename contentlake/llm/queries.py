@@ -197,8 +197,7 @@ ORACLE["op10_decontamination"] = rf"""
 WITH texts AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce({LOWER}, ''), '{NORMAL}') AS w FROM documents),
 items AS (
-  SELECT item_id::VARCHAR AS item, regexp_extract_all(coalesce({LOWER}, ''), '{NORMAL}') AS w FROM benchmark
-  WHERE item_id IS NOT NULL),
+  SELECT item_id::VARCHAR AS item, regexp_extract_all(coalesce({LOWER}, ''), '{NORMAL}') AS w FROM benchmark),
 patterns AS (
   SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(w[i:i + 9], ' ') AS s
   FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
@@ -210,7 +209,7 @@ hits AS (SELECT r, i, w.k, item FROM windows w JOIN patterns p ON w.k = p.k AND
 covered AS (
   SELECT r, count(DISTINCT i + d) AS n FROM (SELECT r, i, unnest(range(k)) AS d FROM hits) GROUP BY r),
 met AS (
-  SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+  SELECT r, count(item) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS n_hit, coalesce(met.n, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
 FROM texts LEFT JOIN covered USING (r) LEFT JOIN met USING (r)
@@ -241,18 +240,33 @@ lines AS (
 full_lines AS (SELECT r, k, w, len(w) AS size, (len(w), w[:3]) AS leaf FROM lines WHERE len(w) > 0),
 recurring AS (SELECT leaf FROM full_lines GROUP BY leaf HAVING count(DISTINCT r) >= 20),
 counts AS (SELECT leaf, w, size, count(DISTINCT r) AS n FROM full_lines SEMI JOIN recurring USING (leaf) GROUP BY ALL),
-places AS (SELECT leaf, w, n, unnest(w) AS word, unnest(range(size)) AS place FROM counts),
-totals AS (SELECT leaf, size, sum(n) AS total FROM counts GROUP BY ALL),
-fixed AS (
-  SELECT leaf, place, word, size FROM (SELECT leaf, place, word, sum(n) AS votes FROM places GROUP BY ALL) JOIN totals USING (leaf)
-  WHERE 2 * votes > total AND word <> '<*>'),
-kept AS (SELECT leaf, count(*) AS fixed FROM fixed GROUP BY leaf, size HAVING 100 * count(*) >= 50 * size),
+own AS (SELECT leaf, w FROM counts WHERE n >= 20 AND 100 * len(list_filter(w, lambda x: x <> '<*>')) >= 50 * size),
+long AS (SELECT leaf, w, size, n, len(list_filter(w[:3], lambda x: x <> '<*>')) AS lead FROM counts WHERE size > 6),
+places AS (
+  SELECT *, w[place] AS behind FROM (SELECT leaf, w, n, unnest(w) AS word, unnest(range(size)) AS place FROM long)
+  WHERE place >= 3 AND word <> '<*>'),
+votes AS (SELECT leaf, place, word, sum(n) AS votes FROM places GROUP BY ALL HAVING sum(n) >= 16),
+pairs AS (SELECT leaf, place, word, behind, sum(n) AS votes FROM places GROUP BY ALL HAVING sum(n) >= 16),
+tops AS (SELECT leaf, place, max((votes, word)) AS top FROM votes GROUP BY ALL),
+nexts AS (SELECT leaf, place, behind, max((votes, word)) AS next FROM pairs GROUP BY ALL),
+levels AS (
+  SELECT DISTINCT leaf, CASE WHEN part = 0 THEN 16 ELSE greatest(16, total // part + 1) END AS least
+  FROM (SELECT leaf, sum(n) AS total FROM long GROUP BY leaf), (VALUES (2), (8), (32), (0)) AS p(part)),
+cells AS (
+  SELECT leaf, w, least, place, coalesce(votes, 0) >= least AS mine,
+         CASE WHEN coalesce(votes, 0) >= least THEN word WHEN next[1] >= least THEN next[2] ELSE top[2] END AS cell
+  FROM places LEFT JOIN votes USING (leaf, place, word) JOIN tops USING (leaf, place)
+  LEFT JOIN nexts USING (leaf, place, behind) JOIN levels USING (leaf) WHERE top[1] >= least),
+kinds AS (
+  SELECT leaf, w, least, string_agg(place || ':' || cell, ' ' ORDER BY place) AS template, count(*) AS fixed,
+         count(CASE WHEN mine THEN 1 END) AS mine FROM cells GROUP BY ALL),
 instances AS (
-  SELECT leaf, w FROM (SELECT p.leaf, p.w, count(*) AS same FROM places p JOIN fixed USING (leaf, place, word) GROUP BY ALL)
-  JOIN kept USING (leaf) WHERE 100 * same >= 80 * fixed),
+  SELECT DISTINCT leaf, w, template FROM kinds JOIN long USING (leaf, w)
+  WHERE mine > 0 AND 100 * fixed >= 50 * (size - 3) AND 100 * (mine + lead) >= 80 * (fixed + lead)),
 dropped AS (
   SELECT leaf, w FROM instances SEMI JOIN (
-    SELECT leaf FROM full_lines JOIN instances USING (leaf, w) GROUP BY leaf HAVING count(DISTINCT r) >= 20) USING (leaf)),
+    SELECT leaf, template FROM full_lines JOIN instances USING (leaf, w) GROUP BY ALL HAVING count(DISTINCT r) >= 20) USING (leaf, template)
+  UNION SELECT leaf, w FROM own),
 left_over AS (
   SELECT r, count(*) AS n, string_agg(line, chr(10) ORDER BY k) AS t
   FROM lines WHERE (len(w), w[:3], w) NOT IN (SELECT (leaf[1], leaf[2], w) FROM dropped) GROUP BY r)
