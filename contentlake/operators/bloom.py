@@ -1,9 +1,10 @@
-"""Membership filter as a table of 4 KiB bitmap blocks.
+"""Membership filter as a table of 64-bit words.
 
-All bits of a key lie in one block. Building moves one 64-bit hash per distinct key to its block
-(repeats fall out before the shuffle) and sets the bits there; partial bitmaps never travel.
-Probing is a single equi-join by block plus bit tests. Size grows with the capacity, so nothing
-is broadcast by force: Catalyst picks the join from the size statistics.
+All bits of a key lie in one block of 32,768, at places that follow from its MD5 digest, so any other engine finds the same
+bits. Building groups bits by (block, word) with a bitwise OR that combines in every task first: a full or hot filter sends
+each word once per task, however many keys set it. Probing brings the distinct keys to their words, a few numbers each; rows
+with a NULL key stay where they are. Size grows with the capacity, so nothing is broadcast by force: Catalyst picks the
+joins from the size statistics.
 """
 
 from __future__ import annotations
@@ -15,7 +16,10 @@ from dataclasses import asdict, dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BITS = 32768  # the width of Spark's bitmap aggregates
+from contentlake.operators.frames import join_nullable
+
+BLOCK_BITS = 32768
+WORD_BITS = 64
 
 
 @dataclass(frozen=True)
@@ -35,71 +39,77 @@ class BloomShape:
     def blocks(self) -> int:
         return math.ceil(self.bits / BLOCK_BITS)
 
-    def block(self, digest: Column) -> Column:
-        return F.pmod(F.xxhash64(digest, F.lit(-1)), F.lit(self.blocks))
+    def marks(self, digest: Column) -> Column:
+        """(block, word, mask) for each bit of a key, from its digest of 32 hex digits.
+
+        The first 15 digits choose the block; the places in it step by the last 8 from the 8 before, with a cubic term
+        that parts keys whose steps agree.
+        """
+
+        def number(at: int, digits: int) -> Column:
+            return F.conv(F.substring(digest, at, digits), 16, 10).cast("bigint")
+
+        block, first, step = F.pmod(number(1, 15), F.lit(self.blocks)), number(17, 8), number(25, 8)
+        places = [F.pmod(first + i * step + (i**3 - i) // 6, F.lit(BLOCK_BITS)) for i in range(self.hashes)]
+        one = F.lit(1).cast("bigint")
+        marks = [
+            F.struct(
+                block.alias("block"), F.floor(place / WORD_BITS).cast("int").alias("word"),
+                F.call_function("shiftleft", one, F.pmod(place, F.lit(WORD_BITS)).cast("int")).alias("mask"),
+            )
+            for place in places
+        ]
+        return F.array(*marks)
 
-    def bit(self, digest: Column, i: int) -> Column:
-        return F.pmod(F.xxhash64(digest, F.lit(i)), F.lit(BLOCK_BITS))
+
+def digest_of(key: str) -> Column:
+    return F.md5(F.col(key).cast("string"))
 
 
 @dataclass(frozen=True)
 class BloomTable:
-    """Immutable filter: ``blocks`` is a frame (block, bitmap)."""
+    """Immutable filter: ``words`` is a frame (block, word, bits)."""
 
     shape: BloomShape
-    blocks: DataFrame
+    words: DataFrame
 
     @classmethod
     def build(cls, df: DataFrame, key: str, capacity: int, error_rate: float = 0.001) -> BloomTable:
         shape = BloomShape(capacity, error_rate)
-        digest = F.xxhash64(key).alias("digest")
-        digests = df.filter(F.col(key).isNotNull()).select(digest, shape.block(digest).alias("block"))
-        # a block holds about 32768 / 14 keys at the design load, so these sets are small
-        by_block = digests.groupBy("block").agg(F.collect_set("digest").alias("digests"))
-        exploded = by_block.select("block", F.explode("digests").alias("digest"))
-        bits = F.array(*[shape.bit(F.col("digest"), i) for i in range(shape.hashes)])
-        marks = exploded.select("block", F.explode(bits).alias("bit"))
-        return cls(shape, marks.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap")))
+        marks = df.filter(F.col(key).isNotNull()).select(F.inline(shape.marks(digest_of(key))))
+        return cls(shape, marks.groupBy("block", "word").agg(F.bit_or("mask").alias("bits")))
 
     def union(self, other: BloomTable) -> BloomTable:
         if self.shape != other.shape:
             raise ValueError("filters of different shape cannot be merged")
-        both = self.blocks.unionByName(other.blocks)
-        return replace(self, blocks=both.groupBy("block").agg(F.bitmap_or_agg("bitmap").alias("bitmap")))
+        both = self.words.unionByName(other.words)
+        return replace(self, words=both.groupBy("block", "word").agg(F.bit_or("bits").alias("bits")))
 
     def add(self, df: DataFrame, key: str) -> BloomTable:
         return self.union(BloomTable.build(df, key, self.shape.capacity, self.shape.error_rate))
 
     def probe(self, df: DataFrame, key: str) -> DataFrame:
         """``df`` with ``maybe_seen``: false is certain, true may be wrong at about the error rate."""
-        hashed = df.withColumn("_digest", F.xxhash64(key))
-        placed = hashed.withColumn("block", self.shape.block(F.col("_digest")))
-        joined = placed.join(self.blocks, "block", "left")
-
-        def is_set(i: int) -> Column:
-            bit = self.shape.bit(F.col("_digest"), i)
-            byte = F.substring("bitmap", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))
-            value = F.conv(F.hex(byte), 16, 10).cast("bigint")
-            return F.getbit(value, bit.bitwiseAND(F.lit(7)).cast("int")) == 1
-
-        every = F.col("bitmap").isNotNull()
-        for i in range(self.shape.hashes):
-            every = every & is_set(i)
-        return joined.withColumn("maybe_seen", F.coalesce(every, F.lit(False))).drop("_digest", "block", "bitmap")
+        asked = df.select(digest_of(key).alias("_digest")).filter("_digest IS NOT NULL").distinct()
+        marks = asked.select("_digest", F.inline(self.shape.marks(F.col("_digest"))))
+        met = marks.join(self.words, ["block", "word"]).filter(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"))
+        known = met.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == self.shape.hashes)
+        known = known.select("_digest", F.lit(True).alias("maybe_seen"))
+        joined = join_nullable(df.withColumn("_digest", digest_of(key)), known, "_digest")
+        return joined.select(*df.columns, F.coalesce("maybe_seen", F.lit(False)).alias("maybe_seen"))
 
     def stats(self) -> DataFrame:
-        bits = self.shape.blocks * BLOCK_BITS
-        return self.blocks.agg(
+        return self.words.agg(
             F.lit(self.shape.capacity).alias("capacity"),
             F.lit(self.shape.error_rate).alias("error_rate"),
-            F.lit(bits).alias("bits"),
+            F.lit(self.shape.blocks * BLOCK_BITS).alias("bits"),
             F.lit(self.shape.hashes).alias("hashes"),
-            F.coalesce(F.sum(F.bitmap_count("bitmap")), F.lit(0)).alias("bits_set"),
+            F.coalesce(F.sum(F.bit_count("bits")), F.lit(0)).cast("bigint").alias("bits_set"),
         )
 
     def save(self, path: str) -> None:
-        self.blocks.write.mode("overwrite").parquet(f"{path}/blocks")
-        note = self.blocks.sparkSession.createDataFrame([(json.dumps(asdict(self.shape)),)], "shape string")
+        self.words.write.mode("overwrite").parquet(f"{path}/words")
+        note = self.words.sparkSession.createDataFrame([(json.dumps(asdict(self.shape)),)], "shape string")
         note.write.mode("overwrite").text(f"{path}/shape")
 
     @classmethod
@@ -107,8 +117,8 @@ class BloomTable:
         """The saved filter, or None when it was made for another capacity or error rate."""
         wanted = BloomShape(capacity, error_rate)
         saved = BloomShape(**json.loads(spark.read.text(f"{path}/shape").first()[0]))
-        return cls(wanted, spark.read.parquet(f"{path}/blocks")) if saved == wanted else None
+        return cls(wanted, spark.read.parquet(f"{path}/words")) if saved == wanted else None
 
     @classmethod
     def empty(cls, spark, capacity: int, error_rate: float = 0.001) -> BloomTable:
-        return cls(BloomShape(capacity, error_rate), spark.createDataFrame([], "block bigint, bitmap binary"))
+        return cls(BloomShape(capacity, error_rate), spark.createDataFrame([], "block bigint, word int, bits bigint"))

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from unicodedata import normalize
+from unicodedata import category, normalize
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from contentlake.functions.ids import is_id
@@ -21,9 +21,18 @@ from contentlake.operators.frames import join_nullable, side_by_side
 from contentlake.operators.keyspace import sample_k
 from contentlake.settings import DEFAULTS
 
-# Accented Latin letters and their bare forms, folded for token search.
-DIACRITICS = "".join(c for c in map(chr, range(0xC0, 0x180)) if c.islower() and len(normalize("NFD", c)) > 1)
+
+
+def _accented(c: str) -> bool:
+    """A letter that decomposes into another one and marks."""
+    parts = normalize("NFD", c)
+    return len(parts) > 1 and c == c.lower() and parts[0].isalpha() and all(category(m) == "Mn" for m in parts[1:])
+
+
+# Accented letters of all scripts and their bare forms, folded for token search.
+DIACRITICS = "".join(filter(_accented, map(chr, range(0xC0, 0x2100))))
 BARE = "".join(normalize("NFD", c)[0] for c in DIACRITICS)
+MARKS = r"\p{Mn}+"
 
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
@@ -32,9 +41,10 @@ WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
 def folded(text: Column) -> Column:
-    """Lower case without diacritics; plain-ASCII rows need no translation."""
+    """Lower case without diacritics, composed or not; plain-ASCII rows need no translation."""
     lowered = F.lower(text)
-    return F.when(F.length(text) == F.octet_length(text), lowered).otherwise(F.translate(lowered, DIACRITICS, BARE))
+    bare = F.regexp_replace(F.translate(lowered, DIACRITICS, BARE), MARKS, "")
+    return F.when(F.length(text) == F.octet_length(text), lowered).otherwise(bare)
 
 
 def tokens(text: Column) -> Column:
@@ -46,9 +56,10 @@ def stemmed_tokens(text: Column) -> Column:
     return stem_tokens(tokens(text))
 
 
-def _plain_tokens(text: str) -> list[str]:
-    folded = text.lower().translate(str.maketrans(DIACRITICS, BARE))
-    return [w for w in re.split(r"[\W_]+", folded) if w]
+def plain_tokens(text: str) -> list[str]:
+    bare = text.lower().translate(str.maketrans(DIACRITICS, BARE))
+    bare = "".join(c for c in bare if category(c) != "Mn")
+    return [w for w in re.split(r"[\W_]+", bare) if w]
 
 
 Leaf = Callable[[str, bool], Column | None]
@@ -146,7 +157,7 @@ def match(query: str, leaf: Leaf) -> Column:
 
 def _name_leaf(words: Column, stemming: bool) -> Leaf:
     def leaf(term: str, is_prefix: bool) -> Column | None:
-        wanted = _plain_tokens(term)
+        wanted = plain_tokens(term)
         if not wanted:
             return None
         if stemming:
@@ -185,7 +196,7 @@ def _needed_words(query: str) -> list[str] | None:
         if tree is None:
             return []
         if tree[0] == "term":
-            return _plain_tokens(tree[1])
+            return plain_tokens(tree[1])
         if tree[0] not in ("all", "and"):
             return None
         parts = [words(t) for t in tree[1]]
@@ -266,7 +277,7 @@ def search_postings(postings: DataFrame, query: str, stemming: bool = True, buck
         return postings.filter((F.col("bucket") == bucket) & (F.col("term") == word))
 
     def of_term(text: str, is_prefix: bool) -> DataFrame | None:
-        words = [stem(w) if stemming else w for w in _plain_tokens(text)]
+        words = [stem(w) if stemming else w for w in plain_tokens(text)]
         if not words:
             return None
         hits = [of_word(w) for w in words[:-1]]
@@ -317,6 +328,28 @@ def page_of(items: DataFrame, page: int = 1, size: int = DEFAULTS.page_size) ->
     return items.orderBy(*ranked(items)).offset((page - 1) * size).limit(size)
 
 
+def page_after(items: DataFrame, last: Row | None, size: int = DEFAULTS.page_size) -> DataFrame:
+    """The page that follows the row ``last`` of the page before (None: the first page).
+
+    A page costs as much at the end as at the beginning: top-k of ``size`` rows per task, and the test on peers and time is
+    one that files and row groups answer by their statistics where the table is laid out by them (:func:`ranked_layout`).
+    """
+    if last is None:
+        return page_of(items, 1, size)
+    peers, added, key = F.col("total_peers"), F.col("added_ts"), F.col("item_id")
+    same_peers, same_time = peers == F.lit(last["total_peers"]), added == F.lit(last["added_ts"])
+    behind = (peers < F.lit(last["total_peers"])) | (same_peers & (added < F.lit(last["added_ts"])))
+    behind = behind | (same_peers & same_time & (key > F.lit(last["item_id"])))
+    return items.filter((peers <= F.lit(last["total_peers"])) & behind).orderBy(*ranked(items)).limit(size)
+
+
+def ranked_layout(items: DataFrame, path: str, files: int | None = None) -> None:
+    """Write items in the order of their rank, so that a page opens the few files that hold it."""
+    order = ranked(items)
+    spread = items.repartitionByRange(*([files] if files else []), *order).sortWithinPartitions(*order)
+    spread.write.mode("overwrite").parquet(path)
+
+
 def page_info(items: DataFrame, page: int = 1, size: int = DEFAULTS.page_size) -> DataFrame:
     page = max(page, 1)
     total = F.count(F.lit(1))
@@ -355,15 +388,14 @@ def attach_files(items: DataFrame, files: DataFrame, n: int = DEFAULTS.files_per
 
 
 def fetch_page(found: DataFrame, page: int = 1, size: int = DEFAULTS.page_size) -> tuple[DataFrame, int]:
-    """(the page, the total number of rows) from one run over ``found``.
+    """(the page, the total number of rows).
 
     The page has at most ``size`` rows and is brought to the driver, so that what follows reads
-    its ids as literals; the total is observed while the rows pass.
+    its ids as literals. The total is an aggregate of its own, which no repeated task can raise.
     """
-    watch = Observation()
-    counted = found.observe(watch, F.count(F.lit(1)).alias("total"))
-    rows = page_of(counted, page, size).toArrow()
-    return found.sparkSession.createDataFrame(rows, found.schema), watch.get["total"]
+    rows = page_of(found, page, size).toArrow()
+    total = found.agg(F.count(F.lit(1)).alias("total")).first()["total"]
+    return found.sparkSession.createDataFrame(rows, found.schema), total
 
 
 def with_file_details(page: DataFrame, files: DataFrame) -> DataFrame:
@@ -379,7 +411,8 @@ def with_file_details(page: DataFrame, files: DataFrame) -> DataFrame:
 def result_page(found: DataFrame, files: DataFrame, page: int = 1, size: int = DEFAULTS.page_size) -> DataFrame:
     """A ranked page with file counts and first files. The order needs no file data, so the page is
     cut first and files are read for its ids only."""
-    return with_file_details(fetch_page(found, page, size)[0], files)
+    top = found.sparkSession.createDataFrame(page_of(found, page, size).toArrow(), found.schema)
+    return with_file_details(top, files)
 
 
 def latest(items: DataFrame, n: int) -> DataFrame:

@@ -1,162 +1,136 @@
 """Exact k-closest ids by XOR distance for many targets, without comparing all pairs.
 
-Ids are cut into key-space cells: prefixes of whole bytes, each deepened while it holds more than
-a fair share of the ids, so a crowded prefix is split however far down its ids differ. The
-directory of cells is bounded by the cell target, not by the data. Each target is sent to the
-nearest cells that together hold k ids (nearly always one); a cell answers its targets from its
-sorted ids by walking down the bits, about log(ids) steps per target. A cell asked by more targets
-than it has ids answers in several tasks, so copied ids never outnumber the targets.
+Ids lie in the leaves of a tree of hex prefixes: a prefix of more than ``leaf`` ids is split at its next digit, however far
+down its ids differ. The tree is a table of (prefix, ids below it). A target's search is a table too: it goes to the deepest prefix
+of its own path that holds enough ids, and from there to the neighbours with the next digit flipped, nearest first, until
+their counts add up to k. A neighbour that is itself split becomes a search one level further down, for the target
+with that digit flipped. Nearly all searches end in the first round; each later one sees only targets still short of k.
+What remains is an equi-join of searches with leaves and a rank.
+
+Counts, tree and searches stay tables; the driver learns the number of ids, and whether another round is needed.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
+from contentlake.functions.ids import ID_HEX
 from contentlake.session import pinned
 
-ID_BITS = 160
-CELLS = 1 << 16
-MIN_CELL = 4096
-MIN_TARGETS = 4096
+DIGITS = (1, 15), (16, 15), (31, 10)  # an id as three numbers that a long holds
+SHALLOW = 3  # prefixes this short number at most 16 + 16 ** 2 + 16 ** 3
 
 
-def cell_directory(ids: DataFrame, id_col: str, cells: int = CELLS, smallest: int = MIN_CELL) -> dict[str, int]:
-    """Prefix -> number of ids, for disjoint prefixes that cover all ids.
+def numbers(text: Column, names: str) -> list[Column]:
+    return [F.conv(F.substring(text, at, n), 16, 10).cast("bigint").alias(name) for (at, n), name in zip(DIGITS, names, strict=True)]
 
-    One counting pass per byte of depth, each only over ids in crowded cells. A pass returns at
-    most 256 rows per crowded cell, and fewer than ``cells`` cells can be crowded.
+
+def digit(text: Column, place: Column) -> Column:
+    """The hex digit after the first ``place`` ones, as a number."""
+    return F.conv(F.substring(text, place + 1, F.lit(1)), 16, 10).cast("int")
+
+
+def shared_digits(a: str, b: str) -> Column:
+    """Number of leading hex digits that two ids share."""
+    places = F.sequence(F.lit(1), F.lit(ID_HEX))
+    return F.aggregate(places, F.lit(0), lambda n, i: F.when((n == i - 1) & (F.substring(F.col(a), i, F.lit(1)) == F.substring(F.col(b), i, F.lit(1))), i).otherwise(n))
+
+
+def split_ids(ids: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame, int] | None:
+    """((id, prefix) of every id and its leaf, (prefix, parent, n, is_leaf) of every prefix, number of ids).
+
+    The first level is the one where evenly spread ids would fill their leaves. A further pass sees the crowded prefixes
+    only, and splits each behind all the digits that its ids share, so that a deep crowd costs one pass and not one per digit.
     """
     total = ids.count()
-    limit = max(smallest, total // cells)
-    done: dict[str, int] = {}
-    crowded, digits = ([""], 0) if total else ([], 0)
-    while crowded:
-        rows = ids
-        if digits:
-            rows = ids.filter(F.substring(id_col, 1, digits).isin(crowded))
-        digits += 2
-        counts = rows.groupBy(F.substring(id_col, 1, digits).alias("cell")).count().collect()
-        crowded = [r["cell"] for r in counts if r["count"] > limit and digits < 40]
-        done.update((r["cell"], r["count"]) for r in counts if r["count"] <= limit or digits >= 40)
-    return done
-
-
-def _tree(cells: dict[str, int]) -> dict:
-    root: dict = {}
-    for prefix, count in cells.items():
-        at = root
-        for i in range(0, len(prefix) - 2, 2):
-            at = at.setdefault(int(prefix[i : i + 2], 16), {})
-        at[int(prefix[-2:], 16)] = (prefix, count)
-    return root
-
-
-def _nearest_cells(node: dict, target: bytes, depth: int) -> Iterator[tuple[str, int]]:
-    """Cells from the nearest to the farthest; XOR ranges of disjoint prefixes never overlap."""
-    own = target[depth]
-    first = node.get(own)
-    if first is not None:
-        yield from _nearest_cells(first, target, depth + 1) if isinstance(first, dict) else (first,)
-    for byte in sorted(node, key=lambda b: b ^ own):
-        if byte != own:
-            child = node[byte]
-            yield from _nearest_cells(child, target, depth + 1) if isinstance(child, dict) else (child,)
-
-
-def _nearest(ids: list[int], target: int, k: int) -> list[int]:
-    """The k ids nearest to ``target`` in a sorted list, nearest first."""
-    out: list[int] = []
-    spans = [(0, len(ids), ID_BITS - 1)]
-    while spans and len(out) < k:
-        low, high, bit = spans.pop()
-        if high - low <= 2 * k or bit < 0:
-            out.extend(sorted(ids[low:high], key=lambda x: x ^ target))
-            continue
-        start = (ids[low] >> (bit + 1)) << (bit + 1)
-        middle = bisect_left(ids, start | (1 << bit), low, high)
-        zeros, ones = (low, middle, bit - 1), (middle, high, bit - 1)
-        near, far = (ones, zeros) if target >> bit & 1 else (zeros, ones)
-        spans.extend(span for span in (far, near) if span[0] < span[1])
-    return out[:k]
-
-
-def _place(ids: DataFrame, directory: dict[str, int]) -> DataFrame:
-    """``ids`` with the cell each lies in; the looked-up prefixes are bounded by the directory."""
-    depths = sorted({len(prefix) for prefix in directory})
-    cell = F.substring("node_id", 1, depths[-1])
-    known = F.lit(None).cast("string")
-    for digits in depths[:-1]:
-        rows = [(prefix, prefix) for prefix in directory if len(prefix) == digits]
-        found = f"_c{digits}"
-        prefixes = ids.sparkSession.createDataFrame(rows, f"_p string, {found} string")
-        ids = ids.withColumn("_p", F.substring("node_id", 1, digits)).join(F.broadcast(prefixes), "_p", "left").drop("_p")
-        known = F.coalesce(known, F.col(found))
-    return ids.select("node_id", F.coalesce(known, cell).alias("cell"))
+    if not total:
+        return None
+    depth = 1
+    while 16 ** (depth + 1) * leaf <= total and depth < ID_HEX:
+        depth += 1
+    live, placed, nodes = ids.select("id", F.substring("id", 1, depth).alias("prefix"), F.substring("id", 1, depth - 1).alias("parent")), [], []
+    while True:
+        counts = live.groupBy("prefix", "parent").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+        counts = pinned(counts.withColumn("is_leaf", F.col("n") <= leaf).withColumn("next", shared_digits("lo", "hi") + 1))
+        if not nodes:  # above the first level
+            above = counts.select(F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("d"), "prefix", "n")
+            start = [F.substring(F.col("prefix"), F.lit(1), F.col("d")).alias("prefix")]
+            start.append(F.when(F.col("d") > 0, F.substring(F.col("prefix"), F.lit(1), F.col("d") - 1)).alias("parent"))
+            nodes.append(above.groupBy(*start).agg(F.sum("n").alias("n")).withColumn("is_leaf", F.lit(False)))
+        nodes.append(counts.select("prefix", "parent", "n", "is_leaf"))
+        at = live.select("id", "prefix").join(counts.select("prefix", "is_leaf", "next"), "prefix")
+        placed.append(at.filter("is_leaf").select("id", "prefix"))
+        if counts.filter("NOT is_leaf").isEmpty():
+            break
+        deeper = F.substring(F.col("id"), F.lit(1), F.col("next")).alias("prefix")
+        live = pinned(at.filter("NOT is_leaf").select("id", deeper, F.col("prefix").alias("parent")))
+    return reduce(DataFrame.union, placed), pinned(reduce(DataFrame.union, nodes)), total
+
+
+def on_path(asked: DataFrame, nodes: DataFrame, depths: list[int]) -> DataFrame:
+    """``asked`` (target, v, need) with the deepest prefix of ``v`` that holds ``need`` ids, as ``prefix`` and ``is_leaf``;
+    ``depths``: the lengths that prefixes have."""
+    nodes = nodes.drop("parent")
+    depths = F.explode(F.array(*map(F.lit, depths))).alias("d")
+    steps = asked.select("target", "v", "need", depths).withColumn("prefix", F.substring(F.col("v"), F.lit(1), F.col("d")))
+    short, long = (F.length("prefix") <= SHALLOW), (F.length("prefix") > SHALLOW)
+    # All targets pass the shortest prefixes: these are few by their length, so they may travel to the targets.
+    near = steps.filter(short).join(F.broadcast(nodes.filter(short)), "prefix")
+    far = steps.filter(long).join(nodes.filter(long), "prefix")
+    enough = near.union(far).filter("n >= need")
+    best = F.max(F.struct("d", "prefix", "is_leaf")).alias("best")
+    return enough.groupBy("target", "v", "need").agg(best).select("target", "v", "need", "best.prefix", "best.is_leaf")
+
+
+def next_searches(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Searches in split prefixes -> (target, v, need, prefix, is_leaf) for the children that hold their nearest ids."""
+    kid = F.struct("prefix", "n", "is_leaf")
+    kids = nodes.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("prefix")).agg(F.collect_list(kid).alias("kids"))  # sixteen at most
+    each = found.join(kids, "prefix").select("target", "v", "need", F.explode("kids").alias("kid"))
+    # The kids differ in their last digit; all that comes before it is the same for them, whatever the target's digits there.
+    last = F.length("kid.prefix") - 1
+    far = digit(F.col("kid.prefix"), last).bitwiseXOR(digit(F.col("v"), last))
+    order = Window.partitionBy("target", "v").orderBy("far").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("far", far).withColumn("before", F.coalesce(F.sum("kid.n").over(order), F.lit(0)))
+    each = each.filter("before < need")
+    flipped = F.concat(F.col("kid.prefix"), F.substring(F.col("v"), F.length("kid.prefix") + 1, F.lit(ID_HEX)))
+    need = F.least(F.col("kid.n"), F.col("need") - F.col("before"))
+    return each.select("target", flipped.alias("v"), need.alias("need"), "kid.prefix", "kid.is_leaf")
 
 
 def closest(
-    nodes: DataFrame, targets: DataFrame, k: int = 8, node_id: str = "node_id", target: str = "target",
-    cells: int = CELLS, smallest: int = MIN_CELL,
-) -> DataFrame:
-    """(target, rank, node_id, distance): the k nearest nodes per distinct target. Dropped nodes are
-    to be filtered out beforehand."""
-    ids = pinned(nodes.select(F.col(node_id).alias("node_id")).distinct())  # read by every pass below
-    wanted = targets.select(F.col(target).alias("target")).distinct()
-    directory = cell_directory(ids, "node_id", cells, smallest)
-    if not directory:
+    nodes: DataFrame, targets: DataFrame, k: int = 8, node_id: str = "node_id", target: str = "target", leaf: int | None = None
+) -> DataFrame:
+    """(target, rank, node_id, distance): the k nearest nodes per distinct target. Dropped nodes are to be filtered out beforehand.
+
+    ``leaf`` bounds the ids under one prefix, and with it the candidates of a search (4 k by default).
+    """
+    leaf = leaf or 4 * k
+    ids = pinned(nodes.select(F.col(node_id).alias("id")).filter("id IS NOT NULL").distinct())  # read by every pass below
+    wanted = targets.select(F.col(target).alias("target")).filter("target IS NOT NULL").distinct()
+    tree = split_ids(ids, leaf)
+    if tree is None:
         return wanted.limit(0).select("target", F.lit(0).alias("rank"), F.lit("").alias("node_id"), F.lit("").alias("distance"))
-    tree = _tree(directory)
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for text in batch["target"]:
-                held = 0
-                for prefix, count in _nearest_cells(tree, bytes.fromhex(text), 0):
-                    rows.append((text, prefix))
-                    held += count
-                    if held >= k:
-                        break
-            yield pd.DataFrame(rows, columns=["target", "cell"])
-
-    # read twice, computed once: counted per cell, then answered
-    routed = pinned(wanted.mapInPandas(route, _fields(target=StringType(), cell=StringType())))
-    asked = [
-        (row["cell"], -(-row["count"] // max(directory[row["cell"]], MIN_TARGETS)))
-        for row in routed.groupBy("cell").count().collect()
-    ]
-    # one row per asked cell, bounded by the directory
-    salts = F.broadcast(ids.sparkSession.createDataFrame(asked, "cell string, salts int"))
-    salted = routed.join(salts, "cell").withColumn("salt", F.pmod(F.xxhash64("target"), F.col("salts")).cast("int"))
-    placed = _place(ids, directory).join(salts, "cell")
-    copies = placed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-
-    def answer(asked_here: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        numbers = sorted(int(x, 16) for x in held["node_id"])
-        rows = []
-        for text in asked_here["target"]:
-            wanted = int(text, 16)
-            rows.extend((text, f"{x:040x}", f"{x ^ wanted:040x}") for x in _nearest(numbers, wanted, k))
-        return pd.DataFrame(rows, columns=["target", "node_id", "distance"])
-
-    keys = ("cell", "salt")
-    found = (
-        salted.select("target", *keys)
-        .groupBy(*keys)
-        .cogroup(copies.select("node_id", *keys).groupBy(*keys))
-        .applyInPandas(answer, _fields(target=StringType(), node_id=StringType(), distance=StringType()))
-    )
-    best = Window.partitionBy("target").orderBy("distance")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
-        "target", "rank", "node_id", "distance"
-    )
-
-
-def _fields(**types) -> StructType:
-    return StructType([StructField(name, kind) for name, kind in types.items()])
+    placed, known, total = tree
+    depths = sorted(known.agg(F.collect_set(F.length("prefix"))).first()[0])  # forty-one at most
+    asked = wanted.select("target", F.col("target").alias("v"), F.lit(min(k, total)).cast("bigint").alias("need"))
+    answers = []
+    while True:
+        found = pinned(on_path(asked, known, depths))
+        answers.append(found.filter("is_leaf").select("target", "prefix"))
+        split = pinned(next_searches(found.filter("NOT is_leaf"), known))
+        answers.append(split.filter("is_leaf").select("target", "prefix"))
+        asked = split.filter("NOT is_leaf").select("target", "v", "need")
+        if asked.isEmpty():
+            break
+    held = placed.select("prefix", "id", *numbers(F.col("id"), "abc"))
+    searches = reduce(DataFrame.union, answers).select("prefix", "target", *numbers(F.col("target"), "xyz"))
+    near = searches.join(held, "prefix")
+    far = [F.col(a).bitwiseXOR(F.col(x)).alias(a) for a, x in zip("abc", "xyz", strict=True)]
+    near = near.select("target", "id", *far)
+    rank = F.row_number().over(Window.partitionBy("target").orderBy("a", "b", "c"))
+    distance = F.concat(*[F.lpad(F.lower(F.hex(c)), n, "0") for c, (_, n) in zip("abc", DIGITS, strict=True)])
+    return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("target", "rank", F.col("id").alias("node_id"), distance.alias("distance"))

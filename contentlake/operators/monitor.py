@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from contentlake.functions.text import format_uptime
 from contentlake.operators.frames import side_by_side
-from contentlake.operators.ordering import PIECE, PIECE_ROWS, cut_by_range, last_known, run_length
+from contentlake.operators.ordering import SLOT, last_known, run_length, smoothed
 from contentlake.operators.peers import classify_failure
 from contentlake.settings import DEFAULTS
 
@@ -77,80 +72,9 @@ def interval_rate(counters: DataFrame, key: str, at: str = "at", n: str = "n") -
     return spans.withColumn("rate", rate)
 
 
-def _decayed_sums(x: np.ndarray, starts: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
-    """Per run (beginning where ``starts`` is true) the average from a zero start, and each row's
-    place in its run. Spans of doubling length are added up, so no row is visited on its own."""
-    run_start = np.maximum.accumulate(np.where(starts, np.arange(len(x)), 0))
-    place = np.arange(len(x)) - run_start
-    sums, span = alpha * x, 1
-    while span <= place.max():
-        reach = place[span:] >= span
-        sums[span:] += np.where(reach, (1.0 - alpha) ** span * sums[:-span], 0.0)
-        span *= 2
-    return sums, place + 1
-
-
-def ema(series: DataFrame, key: str, order: list[str], x: str, alpha: float = DEFAULTS.ema_alpha,
-        piece_rows: int = 1 << 33) -> DataFrame:
-    """``series`` with ``ema``: the first value seeds, then alpha x + (1 - alpha) previous.
-
-    Rows are sorted into range partitions and smoothed in one pass over their Arrow batches, from a
-    zero start in each piece (by default a whole partition). A value carried into a piece adds
-    ``(1 - alpha) ** place`` times itself, and seeding is carrying in the first value, so all that is
-    left is the value carried over each border that a key crosses: fewer rows than pieces, which
-    bounds the broadcast. ``order`` must break all ties, keys and values not be NULL.
-    """
-    rows = cut_by_range(series.withColumn("_x", F.col(x).cast("double")), [key], order, piece_rows)
-    added = [StructField(name, DoubleType()) for name in ("_local", "_decay", "_seed")]
-    schema = StructType([*rows.schema.fields, *added])
-
-    def smooth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # key, piece, local, place and first value of the run the last batch ended in
-        for batch in batches:
-            if not len(batch):
-                continue
-            values = batch["_x"].to_numpy(dtype="float64", copy=True)
-            keys, pieces = batch[key].to_numpy(), batch[PIECE].to_numpy()
-            starts = np.ones(len(batch), dtype=bool)
-            starts[1:] = (keys[1:] != keys[:-1]) | (pieces[1:] != pieces[:-1])
-            local, place = _decayed_sums(values, starts, alpha)
-            seed = values[np.maximum.accumulate(np.where(starts, np.arange(len(values)), 0))]
-            if held is not None and (held[0], held[1]) == (keys[0], pieces[0]):
-                ends = np.flatnonzero(starts[1:])
-                n = ends[0] + 1 if len(ends) else len(values)
-                local[:n] += (1.0 - alpha) ** place[:n] * held[2]
-                place[:n] += held[3]
-                seed[:n] = held[4]
-            held = keys[-1], pieces[-1], local[-1], place[-1], seed[-1]
-            yield batch.assign(_local=local, _decay=(1.0 - alpha) ** place, _seed=seed)
-
-    smoothed = rows.mapInPandas(smooth, schema)
-    last = F.max_by(F.struct("_local", "_decay", "_seed"), F.struct(*order))
-    ends = smoothed.groupBy(key, PIECE).agg(last.alias("_end"))
-    spans = rows.groupBy(key).agg(F.min(PIECE).alias("_from"), F.max(PIECE).alias("_to"))
-    spanning = spans.filter("_from < _to").select(key)
-    carry_schema = StructType(
-        [series.schema[key], StructField(PIECE, LongType()), StructField("_carry", DoubleType())]
-    )
-
-    def chain(pieces: pd.DataFrame) -> pd.DataFrame:
-        pieces = pieces.sort_values(PIECE)
-        carry, carried = pieces["_seed"].iloc[0], []
-        for local, decay in zip(pieces["_local"], pieces["_decay"]):
-            carried.append(carry)
-            carry = local + decay * carry
-        return pieces.assign(_carry=carried)[[key, PIECE, "_carry"]]
-
-    # only keys that cross a border, one row per piece of theirs
-    carried = (
-        ends.join(spanning, key, "left_semi")
-        .select(key, PIECE, "_end._local", "_end._decay", "_end._seed")
-        .groupBy(key)
-        .applyInPandas(chain, carry_schema)
-    )
-    out = smoothed.join(F.broadcast(carried), [key, PIECE], "left")
-    value = F.col("_local") + F.col("_decay") * F.coalesce("_carry", "_seed")
-    return out.select(*series.columns, value.alias("ema"))
+def ema(series: DataFrame, key: str, order: list[str], x: str, alpha: float = DEFAULTS.ema_alpha, width: int = SLOT) -> DataFrame:
+    """``series`` with ``ema``: the first value seeds, then alpha x + (1 - alpha) previous. Keys and values are not NULL."""
+    return smoothed(series, key, order, F.col(x), alpha, "ema", width)
 
 
 def low_rate(
@@ -187,17 +111,16 @@ def low_rate(
 # --- switches and runs ------------------------------------------------------------------------
 
 
-def hysteresis(df: DataFrame, key: str, order: list[str], value: str, high: float, low: float,
-               piece_rows: int = PIECE_ROWS) -> DataFrame:
+def hysteresis(df: DataFrame, key: str, order: list[str], value: str, high: float, low: float, width: int = SLOT) -> DataFrame:
     """``on``: set when value >= high, cleared when value < low, else kept; starts off."""
     decision = F.when(F.col(value) >= high, 1).when(F.col(value) < low, 0)
-    known = last_known(df, [key], order, decision, "on", piece_rows)
+    known = last_known(df, [key], order, decision, "on", width)
     return known.withColumn("on", F.coalesce("on", F.lit(0)))
 
 
-def low_streak(df: DataFrame, key: str, order: list[str], low: Column, piece_rows: int = PIECE_ROWS) -> DataFrame:
+def low_streak(df: DataFrame, key: str, order: list[str], low: Column, width: int = SLOT) -> DataFrame:
     """``streak``: consecutive low rows of the key up to each row, 0 on a good one."""
-    return run_length(df, [key], order, low, "streak", piece_rows)
+    return run_length(df, [key], order, low, "streak", width)
 
 
 # --- partitions -------------------------------------------------------------------------------
@@ -332,15 +255,45 @@ def group_report(attempts: DataFrame, queues: DataFrame, key: str, capacity: int
     )
 
 
-def stats_report(sections: dict[str, DataFrame], version: str, now: int, started: int) -> DataFrame:
-    """One JSON document from one-row frames, one object per section."""
+def as_list(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """A bounded table (groups, partitions) as one row with an array of its rows, in ``order``."""
+    entry = F.struct(*order, *[c for c in rows.columns if c not in order])
+    return rows.agg(F.array_sort(F.collect_list(entry)).alias(name))
+
+
+def hour_section(events: DataFrame, now: int, ts: str = "ts") -> DataFrame:
+    """(last_hour): rows of the minute of ``now`` and the 59 before it; older rows are not counted at all."""
+    recent = events.filter(F.col(ts) >= F.timestamp_seconds(F.lit((now // 60 - 59) * 60)))
+    return hourly_count(minute_counts(recent, ts), now // 60)
+
+
+def cache_section(cached: DataFrame, capacity: int, submit_percent: int = DEFAULTS.submit_percent) -> DataFrame:
+    return cached.agg(F.count(F.lit(1)).alias("cached_nodes")).select(
+        "cached_nodes", F.lit(capacity).alias("capacity"), F.lit(submit_percent).alias("submit_percent")
+    )
+
+
+def aggregate_section(attempts: DataFrame) -> DataFrame:
+    """Totals over all groups, with the share of attempts that were fetched."""
+    counts = attempts.agg(
+        F.count(F.when(F.col("outcome") == "fetched", 1)).alias("total_fetched"),
+        F.count(F.when(F.col("outcome").isin("fetched", "filtered", "failed"), 1)).alias("total_attempts"),
+    )
+    return counts.withColumn("success_rate_percent", percent(F.col("total_fetched"), F.col("total_attempts")))
+
+
+def stats_report(
+    sections: dict[str, DataFrame], version: str, now: int, started: int, lists: dict[str, DataFrame] | None = None
+) -> DataFrame:
+    """One JSON document: an object per section (a one-row frame) and an array per list (see :func:`as_list`)."""
     parts = [frame.select(F.struct(*frame.columns).alias(name)) for name, frame in sections.items()]
+    parts += [frame.select(frame.columns[0]) for frame in (lists or {}).values()]
     head = [
         F.lit(version).alias("version"),
         F.lit(now).alias("timestamp"),
         format_uptime(F.lit(now - started)).alias("uptime"),
     ]
-    return side_by_side(*parts).select(F.to_json(F.struct(*head, *sections)).alias("json"))
+    return side_by_side(*parts).select(F.to_json(F.struct(*head, *sections, *(lists or {}))).alias("json"))
 
 
 def health(nodes: Column, seconds_since_action: Column) -> Column:

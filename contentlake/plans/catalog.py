@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contentlake.operators import catalog as c
-from contentlake.plans.registry import over, query
+from contentlake.plans.registry import over, query, scratch
 from contentlake.sources.tables import Lake
 
 # items with their size from the file list
@@ -113,6 +113,18 @@ def ranked_page(lake: Lake):
     return c.page_of(lake.items, 3).select("item_id", "name", "total_peers")
 
 
+@query("q6_page_after", over("items") + f"""
+SELECT item_id, name, total_peers FROM items {RANK} LIMIT 7 OFFSET 6993
+""")
+def page_after(lake: Lake):
+    """Page 1,000 of 7 items, read on from the last row of page 999 in a table laid out by rank."""
+    path = scratch(lake.spark, "ranked")
+    c.ranked_layout(lake.items, path)
+    items = lake.spark.read.parquet(path)
+    before = c.page_of(items, 999, 7).orderBy(F.asc("total_peers"), F.asc("added_ts"), F.desc("item_id")).first()
+    return (c.page_after(items, before, 7) if before else items.limit(0)).select("item_id", "name", "total_peers")
+
+
 @query("q6_page_info", over("items") + """
 , t AS (SELECT count(*) AS n FROM items)
 SELECT n AS total_count, CAST(3 AS BIGINT) AS page, CAST(greatest(0, least(50, n - 100)) AS BIGINT) AS count,

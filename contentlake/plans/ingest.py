@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contentlake.operators import catalog, dedup, normalise
-from contentlake.operators.bloom import BloomTable
+from contentlake.operators.bloom import BloomShape, BloomTable
 from contentlake.operators.frames import side_by_side
 from contentlake.plans.catalog import SIZED, hits
 from contentlake.plans.registry import over, query, scratch
 from contentlake.plans.text import ADDRESSES
 from contentlake.sources import compact, lists, records, sinks, snapshot
+from contentlake.sources.catalogstore import CatalogStore
 from contentlake.sources.tables import Lake
 
 # --- records ----------------------------------------------------------------------------------
@@ -274,17 +275,28 @@ def prefix_dictionary(lake: Lake):
     return normalise.prefix_dictionary(odd_paths(lake))
 
 
-DICTIONARY = "SELECT prefix, row_number() OVER (ORDER BY prefix) AS prefix_id FROM (SELECT DISTINCT prefix FROM split WHERE prefix IS NOT NULL)"
+CONTENT_ID = "('0x' || substr(md5(prefix), 1, 15))::BIGINT"
 
 
-@query("d2_encode_prefixes", over("item_files", paths=PATHS, split=SPLIT, dict=DICTIONARY) + """
-SELECT item_id, prefix_id, filename, size_bytes FROM split LEFT JOIN dict USING (prefix)
+@query("d2_encode_prefixes", over("item_files", paths=PATHS, split=SPLIT) + f"""
+SELECT item_id, {CONTENT_ID} AS prefix_id, filename, size_bytes FROM split
 """)
 def encode_prefixes(lake: Lake):
     encoded, _ = normalise.encode_prefixes(odd_paths(lake))
     return encoded.select("item_id", "prefix_id", "filename", "size_bytes")
 
 
+@query("d2_dictionary_batches", over("item_files", paths=PATHS, split=SPLIT) + f"""
+SELECT DISTINCT {CONTENT_ID} AS prefix_id, prefix FROM split WHERE prefix IS NOT NULL
+""")
+def dictionary_batches(lake: Lake):
+    """Two batches encoded one after the other agree on every prefix, without numbers to hand on."""
+    paths = odd_paths(lake)
+    _, first = normalise.encode_prefixes(paths.filter("item_id % 2 = 0"))
+    _, both = normalise.encode_prefixes(paths.filter("item_id % 2 = 1"), first)
+    return both.select("prefix_id", "prefix")
+
+
 @query("d3_rebuild_paths", over("item_files", paths=PATHS, split=SPLIT) + """
 SELECT item_id, coalesce(prefix || '/' || filename, filename) AS path, size_bytes FROM split
 """)
@@ -327,6 +339,31 @@ def bloom_union(lake: Lake):
     )
 
 
+# the places of a key's bits as the filter defines them: 5,000 keys at 1 %, far fewer than it is given
+CAP, RATE = 5_000, 0.01
+SHAPE = BloomShape(CAP, RATE)
+
+
+def bits_sql(key: str) -> str:
+    digit = "('0x' || substr(md5({}), {}, {}))::BIGINT"
+    block, first, step = (digit.format(key, at, n) for at, n in ((1, 15), (17, 8), (25, 8)))
+    places = ", ".join(f"({first} + {i} * {step} + {(i**3 - i) // 6}) % 32768" for i in range(SHAPE.hashes))
+    return f"{block} % {SHAPE.blocks} * 32768 + unnest([{places}])"
+
+
+@query("d4_bloom_absent", over("items", "nodes", filled=f"SELECT DISTINCT {bits_sql('info_hash')} AS bit FROM items") + f"""
+, asked AS (SELECT node_id, {bits_sql('node_id')} AS bit FROM nodes UNION ALL SELECT 'absent ' || node_id, {bits_sql("'absent ' || node_id")} FROM nodes),
+met AS (SELECT node_id, count(f.bit) AS n, count(*) AS k FROM asked LEFT JOIN filled f USING (bit) GROUP BY node_id)
+SELECT node_id, n = k AS maybe_seen FROM met UNION ALL SELECT NULL, false
+""")
+def bloom_absent(lake: Lake):
+    """An overfull filter asked for keys it holds, for absent ones, and for none: bit by bit what SQL finds."""
+    bloom = BloomTable.build(lake.items, "info_hash", CAP, RATE)
+    nodes = lake.nodes.select("node_id")
+    asked = nodes.union(nodes.select(F.concat(F.lit("absent "), "node_id"))).union(lake.spark.sql("SELECT CAST(NULL AS STRING)"))
+    return bloom.probe(asked, "node_id")
+
+
 @query("d5_drop_seen", over("items", "attempts") + """
 SELECT item_id, info_hash FROM items WHERE info_hash NOT IN (SELECT info_hash FROM attempts WHERE outcome IN ('fetched', 'filtered'))
 """)
@@ -489,3 +526,44 @@ def fifo_cache(lake: Lake):
     rows = lake.sql(ADDRESSES.replace("SELECT event_id, user_id,", "SELECT event_id, user_id, ts,"))
     cache = dedup.fifo_cache(rows, "user_id", "ts", 40, F.col("ip"), F.col("port"))
     return cache.withColumn("first_seen", F.unix_micros(F.col("first_seen").cast("timestamp")))
+
+
+# --- the stored catalogue ---------------------------------------------------------------------
+
+STORED = over("items", "item_files") + """
+, v AS (SELECT *, CASE WHEN item_id % 12 = 0 THEN name || ' b' WHEN item_id % 4 = 0 THEN name || ' v2' ELSE name END AS now,
+               CASE WHEN item_id % 12 = 0 THEN 1 WHEN item_id % 8 = 0 THEN 0 WHEN item_id % 4 = 0 THEN 2 ELSE 1000000 END AS kept FROM items)
+SELECT v.info_hash, v.now AS name, count(f.item_id) AS n_files, coalesce(sum(f.size_bytes), 0)::BIGINT AS bytes, min(f.path) AS first_path
+FROM v LEFT JOIN item_files f ON f.item_id = v.item_id AND f.file_index < v.kept GROUP BY ALL
+"""
+
+
+@query("d9_catalog_store", STORED)
+def stored_catalog(lake: Lake):
+    """All items, then newer versions of a quarter (half of them without files, the others with two), that batch again, a
+    merge, a version that comes too late, and two versions of one batch."""
+    store = CatalogStore.create(lake.spark, scratch(lake.spark, "catalog"), 16)
+    items = lake.items.select(
+        "item_id", "info_hash", "name", F.lit(0).cast("bigint").alias("size_bytes"), "total_peers", F.col("added_ts").cast("timestamp").alias("added_ts")
+    )
+    files = lake.item_files.withColumn("file_index", F.col("file_index").cast("int")).join(items.select("item_id", "info_hash"), "item_id")
+
+    def write(epoch: int, rows, kept, suffix: str, hours: int, seq: int = 0):
+        named = rows.withColumn("name", F.concat("name", F.lit(suffix))).withColumn("added_ts", F.col("added_ts") + F.make_dt_interval(hours=F.lit(hours)))
+        own = files.filter(kept).join(rows.select("item_id"), "item_id", "left_semi").withColumn("seq", F.lit(seq).cast("bigint"))
+        return named.withColumn("seq", F.lit(seq).cast("bigint")).drop("item_id"), own.drop("item_id"), epoch
+
+    index = F.col("file_index")
+    store.write(*write(0, items, index >= 0, "", 0))
+    newer = write(1, items.filter("item_id % 4 = 0"), (index < 2) & (F.col("item_id") % 8 != 0), " v2", 1)
+    store.write(*newer)
+    store.write(*newer)
+    store.flush(rows=1)
+    store.write(*write(2, items.filter("item_id % 6 = 0"), index < 3, " late", -1))
+    one, two = (write(3, items.filter("item_id % 12 = 0"), index < n, suffix, 2, n) for n, suffix in ((0, " a"), (1, " b")))
+    store.write(one[0].union(two[0]), one[1].union(two[1]), 3)
+    now = store.files().groupBy("info_hash").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size_bytes").alias("bytes"), F.min("path").alias("first_path"))
+    zero = F.lit(0).cast("bigint")
+    return store.items().join(now, "info_hash", "left").select(
+        "info_hash", "name", F.coalesce("n_files", zero).alias("n_files"), F.coalesce("bytes", zero).alias("bytes"), "first_path"
+    )

@@ -74,7 +74,7 @@ def closest_nodes(lake: Lake):
 def closest_small_cells(lake: Lake):
     """The same with cells far smaller than k, so that most targets need several."""
     targets = lake.items.select(F.col("info_hash").alias("target"))
-    near = closest(lake.nodes.filter("fail_count < 3"), targets, 8, cells=1 << 30, smallest=3)
+    near = closest(lake.nodes.filter("fail_count < 3"), targets, 8, leaf=3)
     return near.select("target", "rank", "node_id")
 
 

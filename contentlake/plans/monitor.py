@@ -9,6 +9,7 @@ from contentlake.operators import dedup
 from contentlake.operators import keyspace as ks
 from contentlake.operators import monitor as m
 from contentlake.plans.filtering import LIGHT, STATS, decided
+from contentlake.plans.ingest import STRIKES
 from contentlake.plans.keyspace import CENTER, C, byte_sql
 from contentlake.plans.peers import CLASS
 from contentlake.plans.registry import over, query
@@ -67,11 +68,11 @@ def ema_sql(source: str, key: str, order: str, x: str) -> str:
 
 
 @query("m4_ema", over(r=READINGS, q=RATES, f="SELECT * FROM q WHERE rate IS NOT NULL", e=ema_sql("f", "user_id", "sec", "rate")) + """
-SELECT user_id, sec AS reading, round(ema, 10) AS ema FROM e
+SELECT user_id, sec AS reading, round(ema, 12) AS ema FROM e
 """)
 def ema(lake: Lake):
     rates = user_rates(lake).filter(F.col("rate").isNotNull())
-    return m.ema(rates, "user_id", ["at"], "rate").select("user_id", F.col("at").alias("reading"), F.round("ema", 10).alias("ema"))
+    return m.ema(rates, "user_id", ["at"], "rate").select("user_id", F.col("at").alias("reading"), F.round("ema", 12).alias("ema"))
 
 
 @query("m4_ema_values", f"""
@@ -230,6 +231,51 @@ def stats_report(lake: Lake):
     )
 
 
+LATE = 1_706_400_000
+
+
+@query("m15_full_report", over("attempts", w=WORKERS, parts=PARTS) + STRIKES + f"""
+, g AS (SELECT substr(info_hash, 1, 1) AS g, count(CASE WHEN outcome = 'fetched' THEN 1 END) AS fetched, count(CASE WHEN outcome = 'filtered' THEN 1 END) AS filtered,
+        count(CASE WHEN outcome = 'failed' THEN 1 END) AS failed, count(CASE WHEN outcome = 'observed' THEN 1 END) AS waiting FROM attempts GROUP BY 1),
+o AS (SELECT count(CASE WHEN outcome = 'fetched' THEN 1 END) AS fetched, count(CASE WHEN outcome <> 'observed' THEN 1 END) AS tried FROM attempts)
+SELECT (SELECT count(*) FROM events WHERE floor(epoch(ts) / 60) BETWEEN {LATE // 60 - 59} AND {LATE // 60}) AS last_hour,
+  (SELECT count(CASE WHEN first_strike THEN 1 END) FROM s) AS first_strikes, (SELECT count(CASE WHEN second_strike THEN 1 END) FROM s) AS second_strikes,
+  (SELECT least(100, count(DISTINCT info_hash)) FROM attempts) AS cached_nodes, 100 AS capacity, 17 AS submit_percent,
+  (SELECT string_agg(g || ':' || fetched || ':' || filtered || ':' || failed || ':' || waiting || ':' || (waiting >= 25)::VARCHAR, ' ' ORDER BY g) FROM g) AS groups,
+  (SELECT string_agg(p || ':' || workers || ':' || CAST(round(avg_rate * 1000) AS BIGINT), ' ' ORDER BY p) FROM parts) AS partitions,
+  o.fetched AS total_fetched, o.tried AS total_attempts, round(o.fetched * 100.0::DOUBLE / o.tried, 6) AS success_rate_percent FROM o
+""")
+def full_report(lake: Lake):
+    """The sections that ``m15_stats_report`` has not: last hour, strikes, cache, groups, partitions, totals; read back from the JSON."""
+    attempts = lake.attempts.withColumn("g", F.substring("info_hash", 1, 1))
+    waiting = F.count(F.when(F.col("outcome") == "observed", 1))
+    queues = attempts.groupBy("g").agg(waiting.alias("queue_size"), (waiting >= 25).alias("paused"))
+    sections = {
+        "hour": m.hour_section(lake.events, LATE),
+        "strikes": dedup.strike_totals(dedup.two_strike(lake.attempts)),
+        "cache": m.cache_section(dedup.fifo_cache(lake.attempts, "info_hash", "ts", 100), 100),
+        "aggregate": m.aggregate_section(attempts),
+    }
+    lists = {
+        "groups": m.as_list(m.group_report(attempts, queues, "g", 3000, 25, 10), "groups", "g"),
+        "partitions": m.as_list(m.partition_rates(workers(lake), 32), "partitions", "partition_index"),
+    }
+    schema = """hour struct<last_hour:bigint>, strikes struct<first_strikes:bigint,second_strikes:bigint>, cache struct<cached_nodes:bigint,capacity:int,submit_percent:int>,
+        aggregate struct<total_fetched:bigint,total_attempts:bigint,success_rate_percent:double>,
+        groups array<struct<g:string,fetched:string,filtered:string,failed:string,queue_size:string,paused:string>>,
+        partitions array<struct<partition_index:string,workers:string,avg_rate:double>>"""
+    read = m.stats_report(sections, "0.1", REPORT_NOW, REPORT_START, lists).select(F.from_json("json", schema).alias("r"))
+
+    def joined(name: str, *fields):
+        return F.array_join(F.transform(F.col(f"r.{name}"), lambda e: F.concat_ws(":", *[f(e) if callable(f) else e[f] for f in fields])), " ").alias(name)
+
+    return read.select(
+        "r.hour.last_hour", "r.strikes.first_strikes", "r.strikes.second_strikes", "r.cache.*",
+        joined("groups", "g", "fetched", "filtered", "failed", "queue_size", "paused"),
+        joined("partitions", "partition_index", "workers", lambda e: F.round(e["avg_rate"] * 1000).cast("bigint").cast("string")), "r.aggregate.*",
+    )
+
+
 @query("m16_health", """
 WITH g AS (SELECT c_nationkey, c_mktsegment, count(*) AS n, max(c_custkey) AS since FROM customer GROUP BY ALL)
 SELECT c_nationkey, c_mktsegment, n, CASE WHEN n < 10 THEN 'critical' WHEN n < 50 THEN 'warning' ELSE 'ok' END AS status, n < 10 OR (n < 50 AND since > 600) AS action_due FROM g

@@ -9,8 +9,11 @@ from contentlake.plans.ingest import STRIKES
 from contentlake.plans.monitor import AGE, GRACE, LOW, RATES, READINGS, STEP, ema_sql
 from contentlake.plans.peers import ANSWERS, OBSERVED, REQUESTS, WAIT
 from contentlake.plans.registry import over, query, scratch
+from contentlake.operators.contentfilter import max_keyword_weight
+from contentlake.sources.catalogstore import CatalogStore
 from contentlake.sources.sinks import read_catalog
 from contentlake.sources.tables import Lake
+from contentlake.streaming import chain
 from contentlake.streaming import processors as sp
 from contentlake.streaming import streams as st
 
@@ -21,6 +24,16 @@ def events(lake: Lake):
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def event_batches(lake: Lake, batches: int = 4):
+    """The events as a stream of several micro-batches: files of equal spans of time, written one after the other."""
+    path, rows = scratch(lake.spark, "events"), lake.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    first, last = rows.agg(F.min("ts"), F.max("ts")).select(F.unix_micros("min(ts)"), F.unix_micros("max(ts)")).first()
+    part = F.floor((F.unix_micros("ts") - first) * batches / max(last + 1 - first, 1))
+    for k in range(batches):
+        rows.filter(part == k).coalesce(1).write.mode("append").parquet(path)
+    return st.read_events(lake.spark, path, rows.schema, max_files=1)
+
+
 def run(lake: Lake, df, mode: str = "append"):
     return st.run_to_end(df, scratch(lake.spark, "stream"), mode)
 
@@ -64,6 +77,18 @@ def rolling_hour(lake: Lake):
     return run(lake, st.rolling_hour_stream(events(lake).select("ts"), "ts", "10 minutes")).drop("epoch")
 
 
+@query("z3_rolling_hour_by_type", """
+WITH c AS (SELECT event_type, CAST(floor(epoch(ts) / 60) AS BIGINT) AS m, count(*) AS n FROM events GROUP BY ALL),
+e AS (SELECT event_type, m + unnest(range(60)) AS minute, n FROM c)
+SELECT event_type, minute, CAST(sum(n) AS BIGINT) AS last_hour FROM e GROUP BY ALL
+""")
+def rolling_hour_by_type(lake: Lake):
+    """Every hour with events, open ones included, over several micro-batches."""
+    rows = event_batches(lake).select(F.col("event_type").alias("key"), "ts")
+    reports = run(lake, sp.hour_stream(rows, "10 minutes"), "update")
+    return reports.groupBy(F.col("key").alias("event_type"), "minute").agg(F.max_by("last_hour", "epoch").alias("last_hour"))
+
+
 @query("z4_drop_seen", """
 SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 3 = 0)
 """)
@@ -79,7 +104,7 @@ WHERE user_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND
 def admit_new(lake: Lake):
     seen = lake.orders.filter("o_orderstatus = 'F' AND o_custkey % 3 = 0").select(F.col("o_custkey").alias("user_id"))
     path = scratch(lake.spark, "admitted")
-    rows = events(lake).select("user_id", "event_id")
+    rows = event_batches(lake).select("user_id", "event_id")
     st.admit_new(rows, seen, "user_id", [F.col("event_id")], path, f"{path}/checkpoint", available_now=True).awaitTermination()
     return lake.spark.read.parquet(f"{path}/rows").drop("epoch")
 
@@ -114,7 +139,20 @@ def peer_lists(lake: Lake):
     return listed.join(newest, ["key", "epoch"]).select("key", "ip", "port", F.col("at").alias("seen_at"), "rank")
 
 
-@query("z5_retry_decisions")
+@query("z5_retry_decisions", '''
+WITH RECURSIVE r AS (
+  SELECT user_id AS key, CAST(floor(epoch(ts)) AS BIGINT) AS sec, event_id * 7 % 14 AS peers,
+         row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS k FROM events),
+s AS (
+  SELECT key, k, sec, peers, 0 AS tries, sec AS begun, peers >= 10 AS done FROM r WHERE k = 1
+  UNION ALL
+  SELECT n.key, n.k, n.sec, n.peers, n.tries, n.begun, n.peers >= 10 OR n.tries >= 3 FROM (
+    SELECT r.*, CASE WHEN s.done OR r.sec - s.begun > 86400 THEN 0 ELSE s.tries + 1 END AS tries,
+           CASE WHEN s.done OR r.sec - s.begun > 86400 THEN r.sec ELSE s.begun END AS begun
+    FROM s JOIN r ON r.key = s.key AND r.k = s.k + 1) n)
+SELECT key, sec AS "at", CAST(tries + 1 AS INT) AS attempts, peers, CASE WHEN NOT done THEN 'retry' WHEN peers > 0 THEN 'complete' ELSE 'failed' END AS decision,
+       CASE WHEN NOT done THEN sec END AS due_at FROM s
+''')
 def retry_decisions(lake: Lake):
     n = F.col("event_id")
     rows = events(lake).select(F.col("user_id").alias("key"), F.unix_timestamp("ts").alias("at"), n, (n * 7 % 14).alias("peers"))
@@ -181,3 +219,65 @@ def refresh_stream(lake: Lake):
     values = F.struct("total_peers", "timed_out", "retry_attempted", "closed")
     last = reports.groupBy("info_hash", "request_id").agg(F.max_by(values, F.struct("closed", "epoch")).alias("_last"))
     return last.select("info_hash", "request_id", "_last.*")
+
+
+RECORD = """SELECT event_id, ts, sha1(CAST(user_id % 97 AS VARCHAR)) AS info_hash,
+  CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'purchase' THEN 'fetched' ELSE 'observed' END AS result, p_name AS name
+FROM events JOIN part ON p_partkey = event_id % 200"""
+BANNED = [("ring", 9), ("blue", 9), ("gear", 3)]
+
+
+@query("s_ingest", over(e=RECORD, attempts="""SELECT info_hash, ts, event_id, name,
+  CASE WHEN result = 'fetched' AND (contains(lower(name), 'ring') OR contains(lower(name), 'blue')) THEN 'filtered' ELSE result END AS outcome FROM e""") + STRIKES + """
+, a AS (SELECT info_hash, arg_min(name, (ts, event_id)) AS name, min(event_id) FILTER (outcome = 'fetched') AS any_id,
+        arg_min(event_id, (ts, event_id)) AS event_id FROM attempts WHERE outcome IN ('fetched', 'filtered') GROUP BY 1)
+SELECT s.info_hash, seen_as, CASE WHEN seen_as = 'fetched' THEN a.name END AS name,
+       CASE WHEN seen_as = 'fetched' THEN a.event_id % 3 ELSE 0 END AS n_files,
+       CASE WHEN seen_as = 'fetched' AND a.event_id % 3 > 0 THEN 'dir/' || a.name END AS first_path, seen_as IS NULL AND first_strike AS struck
+FROM s LEFT JOIN a USING (info_hash) WHERE first_strike OR seen_as IS NOT NULL
+""")
+def ingest(lake: Lake):
+    """Fetch results of several micro-batches through the whole chain: seen set, judgement, catalogue, strikes."""
+    n = F.col("event_id")
+    outcome = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "fetched").otherwise("observed")
+    rows = event_batches(lake).withColumn("p_partkey", n % 200).join(lake.part.select("p_partkey", "p_name"), "p_partkey")
+    files = F.transform(F.sequence(F.lit(1), F.lit(2)), lambda k: F.struct(
+        (k - 1).alias("file_index"), F.when(k == 1, F.concat(F.lit("dir/"), "p_name")).otherwise(F.lit("z")).alias("path"), F.lit(5).cast("bigint").alias("size_bytes")
+    ))
+    records = rows.select(
+        F.sha1((F.col("user_id") % 97).cast("string")).alias("info_hash"), F.col("ts").alias("at"), "event_id", outcome.alias("outcome"), F.col("p_name").alias("name"),
+        F.lit(10).cast("bigint").alias("size_bytes"), F.lit(1).alias("total_peers"), F.slice(files, F.lit(1), (n % 3).cast("int")).alias("files"),
+    )
+    path = scratch(lake.spark, "ingest")
+    store = chain.create_store(lake.spark, f"{path}/store", 8)
+    chain.ingest_stream(
+        records, store, f"{path}/checkpoint", lambda rows: max_keyword_weight(F.lower("name"), BANNED) >= 9, available_now=True, merge_after=2
+    ).awaitTermination()
+    now = chain.tables(store)
+    paths = chain.catalogstore.rebuild_paths(now["files"], now["prefixes"])
+    listed = paths.groupBy("info_hash").agg(F.count(F.lit(1)).alias("n_files"), F.min_by("path", "file_index").alias("first_path"))
+    seen = now["seen"].select("info_hash", "seen_as", F.lit(False).alias("struck"))
+    struck = now["strikes"].select("info_hash", F.lit(None).cast("string").alias("seen_as"), F.lit(True).alias("struck"))
+    known = seen.union(struck).join(now["items"].select("info_hash", "name"), "info_hash", "left").join(listed, "info_hash", "left")
+    return known.select("info_hash", "seen_as", "name", F.coalesce("n_files", F.lit(0).cast("bigint")).alias("n_files"), "first_path", "struck")
+
+
+@query("z7_catalog_store", """
+WITH l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS name, max((ts, event_id))[2] AS event_id FROM events GROUP BY user_id)
+SELECT sha1(CAST(user_id AS VARCHAR)) AS info_hash, name, event_id % 3 AS n_files FROM l
+""")
+def catalog_store(lake: Lake):
+    """Items with files from several micro-batches; each event is a version of its user's item."""
+    n = F.col("event_id")
+    files = F.transform(F.sequence(F.lit(1), F.lit(2)), lambda k: F.struct(
+        k.alias("file_index"), F.concat(F.lit("a/b"), k.cast("string"), F.lit("/f")).alias("path"), F.lit(5).cast("bigint").alias("size_bytes")
+    ))
+    records = event_batches(lake).select(
+        F.sha1(F.col("user_id").cast("string")).alias("info_hash"), F.col("event_type").alias("name"), F.lit(5).cast("bigint").alias("size_bytes"),
+        F.lit(1).alias("total_peers"), F.col("ts").alias("added_ts"), n.alias("seq"), F.slice(files, F.lit(1), (n % 3).cast("int")).alias("files"),
+    )
+    path = scratch(lake.spark, "catalog")
+    catalog = CatalogStore.create(lake.spark, f"{path}/store", 8)
+    chain.catalog_store_stream(records, catalog, f"{path}/checkpoint", available_now=True, rows=2000).awaitTermination()
+    counts = catalog.files().groupBy("info_hash").agg(F.count(F.lit(1)).alias("n_files"))
+    return catalog.items().select("info_hash", "name").join(counts, "info_hash", "left").withColumn("n_files", F.coalesce("n_files", F.lit(0).cast("bigint")))

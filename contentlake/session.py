@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -47,3 +50,17 @@ def pinned(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows and their partitioning stay fixed for every later use."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any file system that Spark can write to, if it is there."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def together(*jobs: Callable[[], object]) -> None:
+    """Run independent jobs side by side, so that small ones do not wait for each other; the first error is raised."""
+    with ThreadPoolExecutor(max(len(jobs), 1)) as pool:
+        for done in [pool.submit(inheritable_thread_target(job)) for job in jobs]:
+            done.result()

@@ -2,7 +2,7 @@
 
 Strikes, peer lists and refresh sums merge rows in any order, and their rows are reduced inside each
 Arrow batch before the shuffle, so a hot key sends a few rows per batch. Averages, retries and
-buckets follow the time order of a key's rows within a micro-batch.
+buckets follow the time order of a key's rows within a micro-batch, and hold two or three numbers of each meanwhile.
 
 Every key's state ends by an event-time timer, except that of buckets, whose number and size are fixed.
 A stream needs the RocksDB state store (``streams.ROCKSDB``), as all ``transformWithState`` does.
@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,13 @@ def _move_timer(handle: StatefulProcessorHandle, at_ms: int) -> None:
     handle.registerTimer(at_ms)
 
 
+def _in_order(rows: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple[int, ...]]:
+    """A key's rows of a micro-batch in the order of ``columns``: only these numbers are held, eight bytes each."""
+    held = np.concatenate([np.stack([chunk[c].to_numpy(dtype="int64") for c in columns]) for chunk in rows], axis=1)
+    for k in np.lexsort(held[::-1]):
+        yield tuple(held[:, k].tolist())
+
+
 def _reduced(df: DataFrame, reduce) -> DataFrame:
     """``df`` with ``reduce`` applied to every Arrow batch ahead of the shuffle."""
 
@@ -185,8 +193,7 @@ class RetryProcessor(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         retries, created = self.entry.get() if self.entry.exists() else (0, None)
         out = []
-        for row in pd.concat(list(rows)).sort_values(["at", "event_id"]).itertuples():
-            at, peers = int(row.at), int(row.peers)
+        for at, _, peers in _in_order(rows, "at", "event_id", "peers"):
             if created is None or at - created > self.max_age:
                 retries, created = 0, at
             if peers >= self.min_peers or retries >= self.max_attempts:
@@ -307,8 +314,7 @@ class EmaProcessor(StatefulProcessor):
         ema, born, n0, at0 = self.last.get() if self.last.exists() else (None,) * 4
         waiting = list(self.waiting.get())
         out = []
-        for row in pd.concat(list(rows)).sort_values("at").itertuples():
-            at, n = int(row.at), int(row.n)
+        for at, n in _in_order(rows, "at", "n"):
             if born is None:
                 born, n0, at0 = at, n, at
                 continue
@@ -470,3 +476,75 @@ def refresh_stream(rows: DataFrame, delay: str, seconds: int = DEFAULTS.request_
         outputMode="Update",
         timeMode="EventTime",
     )
+
+
+# --- rolling hours ----------------------------------------------------------------------------
+
+
+def minute_sums(batch: pd.DataFrame) -> pd.DataFrame:
+    return batch.groupby(["key", "minute"], as_index=False)["n"].sum()[["key", "minute", "n"]]
+
+
+class HourProcessor(StatefulProcessor):
+    """Counts of a key per minute, and from them the count of the hour that ends with each minute. Every hour that a batch changes
+    is reported, also one that is still open; the last report of an hour is the whole one. A minute is kept until
+    ``keep`` seconds of event time after the last hour that it belongs to."""
+
+    def __init__(self, keep: int):
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getMapState("counts", "minute bigint", "n bigint")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        changed: dict[int, int] = {}
+        for chunk in rows:
+            for minute, n in zip(chunk["minute"].tolist(), chunk["n"].tolist()):
+                changed[minute] = changed.get(minute, 0) + n
+        for minute, n in changed.items():
+            held = self.counts.getValue((minute,))[0] if self.counts.containsKey((minute,)) else 0
+            self.counts.updateValue((minute,), (held + n,))
+        counts = {minute[0]: n[0] for minute, n in self.counts.iterator()}
+        ends = sorted({minute + later for minute in changed for later in range(60)})
+        out, total, last = [], 0, None
+        for end in ends:  # the difference between neighbouring hours, a fresh sum behind a gap
+            if last == end - 1:
+                total += counts.get(end, 0) - counts.get(end - 60, 0)
+            else:
+                total = sum(counts.get(minute, 0) for minute in range(end - 59, end + 1))
+            out.append((key[0], end, total))
+            last = end
+        _move_timer(self.handle, (min(counts) + 60) * 60_000 + self.keep * 1000)
+        yield pd.DataFrame(out, columns=["key", "minute", "last_hour"])
+
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        held = [minute[0] for minute, _ in self.counts.iterator()]
+        left = [minute for minute in held if (minute + 60) * 60_000 + self.keep * 1000 > now]
+        for minute in held:
+            if minute not in left:
+                self.counts.removeKey((minute,))
+        if left:
+            self.handle.registerTimer((min(left) + 60) * 60_000 + self.keep * 1000)
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def hour_stream(rows: DataFrame, delay: str, keep: int = 600) -> DataFrame:
+    """rows(key, ts) -> (key, minute, last_hour) whenever the count of the hour that ends with ``minute`` changes.
+
+    Rows are counted per key and minute inside each Arrow batch, so a hot key sends as many rows as a batch has minutes; a
+    key's state is as long as ``delay`` and an hour.
+    """
+    minute = F.floor(F.unix_timestamp("ts") / 60)
+    counted = _reduced(rows.select("key", minute.alias("minute"), F.lit(1).cast("bigint").alias("n")), minute_sums)
+    timed = counted.withColumn("_ts", F.timestamp_seconds(F.col("minute") * 60)).withWatermark("_ts", delay)
+    return timed.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=HourProcessor(keep),
+        outputStructType="key string, minute bigint, last_hour bigint",
+        outputMode="Update",
+        timeMode="EventTime",
+    )

@@ -6,6 +6,7 @@ seen keys are a table. The keyed operators of ``processors`` need ``ROCKSDB`` as
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,6 +14,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from contentlake.operators.dedup import first_rows
 from contentlake.settings import DEFAULTS
+from contentlake.sources.buckets import Buckets
 from contentlake.sources.sinks import EPOCH, read_catalog, write_catalog_batch
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -57,29 +59,42 @@ def drop_seen_stream(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
 
 
 def admit_new(
-    df: DataFrame, seen: DataFrame, key: str, order: list[Column], path: str, checkpoint: str, available_now: bool = False
+    df: DataFrame, seen: DataFrame, key: str, order: list[Column], path: str, checkpoint: str, available_now: bool = False,
+    buckets: int = 64, merge_after: int = 8,
 ) -> StreamingQuery:
     """The first row in ``order`` of every key that is neither in ``seen`` nor admitted by an earlier micro-batch.
 
-    Admitted rows go to ``path``/rows and their keys to ``path``/seen, both under the epoch of the batch, so that the seen
-    set follows the stream and a repeated batch replaces itself. Rows with a NULL key are left out.
+    Admitted rows go to ``path``/rows, their keys to the store ``path``/seen in ``buckets``. A batch opens the buckets of its own
+    keys and the at most ``merge_after`` batches that wait to be merged, however long the stream has run; a repeated
+    batch finds the state it began with and replaces itself. Rows with a NULL key are left out.
     """
-    write_catalog_batch(seen.select(key).filter(F.col(key).isNotNull()), f"{path}/seen", -1)
-    schema = StructType([df.schema[key], StructField(EPOCH, IntegerType())])
+    schema = StructType([df.schema[key]])
+    try:
+        store = Buckets.open(df.sparkSession, f"{path}/seen")
+    except AnalysisException:  # a new stream: the given keys are the first merged batch
+        store = Buckets.create(df.sparkSession, f"{path}/seen", {"seen": (schema, key)}, buckets)
+        store.append({"seen": seen.select(key).filter(F.col(key).isNotNull()).distinct()}, 0)
+        store.merge(merge_keys)
 
     def admit(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        known = spark.read.schema(schema).parquet(f"{path}/seen")
-        first = first_rows(batch.filter(F.col(key).isNotNull()), key, order)
-        new = first.join(known.filter(F.col(EPOCH) < epoch).select(key), key, "left_anti")
+        epoch += 1  # 0 are the given keys
+        if len(store.waiting(before=epoch)) >= merge_after:
+            store.merge(merge_keys, before=epoch)
+        batch = batch.filter(F.col(key).isNotNull())
+        known = store.base("seen", store.touched(batch, key)).union(store.delta("seen", store.waiting(before=epoch)).select(key))
+        new = first_rows(batch, key, order).join(known, key, "left_anti")
         write_catalog_batch(new.select(*batch.columns), f"{path}/rows", epoch)
-        own = spark.read.schema(schema).parquet(f"{path}/rows").filter(F.col(EPOCH) == epoch)
-        write_catalog_batch(own.select(key), f"{path}/seen", epoch)
+        own = batch.sparkSession.read.schema(schema).parquet(f"{path}/rows/{EPOCH}={epoch}")
+        store.append({"seen": own}, epoch)
 
     writer = df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(admit)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def merge_keys(base: dict[str, DataFrame], delta: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    return {name: rows.unionByName(delta[name].select(rows.columns)).distinct() for name, rows in base.items()}
+
+
 def catalog_sink(
     df: DataFrame, path: str, checkpoint: str, available_now: bool = False, seconds: int = DEFAULTS.flush_seconds
 ) -> StreamingQuery:

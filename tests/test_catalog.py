@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from contentlake.functions.stems import stem
 from contentlake.operators import catalog as c
+from test_plans import plan
 
 
 @pytest.fixture(scope="module")
@@ -23,6 +24,7 @@ def files(spark):
     return spark.createDataFrame(rows, "item_id bigint, file_index int, path string, size_bytes bigint")
 
 
+
 def ids(df):
     return sorted(r["item_id"] for r in df.select("item_id").collect())
 
@@ -165,3 +167,22 @@ def test_scan_and_postings_agree(spark, query, stemming):
 def test_what_cannot_be_read_is_an_error(query):
     with pytest.raises(ValueError):
         c.parse(query)
+
+
+def test_pages_read_on_after_a_row(spark, tmp_path):
+    items = spark.range(500).select(
+        F.col("id").alias("item_id"), (F.col("id") % 7).cast("int").alias("total_peers"), F.timestamp_seconds(F.col("id") % 11).alias("added_ts")
+    )
+    c.ranked_layout(items, str(tmp_path / "ranked"), 12)
+    stored = spark.read.parquet(str(tmp_path / "ranked"))
+    last, seen = None, []
+    while True:
+        page = c.page_after(stored, last, 40).collect()
+        if not page:
+            break
+        seen += [r["item_id"] for r in page]
+        last = max(page, key=lambda r: (-r["total_peers"], -r["added_ts"].timestamp(), r["item_id"]))
+    want = [r["item_id"] for r in items.orderBy(*c.ranked(items)).collect()]
+    assert sorted(seen) == sorted(want) and [set(seen[k : k + 40]) for k in range(0, 500, 40)] == [set(want[k : k + 40]) for k in range(0, 500, 40)]
+    text = plan(c.page_after(stored, last, 40))
+    assert "TakeOrderedAndProject" in text and "LessThanOrEqual(total_peers" in text

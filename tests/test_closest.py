@@ -1,11 +1,13 @@
 """K-closest against brute force, on uniform and on crowded key spaces."""
 
 import hashlib
+import inspect
 import random
 
 import pytest
 
-from contentlake.operators.closest import cell_directory, closest
+from contentlake.operators import closest as c
+from contentlake.operators.closest import closest
 
 
 def uniform(n, seed):
@@ -21,15 +23,15 @@ def crowded(n, seed):
     return ids + uniform(n // 4, seed)
 
 
-@pytest.mark.parametrize("k", [1, 8, 40])
+@pytest.mark.parametrize("k", [1, 8])
 @pytest.mark.parametrize("make", [uniform, crowded])
-@pytest.mark.parametrize("smallest", [4, 64, 4096])
-def test_brute_force(spark, make, k, smallest):
+@pytest.mark.parametrize("leaf", [3, 64])
+def test_brute_force(spark, make, k, leaf):
     ids = make(1200, 1)
     targets = uniform(60, 2) + ids[::60] + ["ab" * 20, "cd" * 20, "0" * 40, "f" * 40]
     nodes = spark.createDataFrame([(h,) for h in ids], "node_id string")
     wanted = spark.createDataFrame([(t,) for t in targets], "target string")
-    rows = closest(nodes, wanted, k, cells=1 << 30, smallest=smallest).collect()
+    rows = closest(nodes, wanted, k, leaf=leaf).collect()
     got = {}
     for r in sorted(rows, key=lambda r: r["rank"]):
         got.setdefault(r["target"], []).append(r["node_id"])
@@ -38,12 +40,27 @@ def test_brute_force(spark, make, k, smallest):
         assert got[t] == sorted(set(ids), key=lambda h: int(h, 16) ^ int(t, 16))[:k]
 
 
-def test_directory_covers_all_ids(spark):
+def test_leaves_cover_all_ids(spark):
     ids = sorted(set(crowded(4000, 3)))
-    nodes = spark.createDataFrame([(h,) for h in ids], "node_id string")
-    cells = cell_directory(nodes, "node_id", cells=1 << 30, smallest=50)
-    assert sum(cells.values()) == len(ids) and max(cells.values()) <= 50
-    assert all(sum(h.startswith(p) for p in cells) == 1 for h in ids)
+    nodes = spark.createDataFrame([(h,) for h in ids], "id string")
+    placed, tree, total = c.split_ids(nodes, 50)
+    leaves = {r["prefix"]: r["n"] for r in tree.filter("is_leaf").collect()}
+    assert total == len(ids) == sum(leaves.values()) and max(leaves.values()) <= 50
+    assert all(sum(h.startswith(p) for p in leaves) == 1 for h in ids)
+    assert {r["id"]: r["prefix"] for r in placed.collect()} == {h: next(p for p in leaves if h.startswith(p)) for h in ids}
+
+
+def test_more_neighbours_than_a_leaf_holds(spark):
+    ids = crowded(200, 7)
+    nodes, wanted = spark.createDataFrame([(h,) for h in ids], "node_id string"), spark.createDataFrame([(t,) for t in ids[:3]], "target string")
+    rows = closest(nodes, wanted, 40, leaf=4).orderBy("rank").collect()
+    for t in ids[:3]:
+        assert [r["node_id"] for r in rows if r["target"] == t] == sorted(set(ids), key=lambda h: int(h, 16) ^ int(t, 16))[:40]
+
+
+def test_nothing_is_collected():
+    source = inspect.getsource(c)
+    assert ".collect(" not in source and "toPandas" not in source and "InPandas" not in source
 
 
 def test_empty(spark):

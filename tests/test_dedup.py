@@ -1,6 +1,7 @@
 """Seen sets, Bloom tables, upsert and strikes."""
 
 import random
+import hashlib
 import tempfile
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from contentlake.operators import dedup
 from contentlake.operators.bloom import BloomShape, BloomTable
+from test_plans import plan
 
 
 def test_bloom_no_false_negatives_and_rate(spark):
@@ -106,12 +108,41 @@ def test_dictionary_keeps_ids_and_loses_no_prefix(spark):
     encoded, first = normalise.encode_prefixes(old)
     more = spark.createDataFrame([("a/1",), ("d/2",), ("c/3",), ("/lead",), ("tail/",), ("",)], "path string")
     again, second = normalise.encode_prefixes(more, first)
-    assert {(r["prefix"], r["prefix_id"]) for r in second.collect()} == {("b", 1), ("d", 2), ("a", 3), ("c", 4), ("tail", 5)}
+    ids = {p: int(hashlib.md5(p.encode()).hexdigest()[:15], 16) for p in ("b", "d", "a", "c", "tail")}
+    assert {r["prefix"]: r["prefix_id"] for r in second.collect()} == ids and second.count() == 5
+    assert "Exchange" not in plan(again)
     rebuilt = {r["path"] for r in normalise.rebuild_paths(again, second).collect()}
     assert rebuilt == {"a/1", "d/2", "c/3", "lead", "tail/", ""}
     assert {r["path"] for r in normalise.rebuild_paths(encoded, second).collect()} == {"b/x", "d/y", "root"}
 
 
+def test_prefixes_that_share_an_id_get_their_own(spark, monkeypatch):
+    from contentlake.operators import normalise
+
+    monkeypatch.setattr(normalise, "ID_DIGITS", 2)  # 256 ids for 90 prefixes
+    names = [f"p{k}" for k in range(90)]
+    old, new = (spark.createDataFrame([(f"{p}/f{k}",) for k, p in enumerate(part)], "path string") for part in (names[:50], names))
+    _, first = normalise.encode_prefixes(old, shared=normalise.shared_ids(old))
+    shared = normalise.shared_ids(new, first)
+    assert 0 < shared.count() < 90
+    encoded, both = normalise.encode_prefixes(new, first, shared)
+    kept = {r["prefix"]: r["prefix_id"] for r in both.collect()}
+    assert both.count() == len(kept) == len(set(kept.values())) == 90
+    assert all(kept[r["prefix"]] == r["prefix_id"] for r in first.collect())
+    assert sorted(r["path"] for r in normalise.rebuild_paths(encoded, both).collect()) == sorted(r["path"] for r in new.collect())
+
+
+def test_bloom_of_a_small_capacity_takes_many_keys(spark):
+    bloom = BloomTable.build(spark.range(10_000_000), "id", 1000)
+    assert bloom.words.count() <= 512 and bloom.stats().first()["bits_set"] == 32768
+    few = BloomTable.build(spark.range(50).union(spark.range(50)), "id", 1000)
+    asked = spark.range(2000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("id"))
+    seen = few.probe(asked, "id").groupBy("id").agg(F.max("maybe_seen").alias("m"), F.count("*").alias("n")).collect()
+    flags = {r["id"]: r["m"] for r in seen}
+    assert sum(r["n"] for r in seen) == 2000 and flags[None] is False
+    assert all(flags[k] for k in range(0, 50, 2)) and sum(flags[k] for k in range(50, 2000, 2)) <= 4
+
+
 def test_many_rows_without_a_key_are_dealt_out(spark):
     from contentlake.operators.frames import join_nullable
 

@@ -1,12 +1,14 @@
 """Ordered scans over many small pieces, with one key holding most rows and equal times."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from contentlake.operators import monitor as m
 from contentlake.operators.normalise import prefix_dictionary
+from test_plans import plan
 from contentlake.operators.ordering import cut_by_range, last_known, number_rows, run_length
 
 
@@ -93,3 +95,34 @@ def test_prefix_dictionary(spark):
     paths = ["/a", "b/c", "b/d", "x//y", "x/", "", "/", "z"]
     files = spark.createDataFrame([(p,) for p in paths], "path string")
     assert [tuple(r) for r in prefix_dictionary(files).orderBy("prefix_id").collect()] == [(1, "b"), (2, "x"), (3, "x/")]
+
+
+def test_a_million_rows_of_one_key(spark):
+    """A hot key is cut by time: no pin, and no task sees more than a few pieces."""
+    rows = spark.range(1_000_000).select(F.lit("hot").alias("key"), "id", (F.xxhash64("id") % 100).cast("double").alias("v"))
+    alpha, width = 0.05, 1 << 14
+    averaged = m.ema(rows, "key", ["id"], "v", alpha, width)
+    switched = m.hysteresis(rows, "key", ["id"], "v", 95, -95, width)
+    runs = m.low_streak(rows, "key", ["id"], F.col("v") < 99, width)
+    for df in (averaged, switched, runs):
+        text = plan(df)
+        assert "ExistingRDD" not in text and "Python" not in text and "Pandas" not in text
+        assert re.search(r"hashpartitioning\([^)]*_piece#\d+", text)
+    got = averaged.join(switched.select("id", "on"), "id").join(runs.select("id", "streak"), "id").orderBy("id").select("v", "ema", "on", "streak").toPandas()
+    ema, on, streak = None, 0, 0
+    for v, e, o, s in got.itertuples(index=False):
+        ema = v if ema is None else alpha * v + (1 - alpha) * ema
+        on = 1 if v >= 95 else 0 if v < -95 else on
+        streak = streak + 1 if v < 99 else 0
+        assert abs(e - ema) < 1e-9 and (o, s) == (on, streak)
+
+
+def test_pieces_by_time_and_missing_times(spark):
+    rows = [("a", t, i, float(v)) for i, (t, v) in enumerate([(None, 99), (5, 1), (5, 2), (-3, 50), (4000, 3), (4001, 99), (90000, 1)])]
+    df = spark.createDataFrame(rows, "key string, at long, id long, v double")
+    timed = df.withColumn("at", F.timestamp_seconds("at"))
+    for frame in (df, timed):
+        got = [r["on"] for r in m.hysteresis(frame, "key", ["at", "id"], "v", 90, 2, 100).orderBy("at", "id").collect()]
+        assert got == [1, 1, 0, 0, 0, 1, 0]
+    with pytest.raises(TypeError):
+        m.hysteresis(df, "key", ["key"], "v", 90, 2)
