@@ -479,3 +479,50 @@ def test_empty_tables(spark):
         toxicity.harmless(none, labels), chat.conversation_digests(chat.format_turns(talks)),
     ):
         assert out.count() == 0
+
+
+def test_long_texts_are_taken_in_stretches():
+    rng = np.random.default_rng(2)
+    grams = rng.integers(0, 1 << 62, 3000).astype(np.uint64)
+    for offsets in ([0, 3004], [0, 40, 700, 705, 2990, 3004], [0, 0, 1500, 3004, 3004]):
+        want, got = (minimisers.super_runs(grams, np.array(offsets), 20, 5, stretch) for stretch in (1 << 28, 101))
+
+        def windows(runs):
+            return {(w, h, t) for a, b, h, t in zip(*(c.tolist() for c in runs), strict=True) for w in range(a, b + 1)}
+
+        assert windows(want) == windows(got) and sum((got.last - got.first + 1).tolist()) == len(windows(got))
+
+
+SQL_CASES = {
+    "three": [f"click here to {end}" for end in ("read all the terms of use", "see our new offers for today", "join one more list by mail")],
+    "twelve": [f"we also {a} you the {b} of {c}" for a in ("send", "show") for b in ("news", "maps", "plans") for c in ("home", "town")],
+}
+
+
+@pytest.mark.parametrize("case", ["three", "twelve", "fields", "long"])
+def test_line_dedup_equals_its_sql(spark, tmp_path, case):
+    """Several templates in a leaf, fields with rare and with frequent values, words off, and lines of 5,000 words."""
+    import duckdb
+
+    from contentlake.llm.queries import ORACLE
+
+    rng = random.Random(case)
+    if case == "fields":
+        lines = [f"posted by {rng.choice(['x', 'y', 'z'])}{rng.randrange(9**6):06d}q on {rng.choice(['monday', 'friday', 'sunday'])} in this forum" for _ in range(90)]
+        lines += [f"posted by name{chr(97 + k % 26)}{'abc'[k % 3]}x on some {rng.choice(['wet', 'dry'])} day in this {rng.choice(['forum', 'group'])} here" for k in range(90)]
+    elif case == "long":
+        base = prose(5, 5000, 3000)
+        lines = [" ".join(w if rng.random() > 0.01 else "off" for w in base) for _ in range(24)] + [" ".join(prose(k, 5000)) for k in range(3)]
+    else:
+        lines = [line for line in SQL_CASES[case] for _ in range(25)]
+        lines += [" ".join(rng.choice([w, w, w, w, "other"]) for w in line.split()) for line in lines[::4]]
+    rows = [(k, f"{line}\nown words {k}\n\n{rng.choice(lines)}") for k, line in enumerate(lines)] + [(None, None), (3, ""), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = str(tmp_path / "docs")
+    docs.coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    want = con.execute(ORACLE["op5_line_templates"]).fetchall()
+    got = line_dedup.line_dedup(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert sum(r["n_dropped"] for r in got) >= 60 or case == "long"
