@@ -61,6 +61,7 @@ def delete_folder(spark: SparkSession, folder: str) -> None:
 
 def together(*jobs: Callable[[], object]) -> None:
     """Run independent jobs side by side, so that small ones do not wait for each other; the first error is raised."""
+    inherit = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(max(len(jobs), 1)) as pool:
-        for done in [pool.submit(inheritable_thread_target(job)) for job in jobs]:
+        for done in [pool.submit(inherit(job)) for job in jobs]:
             done.result()
