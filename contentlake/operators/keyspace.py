@@ -142,10 +142,9 @@ def capable_pool(nodes: DataFrame, now: int, cooldown: int = DEFAULTS.cooldown_s
 
 
 def sample_capable(nodes: DataFrame, k: int, now: int, cooldown: int = DEFAULTS.cooldown_seconds, seed: int = 0):
-    """(sample, nodes with last_queried stamped on the sample). The sample has at most ``k`` rows,
-    which bounds the broadcast."""
+    """(sample, nodes with last_queried stamped on the sample). The sample has at most ``k`` rows."""
     sample = sample_k(capable_pool(nodes, now, cooldown), "node_id", k, seed)
-    picked = F.broadcast(sample.select("node_id", F.lit(now).alias("_now")))
+    picked = sample.select("node_id", F.lit(now).alias("_now"))
     stamped = nodes.join(picked, "node_id", "left").withColumn("last_queried", F.coalesce("_now", "last_queried"))
     return sample, stamped.drop("_now")
 

@@ -156,7 +156,7 @@ def choose_partition(
         F.struct((-F.col("avg_rate")).alias("r"), F.col("partition_index").alias("p")).alias("c")
     ).orderBy("c").limit(2)
     top = best.agg(F.array_sort(F.collect_list("c")).alias("_best"))  # one row of at most two
-    rows = workers.join(F.broadcast(streaks), "partition_index", "left").withColumn("_best", top.scalar())
+    rows = workers.join(streaks, "partition_index", "left").withColumn("_best", top.scalar())
     was_low = F.col("rate") < min_rate
     streak = F.when(was_low, F.coalesce("streak", F.lit(0)) + 1).otherwise(0)
     away = F.col("partition_index") != F.col("home")

@@ -75,10 +75,10 @@ def should_retry(attempts: Column, peers: Column, in_progress: Column, max_attem
 
 def due_retries(entries: DataFrame, now: int, n: int = DEFAULTS.retry_tick) -> tuple[DataFrame, DataFrame]:
     """(taken, entries after the tick): up to ``n`` due entries, earliest first; a taken entry loses
-    its due time and is in progress. ``n`` bounds the broadcast."""
+    its due time and is in progress."""
     due = entries.filter(F.col("due_at").isNotNull() & (F.col("due_at") > 0) & (F.col("due_at") <= now))
     taken = due.orderBy("due_at", "key").limit(n)
-    mark = F.broadcast(taken.select("key", F.lit(True).alias("_taken")))
+    mark = taken.select("key", F.lit(True).alias("_taken"))
     after = entries.join(mark, "key", "left")
     after = after.withColumn("due_at", F.when(F.col("_taken"), F.lit(None)).otherwise(F.col("due_at")))
     after = after.withColumn("in_progress", F.coalesce(F.col("_taken"), F.lit(False)) | F.col("in_progress"))

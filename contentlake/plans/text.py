@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from contentlake.functions.paths import IMAGE_EXTENSIONS, VIDEO_EXTENSIONS
 from contentlake.functions import net, paths, text
 from contentlake.operators import contentfilter as cf
 from contentlake.plans.registry import over, query
@@ -152,8 +153,7 @@ def regex_weight(lake: Lake):
 
 
 EXT = "CASE WHEN contains(path, '.') THEN lower(regexp_extract(path, '[^.]*$')) END"
-VIDEO_LIST = "('mp4','avi','mkv','wmv','mov','flv','mpg','mpeg','m4v','webm')"
-IMAGE_LIST = "('jpg','jpeg','png','gif','bmp','webp')"
+VIDEO_LIST, IMAGE_LIST = (f"({', '.join(map(repr, names))})" for names in (VIDEO_EXTENSIONS, IMAGE_EXTENSIONS))
 
 
 @query("t10_extension_class", over("item_files") + f"""

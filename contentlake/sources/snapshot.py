@@ -1,8 +1,9 @@
 """Snapshots with an integrity manifest.
 
 Data goes to a new version folder; a manifest line that names it is appended last and is the commit
-point, so a lost job leaves the previous snapshot valid. The digest is order-insensitive: a sum over
-per-row SHA-256 prefixes, computed by the cluster.
+point, so a lost job leaves the previous snapshot valid. A save drops the data of the one before
+the previous. The digest is order-insensitive: a sum over per-row SHA-256 prefixes, computed by the
+cluster.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contentlake.session import delete_folder
+
 MAGIC = "contentlake-snapshot"
 VERSION = 1
 
@@ -34,16 +37,17 @@ def digest(df: DataFrame) -> tuple[int, str]:
     return result["rows"], "-".join(f"{int(result[f's{i}']):x}" for i in range(4))
 
 
-def _manifest(spark: SparkSession, path: str) -> list[dict]:
-    """Manifest entries, one per save, oldest first."""
+def _last_notes(spark: SparkSession, path: str, n: int = 1) -> list[dict]:
+    """The last ``n`` manifest entries, newest first, however many saves there were."""
     try:
-        lines = spark.read.text(f"{path}/manifest").collect()
+        lines = spark.read.text(f"{path}/manifest")
     except AnalysisException:
         return []
-    try:
-        return sorted((json.loads(line["value"]) for line in lines), key=lambda note: note["seq"])
-    except (ValueError, KeyError, TypeError) as error:
-        raise SnapshotError("unreadable manifest") from error
+    seq = F.get_json_object("value", "$.seq").cast("bigint")
+    last = lines.select("value", seq.alias("seq")).orderBy(F.desc_nulls_first("seq")).limit(n).collect()
+    if any(r["seq"] is None for r in last):
+        raise SnapshotError("unreadable manifest")
+    return [json.loads(r["value"]) for r in last]
 
 
 def save_snapshot(df: DataFrame, path: str) -> bool:
@@ -54,20 +58,22 @@ def save_snapshot(df: DataFrame, path: str) -> bool:
     rows, check = digest(spark.read.parquet(f"{path}/{data}"))
     if rows == 0:
         return False
-    earlier = _manifest(spark, path)
-    seq = earlier[-1]["seq"] + 1 if earlier else 1
+    earlier = _last_notes(spark, path, 2)
+    seq = earlier[0]["seq"] + 1 if earlier else 1
     note = {"magic": MAGIC, "version": VERSION, "seq": seq, "data": data, "rows": rows, "digest": check}
     line = spark.createDataFrame([(json.dumps(note),)], "value string").coalesce(1)
     line.write.mode("append").text(f"{path}/manifest")
+    for old in earlier[1:]:  # the one before stays for readers that have begun
+        delete_folder(spark, f"{path}/{old['data']}")
     return True
 
 
 def load_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """The last committed frame, after checking its row count and digest."""
-    entries = _manifest(spark, path)
+    entries = _last_notes(spark, path)
     if not entries:
         raise SnapshotError("no manifest")
-    note = entries[-1]
+    note = entries[0]
     if note.get("magic") != MAGIC or note.get("version") != VERSION:
         raise SnapshotError("not a snapshot of this version")
     try:
