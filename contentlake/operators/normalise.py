@@ -24,6 +24,25 @@ def prefix_dictionary(files: DataFrame, path: str = "path") -> DataFrame:
     return number_rows(_prefixes(files, path), ["prefix"], "prefix_id").select("prefix_id", "prefix")
 
 
+def extend_dictionary(prefixes: DataFrame, files: DataFrame, path: str = "path") -> DataFrame:
+    """The numbered dictionary with unknown prefixes of ``files`` added after its highest id; old ids stay."""
+    new = _prefixes(files, path).join(prefixes.select("prefix"), "prefix", "left_anti")
+    numbered = number_rows(new, ["prefix"], "_n")
+    highest = prefixes.agg(F.coalesce(F.max("prefix_id"), F.lit(0)).cast("bigint").alias("m")).first()["m"]
+    return prefixes.select("prefix_id", "prefix").unionByName(numbered.select((F.col("_n") + highest).alias("prefix_id"), "prefix"))
+
+
+def encode_numbered(files: DataFrame, prefixes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(files with nullable prefix_id and filename, dictionary (prefix_id, prefix)) with the ids of :func:`prefix_dictionary`;
+    a given dictionary is extended.
+
+    The join back is left to Catalyst: a small dictionary is broadcast by its size statistics, a large one is shuffled and
+    AQE splits the hot prefixes.
+    """
+    prefixes = prefix_dictionary(files) if prefixes is None else extend_dictionary(prefixes, files)
+    return join_nullable(split_paths(files), prefixes, "prefix").drop("prefix", "path"), prefixes
+
+
 ID_DIGITS = 15  # hex digits of a digest that make an id
 
 

@@ -116,6 +116,26 @@ def test_dictionary_keeps_ids_and_loses_no_prefix(spark):
     assert {r["path"] for r in normalise.rebuild_paths(encoded, second).collect()} == {"b/x", "d/y", "root"}
 
 
+def test_numbered_dictionary_is_joined_back_and_extended(spark):
+    from contentlake.operators import normalise
+
+    old = spark.createDataFrame([("d/y",), ("b/x",), ("root",), (None,)], "path string")
+    encoded, first = normalise.encode_numbered(old)
+    assert sorted(map(tuple, encoded.select("prefix_id", "filename").collect()), key=repr) == [(1, "x"), (2, "y"), (None, "root"), (None, None)]
+    more = spark.createDataFrame([("a/1",), ("d/2",), ("c/3",), ("tail/",), ("",)], "path string")
+    again, second = normalise.encode_numbered(more, first)
+    assert {(r["prefix"], r["prefix_id"]) for r in second.collect()} == {("b", 1), ("d", 2), ("a", 3), ("c", 4), ("tail", 5)}
+    assert sorted(r["path"] for r in normalise.rebuild_paths(again, second).collect()) == ["", "a/1", "c/3", "d/2", "tail/"]
+
+
+def test_encoded_files_hold_the_numbers_of_the_dictionary(spark, folder):
+    from contentlake import plans
+
+    ids = [r["prefix_id"] for r in plans.QUERIES["d2_encode_prefixes"](spark, folder).select("prefix_id").distinct().collect()]
+    assert sorted(i for i in ids if i) == list(range(1, plans.QUERIES["d2_prefix_dictionary"](spark, folder).count() + 1))
+    assert "dict" in plans.ORACLE["d2_encode_prefixes"]
+
+
 def test_prefixes_that_share_an_id_get_their_own(spark, monkeypatch):
     from contentlake.operators import normalise
 
