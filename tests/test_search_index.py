@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from contentlake.operators import catalog, searchindex
+from contentlake.operators import catalog, postings, searchindex
 from contentlake.operators.searchindex import SearchIndex
 from contentlake.sources.ranged import EPOCH, Ranged
 from test_plans import plan
@@ -135,3 +135,21 @@ def test_accents_are_folded_composed_or_not(spark):
     assert [r["item_id"] for r in catalog.search_names(df, "café").orderBy("item_id").collect()] == [0, 1, 2]
     assert [r["item_id"] for r in catalog.search_names(df, "café").orderBy("item_id").collect()] == [0, 1, 2]
     assert [r["item_id"] for r in catalog.search_names(df, "tieng").orderBy("item_id").collect()] == [4, 5]
+
+
+def test_trigrams_are_blocks_of_places(spark, tmp_path):
+    """Lists of file names are moved as blocks: far fewer rows than places, and no place is lost."""
+    names = ["ring", "a\0b\0c", "ab", "", "😀ring😀", "ééé", "\0\0\0\0"] + [f"ring_{k % 7}.mp4" for k in range(3000)]
+    names += ["".join(map(chr, range(0x4E00 + 40 * k, 0x4E00 + 40 * k + 40))) for k in range(300)]  # too many letters for one number
+    files = spark.createDataFrame([(k % 900, k, name) for k, name in enumerate(names)] + [(None, 1, "ring"), (3, None, "ring"), (4, 9, None)], "item_id long, file_index int, path string")
+    items = spark.range(900).select(F.col("id").alias("item_id"), F.lit("x").alias("name"))
+    index = SearchIndex.create(spark, str(tmp_path / "i"), items, files, parts=4)
+    index.add(items, files, 0)
+    want = sorted((name[p : p + 3], k % 900, k, p + 1) for k, name in enumerate(names) for p in range(len(name) - 2))
+    want += [("ing", 3, None, 2), ("rin", 3, None, 1)]
+    blocks = index.grams.rows.all()
+    got = [tuple(r)[:4] for r in postings.unfolded(blocks).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert blocks.filter("term = 'rin'").count() < 3000 / 8
+    assert blocks.filter(f"size(places) > {postings.BLOCK} OR item_id <> array_min(item_ids) OR last_id <> array_max(item_ids)").isEmpty()
+    assert {r["term"]: r["n"] for r in index.grams.counts.all().collect()}["rin"] == sum(t == "rin" for t, *_ in want)
