@@ -5,7 +5,8 @@ down its ids differ. The tree is a table of (prefix, ids below it). A target's s
 of its own path that holds enough ids, and from there to the neighbours with the next digit flipped, nearest first, until
 their counts add up to k. A neighbour that is itself split becomes a search one level further down, for the target
 with that digit flipped. Nearly all searches end in the first round; each later one sees only targets still short of k.
-What remains is an equi-join of searches with leaves and a rank.
+A search knows how many nearer ids the others of its target hold, so what remains is an equi-join of searches with the leaves
+below: each search ranks the ids of these by itself, and no target's candidates are brought together.
 
 Counts, tree and searches stay tables; the driver learns the number of ids, and whether another round is needed.
 """
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contentlake.functions.ids import ID_HEX
@@ -71,34 +72,62 @@ def split_ids(ids: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame, int] | N
 
 
 def on_path(asked: DataFrame, nodes: DataFrame, depths: list[int]) -> DataFrame:
-    """``asked`` (target, v, need) with the deepest prefix of ``v`` that holds ``need`` ids, as ``prefix`` and ``is_leaf``;
-    ``depths``: the lengths that prefixes have."""
-    nodes = nodes.drop("parent")
-    depths = F.explode(F.array(*map(F.lit, depths))).alias("d")
-    steps = asked.select("target", "v", "need", depths).withColumn("prefix", F.substring(F.col("v"), F.lit(1), F.col("d")))
+    """``asked`` (target, v, need, ...) with the deepest prefix of ``v`` that holds ``need`` ids, as ``prefix``; ``depths``: the
+    lengths that prefixes have."""
+    columns = asked.columns
+    steps = asked.withColumn("d", F.explode(F.array(*map(F.lit, depths)))).withColumn("prefix", F.substring(F.col("v"), F.lit(1), F.col("d")))
+    nodes = nodes.select("prefix", "n")
     short, long = (F.length("prefix") <= SHALLOW), (F.length("prefix") > SHALLOW)
     # All targets pass the shortest prefixes: these are few by their length, so they may travel to the targets.
-    near = steps.filter(short).join(F.broadcast(nodes.filter(short)), "prefix")
-    far = steps.filter(long).join(nodes.filter(long), "prefix")
+    near = steps.filter(F.col("d") <= SHALLOW).join(F.broadcast(nodes.filter(short)), "prefix")
+    far = steps.filter(F.col("d") > SHALLOW).join(nodes.filter(long), "prefix")
     enough = near.union(far).filter("n >= need")
-    best = F.max(F.struct("d", "prefix", "is_leaf")).alias("best")
-    return enough.groupBy("target", "v", "need").agg(best).select("target", "v", "need", "best.prefix", "best.is_leaf")
+    best = enough.groupBy(*columns).agg(F.max("d").alias("d"))
+    return best.select(*columns, F.substring(F.col("v"), F.lit(1), F.col("d")).alias("prefix"))
 
 
-def next_searches(found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Searches in split prefixes -> (target, v, need, prefix, is_leaf) for the children that hold their nearest ids."""
-    kid = F.struct("prefix", "n", "is_leaf")
-    kids = nodes.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("prefix")).agg(F.collect_list(kid).alias("kids"))  # sixteen at most
-    each = found.join(kids, "prefix").select("target", "v", "need", F.explode("kids").alias("kid"))
+def families(nodes: DataFrame, kid: Column) -> DataFrame:
+    """(prefix, kids) of every split prefix, sixteen kids at most, and of every leaf, which is its own only kid."""
+    kids = nodes.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("prefix")).agg(F.collect_list(kid).alias("kids"))
+    return kids.union(nodes.filter("is_leaf").select("prefix", F.array(kid)))
+
+
+def visited(found: DataFrame, kids: DataFrame) -> DataFrame:
+    """``found`` (target, v, need, before, prefix) -> one row per kid that holds some of its nearest ids, with the kid as ``kid``;
+    ``before`` then counts the target's ids that come ahead of the kid's.
+
+    All ids of a nearer kid are nearer than those of a farther one, so neither kids nor ids of a target have to meet again.
+    """
     # The kids differ in their last digit; all that comes before it is the same for them, whatever the target's digits there.
-    last = F.length("kid.prefix") - 1
-    far = digit(F.col("kid.prefix"), last).bitwiseXOR(digit(F.col("v"), last))
-    order = Window.partitionBy("target", "v").orderBy("far").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.withColumn("far", far).withColumn("before", F.coalesce(F.sum("kid.n").over(order), F.lit(0)))
-    each = each.filter("before < need")
+    last = F.length(F.element_at("kids", 1)["prefix"]) - 1
+    each = found.join(kids, "prefix").withColumn("_last", last).withColumn("_digit", digit(F.col("v"), F.col("_last")))
+    far = F.transform("kids", lambda x: F.struct(digit(x["prefix"], F.col("_last")).bitwiseXOR(F.col("_digit")).alias("far"), x["n"].alias("n"), x.alias("kid")))
+    each = each.withColumn("_near", F.sort_array(far))
+    zero = F.lit(0).cast("bigint")
+    ahead = F.transform("_near", lambda x, i: F.struct(
+        x["kid"].alias("kid"), F.aggregate(F.slice("_near", F.lit(1), i), zero, lambda n, y: n + y["n"]).alias("ahead")
+    ))
+    each = each.select("target", "v", "need", "before", F.explode(ahead).alias("_at")).filter("_at.ahead < need")
+    need = F.least(F.col("_at.kid.n"), F.col("need") - F.col("_at.ahead"))
+    return each.select("target", "v", need.alias("need"), (F.col("before") + F.col("_at.ahead")).alias("before"), "_at.kid")
+
+
+def next_searches(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(target, v, need, before) for the split kids: ``v`` is the target with their digit, so that it lies below them."""
+    kids = families(nodes, F.struct("prefix", "n", "is_leaf")).filter(F.exists("kids", lambda x: ~x["is_leaf"]))
+    split = visited(found, kids).filter("NOT kid.is_leaf")
     flipped = F.concat(F.col("kid.prefix"), F.substring(F.col("v"), F.length("kid.prefix") + 1, F.lit(ID_HEX)))
-    need = F.least(F.col("kid.n"), F.col("need") - F.col("before"))
-    return each.select("target", flipped.alias("v"), need.alias("need"), "kid.prefix", "kid.is_leaf")
+    return split.select("target", flipped.alias("v"), "need", "before")
+
+
+def settled(found: DataFrame, nodes: DataFrame, placed: DataFrame) -> DataFrame:
+    """(target, rank, m) of the ids in the leaves that are kids of what was found, ``m`` the distance's numbers and the id."""
+    held = placed.groupBy("prefix").agg(F.collect_list("id").alias("ids"))
+    kids = families(nodes.join(held, "prefix", "left"), F.struct("prefix", "n", "is_leaf", "ids"))
+    at = visited(found, kids).filter("kid.is_leaf").withColumn("t", F.array(*numbers(F.col("target"), "xyz")))
+    far = F.transform("kid.ids", lambda i: F.struct(*[c.bitwiseXOR(F.col("t")[p]).alias(a) for p, (a, c) in enumerate(zip("abc", numbers(i, "abc"), strict=True))], i.alias("id")))
+    near = at.select("target", "before", F.posexplode(F.slice(F.sort_array(far), F.lit(1), F.col("need").cast("int"))).alias("place", "m"))
+    return near.select("target", (F.col("before") + F.col("place") + 1).cast("int").alias("rank"), "m")
 
 
 def closest(
@@ -116,21 +145,14 @@ def closest(
         return wanted.limit(0).select("target", F.lit(0).alias("rank"), F.lit("").alias("node_id"), F.lit("").alias("distance"))
     placed, known, total = tree
     depths = sorted(known.agg(F.collect_set(F.length("prefix"))).first()[0])  # forty-one at most
-    asked = wanted.select("target", F.col("target").alias("v"), F.lit(min(k, total)).cast("bigint").alias("need"))
-    answers = []
+    none = F.lit(0).cast("bigint").alias("before")
+    asked = wanted.select("target", F.col("target").alias("v"), F.lit(min(k, total)).cast("bigint").alias("need"), none)
+    searches = []
     while True:
-        found = pinned(on_path(asked, known, depths))
-        answers.append(found.filter("is_leaf").select("target", "prefix"))
-        split = pinned(next_searches(found.filter("NOT is_leaf"), known))
-        answers.append(split.filter("is_leaf").select("target", "prefix"))
-        asked = split.filter("NOT is_leaf").select("target", "v", "need")
+        searches.append(pinned(on_path(asked, known, depths)))
+        asked = next_searches(searches[-1], known)
         if asked.isEmpty():
             break
-    held = placed.select("prefix", "id", *numbers(F.col("id"), "abc"))
-    searches = reduce(DataFrame.union, answers).select("prefix", "target", *numbers(F.col("target"), "xyz"))
-    near = searches.join(held, "prefix")
-    far = [F.col(a).bitwiseXOR(F.col(x)).alias(a) for a, x in zip("abc", "xyz", strict=True)]
-    near = near.select("target", "id", *far)
-    rank = F.row_number().over(Window.partitionBy("target").orderBy("a", "b", "c"))
-    distance = F.concat(*[F.lpad(F.lower(F.hex(c)), n, "0") for c, (_, n) in zip("abc", DIGITS, strict=True)])
-    return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("target", "rank", F.col("id").alias("node_id"), distance.alias("distance"))
+    near = settled(reduce(DataFrame.union, searches), known, placed)
+    distance = F.concat(*[F.lpad(F.lower(F.hex(F.col("m")[c])), n, "0") for c, (_, n) in zip("abc", DIGITS, strict=True)])
+    return near.select("target", "rank", F.col("m.id").alias("node_id"), distance.alias("distance"))

@@ -8,6 +8,7 @@ import pytest
 
 from contentlake.operators import closest as c
 from contentlake.operators.closest import closest
+from test_plans import plan
 
 
 def uniform(n, seed):
@@ -67,3 +68,10 @@ def test_empty(spark):
     nodes = spark.createDataFrame([], "node_id string")
     targets = spark.createDataFrame([("0" * 40,)], "target string")
     assert closest(nodes, targets).count() == 0
+
+
+def test_candidates_of_a_target_do_not_meet_again(spark):
+    """Searches are ranked where their leaves are: no window, and no shuffle of candidates by target."""
+    nodes, wanted = (spark.createDataFrame([(t,) for t in uniform(n, n)], f"{name} string") for n, name in ((900, "node_id"), (300, "target")))
+    text = plan(closest(nodes, wanted, 8, leaf=3))
+    assert "Window" not in text and "hashpartitioning(target" not in text
