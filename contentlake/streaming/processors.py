@@ -376,7 +376,10 @@ class RefreshProcessor(StatefulProcessor):
     """Sums the peers reported within a request's wait, and within its second wait when the first
     ended without peers and without a timeout. A request's two sums grow as answers come in and are
     reported whenever they change; a last report (``closed``) comes once the watermark has passed both
-    waits. Answers are kept by second for requests that arrive after them, until the watermark."""
+    waits. Answers are kept by second for requests that arrive after them, until the watermark.
+
+    A key has one timer, at the first of its ends, and lists that are read and written whole: calls to the state follow
+    the number of keys in a batch, not that of requests, answers or ends."""
 
     def __init__(self, seconds: int):
         self.seconds = seconds
@@ -385,8 +388,8 @@ class RefreshProcessor(StatefulProcessor):
         self.handle = handle
         schema = "request_id bigint, at bigint, done bigint, done2 bigint, first bigint, second bigint"
         self.requests = handle.getListState("requests", schema)
-        self.answers = handle.getMapState("answers", "at bigint", "peers bigint")
-        self.sweep = handle.getValueState("sweep", "at bigint")
+        self.answers = handle.getListState("answers", "at bigint, peers bigint")  # sums of a second may stand in several parts
+        self.due = handle.getValueState("due", "at bigint")
 
     def waits(self, at: int, done, done2) -> tuple[int, bool, int, bool]:
         end = min(done, at + self.seconds) if done is not None else at + self.seconds
@@ -394,11 +397,19 @@ class RefreshProcessor(StatefulProcessor):
         late = done is None or done > at + self.seconds
         return end, late, end2, done2 is None or done2 > end + self.seconds
 
+    def over_at(self, request: tuple) -> int:
+        """The second at which both waits of a request have passed."""
+        return self.waits(*request[1:4])[2] + 1
+
     def grown(self, request: tuple, sums: dict[int, int]) -> tuple:
         request_id, at, done, done2, first, second = request
         end, _, end2, _ = self.waits(at, done, done2)
-        first += sum(sums.get(t, 0) for t in range(at, end + 1))
-        second += sum(sums.get(t, 0) for t in range(end + 1, end2 + 1))
+        if len(sums) <= end2 - at:
+            first += sum(n for t, n in sums.items() if at <= t <= end)
+            second += sum(n for t, n in sums.items() if end < t <= end2)
+        else:
+            first += sum(sums.get(t, 0) for t in range(at, end + 1))
+            second += sum(sums.get(t, 0) for t in range(end + 1, end2 + 1))
         return request_id, at, done, done2, first, second
 
     def report(self, key: Any, requests: list[tuple], closed: bool) -> pd.DataFrame:
@@ -410,6 +421,22 @@ class RefreshProcessor(StatefulProcessor):
         columns = ["info_hash", "request_id", "total_peers", "timed_out", "retry_attempted", "closed"]
         return pd.DataFrame(out, columns=columns)
 
+    def known_answers(self) -> dict[int, int]:
+        sums: dict[int, int] = {}
+        for at, peers in self.answers.get():
+            sums[at] = sums.get(at, 0) + peers
+        return sums
+
+    def wake(self, at: int) -> None:
+        """Let the timer end at ``at`` unless it ends before."""
+        if self.due.exists():
+            due = self.due.get()[0]
+            if due <= at:
+                return
+            self.handle.deleteTimer(due * 1000)
+        self.due.update((at,))
+        self.handle.registerTimer(at * 1000)
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         asked, sums = [], {}
         for chunk in rows:
@@ -423,41 +450,37 @@ class RefreshProcessor(StatefulProcessor):
         before = [tuple(request) for request in self.requests.get()]
         after = [self.grown(request, sums) for request in before] if sums else before
         changed = [new for old, new in zip(before, after) if new != old]
-        for at, peers in sums.items():
-            held = self.answers.getValue((at,))[0] if self.answers.containsKey((at,)) else 0
-            self.answers.updateValue((at,), (held + peers,))
+        if sums:
+            self.answers.appendList(list(sums.items()))
         if asked:
-            known = {at[0]: peers[0] for at, peers in self.answers.iterator()}
+            known = self.known_answers()
             new = [self.grown(request, known) for request in asked]
-            for request in new:
-                self.handle.registerTimer((self.waits(*request[1:4])[2] + 1) * 1000)
             after, changed = after + new, changed + new
         if changed:
             self.requests.put(after)
-        if sums and not self.sweep.exists():
-            self.sweep_after(max(sums))
-        yield self.report(key, changed, False)
-
-    def sweep_after(self, newest: int) -> None:
-        self.sweep.update((newest + 1,))
-        self.handle.registerTimer((newest + 1) * 1000)
+        if asked or sums:
+            self.wake(min([self.over_at(request) for request in asked] + ([max(sums) + 1] if sums else [])))
+        if changed:
+            yield self.report(key, changed, False)
 
     def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        if self.sweep.exists() and self.sweep.get()[0] <= now:
-            held = [at[0] for at, _ in self.answers.iterator()]
-            for at in held:
-                if at < now:
-                    self.answers.removeKey((at,))
-            self.sweep.clear()
-            if max(held, default=0) >= now:
-                self.sweep_after(max(held))
+        """Close all that the watermark has passed, and sleep until the next end."""
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        self.due.clear()
+        held = self.known_answers()
+        kept = {at: peers for at, peers in held.items() if (at + 1) * 1000 > passed}
+        if len(kept) < len(held):
+            self.answers.put(list(kept.items())) if kept else self.answers.clear()
         done, waiting = [], []
         for request in self.requests.get():
-            (done if self.waits(*request[1:4])[2] < now else waiting).append(tuple(request))
+            (done if self.over_at(tuple(request)) * 1000 <= passed else waiting).append(tuple(request))
         if done:
             self.requests.put(waiting) if waiting else self.requests.clear()
-        yield self.report(key, done, True)
+        ends = [self.over_at(request) for request in waiting] + ([max(kept) + 1] if kept else [])
+        if ends:
+            self.wake(min(ends))
+        if done:
+            yield self.report(key, done, True)
 
     def close(self) -> None:
         pass

@@ -5,6 +5,7 @@ import random
 import tempfile
 from glob import glob
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,72 @@ def test_refresh(spark):
     assert sum(r["closed"] for r in out) == len(requests)
 
 
+def test_calls_to_the_refresh_state_follow_keys(spark):
+    """However many requests and answers a key has, it has one timer; ends at the very watermark are closed."""
+
+    class State:
+        def __init__(self):
+            self.rows, self.calls = [], 0
+
+        def get(self):
+            self.calls += 1
+            return iter(self.rows) if self.many else self.rows[0]
+
+        def put(self, rows):
+            self.rows, self.calls = list(rows), self.calls + 1
+
+        def appendList(self, rows):
+            self.rows, self.calls = self.rows + list(rows), self.calls + 1
+
+        def exists(self):
+            return bool(self.rows)
+
+        def update(self, row):
+            self.put([row])
+
+        def clear(self):
+            self.put([])
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.states, self.moves = set(), {}, 0
+
+        def state(self, name, many):
+            self.states[name] = State()
+            self.states[name].many = many
+            return self.states[name]
+
+        def getListState(self, name, schema):
+            return self.state(name, True)
+
+        def getValueState(self, name, schema):
+            return self.state(name, False)
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+            self.moves += 1
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    processor, handle, none = sp.RefreshProcessor(8), Handle(), float("nan")
+    processor.init(handle)
+    rows = [(i, i, none, none, 0) for i in range(0, 300, 3)] + [(i, none, none, none, 1) for i in range(300)]
+    chunk = pd.DataFrame(rows, columns=["at", "request_id", "done_at", "retry_done_at", "peers"])
+    first = pd.concat(processor.handleInputRows(("k",), iter([chunk]), At(0)))
+    assert len(first) == 100 and handle.timers == {17_000} and handle.moves == 1
+    handle.timers.clear()
+    closed = pd.concat(processor.handleExpiredTimer(("k",), At(173_000), At(17_000)))
+    assert sorted(closed["request_id"]) == list(range(0, 157, 3)) and closed["closed"].all()  # 156 + 8 + 8 + 1 is the watermark
+    assert set(closed["total_peers"]) == {9}
+    assert handle.timers == {176_000} and sum(s.calls for s in handle.states.values()) < 20
+    assert min(at for at, _ in handle.states["answers"].rows) == 173
+
+
 def state_rows(progress):
     return sum(p["numRowsTotal"] for p in progress["stateOperators"])
 
