@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from contentlake.llm import chat, common, decontaminate, line_dedup, minimisers, mixing, ngram_join, quality, sharding
+from contentlake.llm import chat, common, decontaminate, line_dedup, minimisers, mixing, ngram_join, quality, queries, sharding
 from contentlake.llm import substring_dedup, suffix_dedup, toxicity
 from contentlake.llm import words as W
 
@@ -208,6 +208,22 @@ def test_suffix_dedup(spark, most):
     same_rows([tuple(r)[:5] for r in got.select("doc_id", "n", "n_removed", "n_spans", "kept_sha256").collect()], removed_bytes(rows, 50))
 
 
+def test_planted_passages_at_the_settings_of_the_query(spark, tmp_path):
+    """Passages of over 50 words in two documents each, the first a byte too short: of the others both copies go, clean texts stay."""
+    rows, want = [(100 + k, " ".join(prose(2000 + k, 300))) for k in range(20)], {100 + k: 0 for k in range(20)}
+    for k, size in enumerate((399, 400, 401, 800, 1500)):
+        passage = " ".join(prose(900 + k, 400))[:size]
+        assert len(passage.split()) > 50
+        for doc, (a, b) in ((2 * k, "<>"), (2 * k + 1, "[]")):
+            own = " ".join(prose(1000 + doc, 120))
+            rows.append((doc, own[:250] + a + passage + b + own[250:]))
+            want[doc] = size if size >= 400 else 0
+    docs_of(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op3_suffix_dedup(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == want
+    same_rows([tuple(r)[:5] for r in got], removed_bytes(rows, 400))
+
+
 def test_longest_previous_factors():
     data = np.frombuffer(b"abracadabra-abracadabra-abracadabra" * 3, np.uint8)
     starts = np.arange(len(data) - 16 + 1)
