@@ -77,5 +77,5 @@ FROM page p LEFT JOIN item_files f USING (item_id) GROUP BY ALL
 """)
 def indexed_page(lake: Lake):
     """The page of ``q7_search_page`` from a compacted index."""
-    page = stored_index(lake).compact(scratch(lake.spark, "index")).result_page("ring")
+    page = stored_index(lake).compact(scratch(lake.spark, "index"), keep=False).result_page("ring")
     return page.select("item_id", "info_hash", "name", "total_peers", "num_files", F.to_json("files").alias("files"))
